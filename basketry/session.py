@@ -64,8 +64,11 @@ def build_session(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if event_log_dir:
-        builder = builder.config("spark.eventLog.enabled", "true").config(
-            "spark.eventLog.dir", event_log_dir
+        builder = (
+            builder.config("spark.eventLog.enabled", "true")
+            .config("spark.eventLog.dir", event_log_dir)
+            .config("spark.eventLog.rolling.enabled", "false")
+            .config("spark.eventLog.compress", "false")
         )
     for key, value in WORKLOAD_CONF.items():
         builder = builder.config(key, value)
