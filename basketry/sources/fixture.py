@@ -14,9 +14,10 @@ Mapping (see FIXTURES.md, part B):
 Plan shape: line items are hashed on order id once; grouping to
 (order, product), the cart-position window and the join to orders all reuse
 that exchange.  The reorder flag needs one more exchange on
-(user_id, product_id).  Windows over the product dimension are global, which
-is acceptable because that table is bounded by the catalogue (brands x
-types), not by the data volume.
+(user_id, product_id).  No window spans all rows of a user: order numbers
+are built from per-(user, day) pieces (see ``_orders``).  Windows over the
+product dimension are global, which is acceptable because that table is
+bounded by the catalogue (brands x types), not by the data volume.
 """
 
 from __future__ import annotations
@@ -73,32 +74,75 @@ def _catalogue(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
 
 
 def _orders(orders_raw: DataFrame, lines: DataFrame) -> DataFrame:
-    """Basket orders: numbered per user, target order flagged."""
+    """Basket orders: numbered per user, target order flagged.
+
+    A per-user window over all of a user's orders would put a user holding
+    a large share of orders into one task.  Instead the number is
+    assembled from bounded pieces:
+
+    * orders per (user, day) -- a partial aggregation;
+    * per user, a running count over its *days* (one row per distinct order
+      day, bounded by the calendar span), plus the previous order day and
+      the user's total;
+    * inside one (user, day) group, a row number by (timestamp, order id).
+
+    order_number = orders on earlier days + row number within the day.
+    """
     kept = orders_raw.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
         "o_orderdate",
+        F.to_date("o_orderdate").alias("day"),
     ).join(lines.select(F.col("l_orderkey").alias("order_id")), "order_id", "left_semi")
-    by_user = Window.partitionBy("user_id").orderBy("o_orderdate", "order_id")
-    numbered = kept.select(
-        "order_id",
-        "user_id",
-        "o_orderdate",
-        F.row_number().over(by_user).alias("order_number"),
-        F.lag("o_orderdate").over(by_user).alias("prev_date"),
-        F.lead("order_id").over(by_user).isNull().alias("is_last"),
+
+    user_days = Window.partitionBy("user_id").orderBy("day")
+    per_day = (
+        kept.groupBy("user_id", "day")
+        .agg(F.count(F.lit(1)).alias("n_day"))
+        .select(
+            "user_id",
+            "day",
+            F.coalesce(
+                F.sum("n_day").over(user_days.rowsBetween(Window.unboundedPreceding, -1)),
+                F.lit(0),
+            ).alias("before"),
+            F.lag("day").over(user_days).alias("prev_day"),
+            F.sum("n_day").over(Window.partitionBy("user_id")).alias("n_orders"),
+        )
+    )
+    within_day = Window.partitionBy("user_id", "day").orderBy("o_orderdate", "order_id")
+    numbered = (
+        kept.select(
+            "order_id",
+            "user_id",
+            "o_orderdate",
+            "day",
+            F.row_number().over(within_day).alias("rn_day"),
+            F.lag("o_orderdate").over(within_day).alias("prev_same_day"),
+        )
+        .join(per_day, ["user_id", "day"])
+        .select(
+            "order_id",
+            "user_id",
+            "o_orderdate",
+            (F.col("before") + F.col("rn_day")).cast("int").alias("order_number"),
+            F.when(F.col("rn_day") > 1, F.to_date("prev_same_day"))
+            .otherwise(F.col("prev_day"))
+            .alias("prev_date"),
+            "n_orders",
+        )
     )
     return numbered.select(
         "order_id",
         "user_id",
-        F.when(~F.col("is_last"), F.lit("prior"))
+        F.when(F.col("order_number") < F.col("n_orders"), F.lit("prior"))
         .when(F.col("user_id") % TRAIN_MODULUS < TRAIN_BELOW, F.lit("train"))
         .otherwise(F.lit("test"))
         .alias("eval_set"),
         "order_number",
         (F.dayofweek("o_orderdate") - 1).alias("order_dow"),
         (F.col("order_id") % HOURS_PER_DAY).cast("int").alias("order_hour_of_day"),
-        F.datediff(F.to_date("o_orderdate"), F.to_date("prev_date"))
+        F.datediff(F.to_date("o_orderdate"), F.col("prev_date"))
         .cast("double")
         .alias("days_since_prior_order"),
     )
@@ -128,14 +172,18 @@ def driver_basket_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
         .agg(F.min("l_linenumber").alias("first_line"))
     )
     cart = Window.partitionBy("order_id").orderBy("first_line", "product_id")
-    user_product = Window.partitionBy("user_id", "product_id")
+    items = lines.withColumn("add_to_cart_order", F.row_number().over(cart)).join(
+        orders, "order_id"
+    )
+    # reordered: the user bought the product in an earlier order.  The first
+    # order number of each (user, product) is a partial aggregation joined
+    # back (AQE splits a dominant pair), not a window over all its lines.
+    firsts = items.groupBy("user_id", "product_id").agg(
+        F.min("order_number").alias("first_number")
+    )
     order_items = (
-        lines.withColumn("add_to_cart_order", F.row_number().over(cart))
-        .join(orders, "order_id")
-        .withColumn(
-            "reordered",
-            (F.col("order_number") > F.min("order_number").over(user_product)).cast("int"),
-        )
+        items.join(firsts, ["user_id", "product_id"])
+        .withColumn("reordered", (F.col("order_number") > F.col("first_number")).cast("int"))
         .select(
             "order_id",
             "user_id",

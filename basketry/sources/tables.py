@@ -11,10 +11,9 @@ every analysis starts from:
 catalogue.  By default it returns a lazy plan over the driver's parquet.
 When the session sets ``basketry.materialize=true`` the derived tables are
 written once to the session's checkpoint folder (the shared folder a
-cluster names in ``spark.checkpoint.dir``), bucketed by user_id, and every
-later query scans those files: lineage is cut, a lost executor only
-re-reads files, and user-keyed aggregates and joins over the fact table
-need no shuffle of it.
+cluster names in ``spark.checkpoint.dir``) and every later query scans
+those files: lineage is cut and a lost executor only re-reads files.  See
+``materialize`` for the two file layouts.
 """
 
 from __future__ import annotations
@@ -134,11 +133,18 @@ def forget(spark: SparkSession | None = None) -> None:
 def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTables:
     """Write the basket tables once under the checkpoint folder and read back.
 
-    Facts are bucketed by user_id and sorted by (user_id, order_number)
-    inside each bucket; orders are bucketed the same way, so joins between
-    them on user_id and every per-user aggregate avoid an exchange.  The
-    number of buckets comes from ``basketry.buckets`` (default: the shuffle
-    partition count) and should be sized so one bucket fits a task.
+    Two layouts (``basketry.layout``):
+
+    * ``clustered`` (default): facts and orders range-partitioned on
+      (user_id, order_number) and sorted inside each file.  Range
+      partitioning on the composite key splits a user holding a large
+      share of rows over several files, reads stay split-parallel, row-group
+      min/max statistics on user_id let point and range filters skip data,
+      and per-user aggregates are partial before their (small) shuffle.
+    * ``bucketed``: facts and orders bucketed by user_id (``basketry.buckets``
+      buckets, default the shuffle partition count), so user-keyed
+      aggregates and joins need no exchange at all.  A bucket is read by one
+      task, so this layout is only for data without a dominant user.
     """
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -147,22 +153,28 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
         return tables
     digest = hashlib.sha1(os.path.abspath(tag).encode()).hexdigest()[:12]
     root = os.path.join(base.replace("file:", ""), f"basket-tables-{digest}")
-    buckets = int(
-        spark.conf.get("basketry.buckets", spark.conf.get("spark.sql.shuffle.partitions"))
-    )
+    layout = spark.conf.get("basketry.layout", "clustered")
+    parts = int(spark.conf.get("basketry.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
     prefix = f"basketry_{digest}"
 
-    def save_bucketed(df: DataFrame, name: str, sort_cols: list[str]) -> DataFrame:
-        table = f"{prefix}_{name}"
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        (
-            df.write.mode("overwrite")
-            .bucketBy(buckets, "user_id")
-            .sortBy(*sort_cols)
-            .option("path", os.path.join(root, name))
-            .saveAsTable(table)
-        )
-        return spark.table(table)
+    def save_fact(df: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(root, name)
+        keys = ["user_id", "order_number"]
+        if layout == "bucketed":
+            table = f"{prefix}_{name}"
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            (
+                df.write.mode("overwrite")
+                .bucketBy(parts, "user_id")
+                .sortBy(*keys)
+                .option("path", path)
+                .saveAsTable(table)
+            )
+            return spark.table(table)
+        df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode(
+            "overwrite"
+        ).parquet(path)
+        return spark.read.parquet(path)
 
     def save_plain(df: DataFrame, name: str) -> DataFrame:
         path = os.path.join(root, name)
@@ -174,10 +186,8 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
         items_all = tables.orders.join(
             tables.order_products_prior.unionByName(tables.order_products_train), "order_id"
         ).select(ORDER_COLS + ITEM_COLS)
-    orders = save_bucketed(tables.orders, "orders", ["user_id", "order_number"])
-    items = save_bucketed(
-        items_all.select(ORDER_COLS + ITEM_COLS), "order_items", ["user_id", "order_number"]
-    )
+    orders = save_fact(tables.orders, "orders")
+    items = save_fact(items_all.select(ORDER_COLS + ITEM_COLS), "order_items")
     out = BasketTables(
         orders=orders,
         order_products_prior=items.where(F.col("eval_set") == "prior").select(
