@@ -21,9 +21,14 @@ def user_last_order(prior_items: DataFrame) -> DataFrame:
 
 def with_orders_back(prior_items: DataFrame) -> DataFrame:
     """Prior items plus ``orders_back`` (0 = last prior order, 1 = the one
-    before, ...)."""
+    before, ...).
+
+    Every user of ``prior_items`` has a row in its own per-user maximum, so
+    a left join equals the inner join; written as a left join on a key the
+    right side is unique on, Catalyst drops the join (and its scan) from
+    any plan that does not use ``orders_back``."""
     last = user_last_order(prior_items)
-    return prior_items.join(last, "user_id").withColumn(
+    return prior_items.join(last, "user_id", "left").withColumn(
         "orders_back", F.col("user_max") - F.col("order_number")
     )
 

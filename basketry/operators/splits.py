@@ -31,12 +31,15 @@ def user_bucket(user_id: Column, seed: int = DEFAULT_SEED) -> Column:
 
 def train_users(t: BasketTables) -> DataFrame:
     """Users with a train order and at least one prior order (the users
-    that have candidate rows)."""
-    prior_users = t.orders.where(F.col("eval_set") == "prior").select("user_id")
+    that have candidate rows): one grouped pass over orders."""
     return (
-        t.orders.where(F.col("eval_set") == "train")
+        t.orders.groupBy("user_id")
+        .agg(
+            F.bool_or(F.col("eval_set") == "train").alias("has_train"),
+            F.bool_or(F.col("eval_set") == "prior").alias("has_prior"),
+        )
+        .where(F.col("has_train") & F.col("has_prior"))
         .select("user_id")
-        .join(prior_users, "user_id", "left_semi")
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,21 +27,6 @@ def tune_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir, creating a scratch one only when
-    none is configured (local runs and tests).  On a cluster the setting
-    names a shared folder and is always read, never replaced."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir()
-    scratch = tempfile.mkdtemp(prefix="basketry-ckpt-")
-    sc.setCheckpointDir(scratch)
-    return sc.getCheckpointDir()
-
-
 def build_session(
     app: str = "basketry",
     cpus: int | str | None = None,

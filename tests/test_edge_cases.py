@@ -127,3 +127,21 @@ def test_last_order_window_free_matches_window(spark, small_tables):
         "product_id",
     )
     assert via_join == via_window
+
+
+def test_same_basket_heuristic_vs_exact(spark):
+    # user 1: baskets {1, 5} and {2, 4} -- same size and same mean id, so the
+    # reference's heuristic calls them "the same"; the exact test does not.
+    # user 2: the same basket {3, 7} twice.
+    t = make_tables(
+        spark,
+        orders=[
+            (1, 1, "prior", 1, 0, 0, None), (2, 1, "prior", 2, 0, 0, 3.0),
+            (3, 2, "prior", 1, 0, 0, None), (4, 2, "prior", 2, 0, 0, 3.0),
+        ],
+        prior=[(1, 1, 1, 0), (1, 5, 2, 0), (2, 2, 1, 0), (2, 4, 2, 0),
+               (3, 3, 1, 0), (3, 7, 2, 0), (4, 3, 1, 1), (4, 7, 2, 1)],
+    )
+    heuristic = {r.user_id for r in E.always_same_basket_users(t.prior_items).collect()}
+    exact = {r.user_id for r in E.always_same_basket_users(t.prior_items, exact=True).collect()}
+    assert heuristic == {1, 2} and exact == {2}
