@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.ranking import DEFAULT_BLOCK, blocked_row_number
+
 
 def user_last_order(prior_items: DataFrame) -> DataFrame:
     """user_id, user_max = the number of the user's last prior order."""
@@ -77,12 +79,16 @@ def dense_rank_times_bought(prior_items: DataFrame, min_times: int = 1) -> DataF
     )
 
 
-def product_occurrence_number(prior_items: DataFrame) -> DataFrame:
-    """k-th time the user buys the product, by order number."""
-    w = Window.partitionBy("user_id", "product_id").orderBy("order_number")
-    return prior_items.select(
-        "user_id",
-        "product_id",
+def product_occurrence_number(prior_items: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """k-th time the user buys the product, by order number.
+
+    A (user, product) pair bought in very many orders is numbered in blocks
+    of order numbers (``blocked_row_number``), so no task holds the whole
+    pair."""
+    return blocked_row_number(
+        prior_items.select("user_id", "product_id", "order_number"),
+        ["user_id", "product_id"],
         "order_number",
-        F.row_number().over(w).alias("product_time"),
-    )
+        out_col="product_time",
+        block=block,
+    ).select("user_id", "product_id", "order_number", "product_time")

@@ -145,3 +145,14 @@ def test_same_basket_heuristic_vs_exact(spark):
     heuristic = {r.user_id for r in E.always_same_basket_users(t.prior_items).collect()}
     exact = {r.user_id for r in E.always_same_basket_users(t.prior_items, exact=True).collect()}
     assert heuristic == {1, 2} and exact == {2}
+
+
+def test_blocked_row_number_equals_window(spark, small_tables):
+    from pyspark.sql import Window
+
+    p = small_tables.prior_items
+    w = Window.partitionBy("user_id", "product_id").orderBy("order_number")
+    plain = rows(p.withColumn("pt", F.row_number().over(w)), "user_id", "product_id", "order_number", "pt")
+    for block in (1, 2, 3, 4096):  # small blocks force many blocks per pair
+        blocked = H.product_occurrence_number(p, block=block)
+        assert rows(blocked, "user_id", "product_id", "order_number", "product_time") == plain
