@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from basketry.session import tune_session
 from basketry.sources.fixture import driver_basket_frames
+from basketry.sources.readers import read_basket_csv, read_basket_parquet
 
 ORDER_COLS = [
     "order_id",
@@ -110,13 +111,38 @@ def _session_key(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
 
 
+def source_kind(data_dir: str) -> str:
+    """What a data folder holds: the reference's six CSV files ("csv"), the
+    same six tables as parquet folders ("parquet"), or the driver's
+    TPC-H-like tables ("driver")."""
+    if os.path.exists(os.path.join(data_dir, "orders.csv")):
+        return "csv"
+    if os.path.isdir(os.path.join(data_dir, "orders")) and os.path.isdir(
+        os.path.join(data_dir, "order_products_prior")
+    ):
+        return "parquet"
+    return "driver"
+
+
+def load_tables(spark: SparkSession, data_dir: str) -> BasketTables:
+    kind = source_kind(data_dir)
+    if kind == "csv":
+        return BasketTables.from_frames(read_basket_csv(spark, data_dir))
+    if kind == "parquet":
+        return BasketTables.from_frames(read_basket_parquet(spark, data_dir))
+    return BasketTables.from_frames(driver_basket_frames(spark, data_dir))
+
+
 def basket_tables(spark: SparkSession, sf_dir: str) -> BasketTables:
-    """Basket tables for the driver data in ``sf_dir`` (memoised per session)."""
+    """Basket tables for the data in ``sf_dir`` (memoised per session).
+
+    ``sf_dir`` may hold the reference's CSV inputs, basket parquet tables
+    or the driver's tables (see ``source_kind``)."""
     key = _session_key(spark, sf_dir)
     if key in _MEMO:
         return _MEMO[key]
     tune_session(spark)
-    tables = BasketTables.from_frames(driver_basket_frames(spark, sf_dir))
+    tables = load_tables(spark, sf_dir)
     if spark.conf.get("basketry.materialize", "false").lower() == "true":
         tables = materialize(spark, tables, sf_dir)
     _MEMO[key] = tables

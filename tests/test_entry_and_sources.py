@@ -53,6 +53,12 @@ def test_csv_round_trip(spark, small_tables):
     assert rows(B.repeat_last_k_reorders(t, 3), "user_id", "f1") == rows(
         B.repeat_last_k_reorders(small_tables, 3), "user_id", "f1"
     )
+    # registered queries run on a folder of reference CSV files as well
+    qs = entry_mod.queries()
+    for name in ("topn_baseline", "submission_cascade", "product_dim"):
+        assert sorted(map(tuple, qs[name](spark, root).collect())) == sorted(
+            map(tuple, qs[name](spark, SF_SMALL).collect())
+        ), name
 
 
 def test_submission_sink(spark, small_tables):
