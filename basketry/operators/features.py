@@ -1,6 +1,6 @@
 """Product, user and user x product features and the candidate table.
 
-Everything is derived from ONE aggregation of prior items to
+Everything is derived from aggregations of prior items to
 (user_id, product_id) -- ``pair_stats`` -- instead of the reference's
 separate passes (a product_time window, four self-filters and four joins
 for the recency flags):
@@ -14,8 +14,10 @@ for the recency flags):
   (one row per product) and user features (one row per user).
 
 The pair aggregation is partial on the map side, so a hot user or product
-is reduced before the shuffle; when prior items are bucketed by user_id the
-user-level aggregates and joins reuse that partitioning.
+is reduced before the shuffle.  Only the candidate rows need the recency
+flags (and with them the join to each user's last order number); product
+and user features read the plain pair aggregation, so their branches scan
+prior items without that join.
 """
 
 from __future__ import annotations
@@ -256,10 +258,11 @@ def candidate_features(t: BasketTables) -> DataFrame:
     product), 27 features, label filled with 0, log transforms applied
     (ln of a zero user_period is NULL)."""
     pairs = pair_stats(t.prior_items)
+    plain = pair_stats(t.prior_items, with_recency=False)
     labels = t.train_items.select("user_id", "product_id", "reordered")
     data = (
-        pairs.join(product_features(pairs), "product_id")
-        .join(user_features(t.orders, pairs), "user_id")
+        pairs.join(product_features(plain), "product_id")
+        .join(user_features(t.orders, plain), "user_id")
         .transform(_rates)
         .join(labels, ["user_id", "product_id"], "left")
         .withColumn("reordered", F.coalesce("reordered", F.lit(0)))

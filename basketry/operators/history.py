@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.joins import join_back
 from basketry.functions.ranking import DEFAULT_BLOCK, blocked_row_number
 
 
@@ -26,11 +27,11 @@ def with_orders_back(prior_items: DataFrame) -> DataFrame:
     before, ...).
 
     Every user of ``prior_items`` has a row in its own per-user maximum, so
-    a left join equals the inner join; written as a left join on a key the
-    right side is unique on, Catalyst drops the join (and its scan) from
-    any plan that does not use ``orders_back``."""
+    the left join equals the inner join.  ``join_back`` keeps a dominant
+    user splittable by AQE; callers that do not need ``orders_back`` should
+    not ask for it (the join is not pruned)."""
     last = user_last_order(prior_items)
-    return prior_items.join(last, "user_id", "left").withColumn(
+    return join_back(prior_items, last, ["user_id"], "left").withColumn(
         "orders_back", F.col("user_max") - F.col("order_number")
     )
 

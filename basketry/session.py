@@ -14,10 +14,10 @@ WORKLOAD_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Nearly every heavy operator is keyed by user_id or (user_id,
-    # product_id).  With this off, a join on (user_id, product_id) of two
-    # sides already hashed by user_id adds no exchange.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Joins on (user_id, product_id) hash on BOTH keys (Spark's default,
+    # stated here on purpose): reusing a user_id-only partitioning would
+    # save an exchange but keep a dominant user in one task.
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }
 
 

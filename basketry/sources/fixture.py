@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.joins import join_back
 from basketry.sources.readers import read_driver_table
 
 # Fixed values of the fixture rules (FIXTURES.md part B).
@@ -182,7 +183,7 @@ def driver_basket_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
         F.min("order_number").alias("first_number")
     )
     order_items = (
-        items.join(firsts, ["user_id", "product_id"])
+        join_back(items, firsts, ["user_id", "product_id"])
         .withColumn("reordered", (F.col("order_number") > F.col("first_number")).cast("int"))
         .select(
             "order_id",
