@@ -6,11 +6,9 @@
 * standard error is the sample standard deviation over sqrt(n);
 * histogram bins are right-closed with the lowest bin closed on both sides.
 
-``percentile`` is mergeable: each map task keeps a count per distinct value
-and the final task merges those maps, so its memory follows the number of
-*distinct* values in a group, not the number of rows.  Every quantile used
-here is taken over per-user or per-order values (metrics, shares, basket
-sizes) whose distinct values are bounded by basket sizes.
+Quantiles come from ``quantiles.exact_quantiles``: exact (R type 7), with
+memory bounded by a sketch accuracy instead of the number of distinct
+values in a group.
 """
 
 from __future__ import annotations
@@ -18,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.quantiles import exact_quantiles
+
 # The row labels and probabilities of R's six-number summary.
 SUMMARY_STATS = ["Min.", "1st Qu.", "Median", "Mean", "3rd Qu.", "Max."]
 QUARTILES = [0.25, 0.5, 0.75]
@@ -28,48 +28,58 @@ def standard_error(col: str | Column) -> Column:
     return F.stddev_samp(c) / F.sqrt(F.count(F.lit(1)))
 
 
-def summary_aggs(col: str) -> list[Column]:
-    """Aggregates behind the six statistics of one numeric column."""
-    c = F.col(col).cast("double")
-    return [
-        F.min(c).alias(f"{col}__min"),
-        F.percentile(c, F.array(*[F.lit(q) for q in QUARTILES])).alias(f"{col}__q"),
-        F.avg(c).alias(f"{col}__mean"),
-        F.max(c).alias(f"{col}__max"),
-    ]
-
-
-def _stat_value(col: str, stat: str) -> Column:
-    return {
-        "Min.": F.col(f"{col}__min"),
-        "1st Qu.": F.col(f"{col}__q")[0],
-        "Median": F.col(f"{col}__q")[1],
-        "Mean": F.col(f"{col}__mean"),
-        "3rd Qu.": F.col(f"{col}__q")[2],
-        "Max.": F.col(f"{col}__max"),
-    }[stat]
-
-
 def six_number_summary(
     df: DataFrame, cols: list[str], group_cols: list[str] | None = None
 ) -> DataFrame:
-    """R's ``apply(m, 2, summary)``: one row per statistic, one column per
-    input column, per group.  One aggregation computes every statistic of
-    every column; the 6 rows per group are produced afterwards with an
-    inline array explode over that one-row-per-group result."""
-    group_cols = list(group_cols or [])
-    aggs = [a for c in cols for a in summary_aggs(c)]
-    wide = df.groupBy(*group_cols).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(stat).alias("stat"),
-                *[_stat_value(c, stat).cast("double").alias(c) for c in cols],
+    """R's ``apply(m, 2, summary)``: one row per statistic (``stat``), one
+    DOUBLE column per input column, per group.
+
+    The input columns are stacked into (metric, value) rows (a fixed fan-out
+    of ``len(cols)``); min / mean / max are one partial aggregation and the
+    quartiles come from ``exact_quantiles`` (bounded memory, exact)."""
+    groups = list(group_cols or [])
+    long = df.select(
+        *groups,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("_metric"), F.col(c).cast("double").alias("_x"))
+                    for c in cols
+                ]
             )
-            for stat in SUMMARY_STATS
-        ]
+        ),
+    )
+    per_metric = exact_quantiles(
+        long,
+        "_x",
+        QUARTILES,
+        groups + ["_metric"],
+        out_cols=["_q1", "_q2", "_q3"],
+        extra_aggs=[F.min("_v").alias("_min"), F.avg("_v").alias("_mean"), F.max("_v").alias("_max")],
+    )
+    stat_value = {
+        "Min.": "_min",
+        "1st Qu.": "_q1",
+        "Median": "_q2",
+        "Mean": "_mean",
+        "3rd Qu.": "_q3",
+        "Max.": "_max",
+    }
+    stats = per_metric.select(
+        *groups,
+        "_metric",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(s).alias("stat"), F.col(stat_value[s]).alias("_value"))
+                    for s in SUMMARY_STATS
+                ]
+            )
+        ),
+    )
+    return stats.groupBy(*groups, "stat").agg(
+        *[F.max(F.when(F.col("_metric") == c, F.col("_value"))).alias(c) for c in cols]
     )
-    return wide.select(*group_cols, F.inline(rows))
 
 
 def right_closed_bin(x: Column, lo: float, width: float, bins: int) -> Column:

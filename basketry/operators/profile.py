@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.quantiles import exact_quantiles
 from basketry.functions.stats import right_closed_bin, six_number_summary, standard_error
 from basketry.operators.history import recent_items
 
@@ -154,14 +155,14 @@ def basket_size_by(prior_items: DataFrame, bucket: str) -> DataFrame:
 
 def basket_size_by_hod_last_order(prior_items: DataFrame) -> DataFrame:
     """Mean and median basket size of last prior orders by hour."""
-    return (
-        basket_sizes(recent_items(prior_items, 1), ["order_hour_of_day"])
-        .groupBy("order_hour_of_day")
-        .agg(
-            F.avg("basket_size").alias("mean"),
-            F.percentile(F.col("basket_size").cast("double"), F.lit(0.5)).alias("median"),
-        )
-    )
+    return exact_quantiles(
+        basket_sizes(recent_items(prior_items, 1), ["order_hour_of_day"]),
+        "basket_size",
+        [0.5],
+        ["order_hour_of_day"],
+        out_cols=["median"],
+        extra_aggs=[F.avg("_v").alias("mean")],
+    ).select("order_hour_of_day", "mean", "median")
 
 
 def basket_size_per_user(prior_items: DataFrame) -> DataFrame:
@@ -175,10 +176,13 @@ def basket_size_per_user(prior_items: DataFrame) -> DataFrame:
 
 def basket_size_mean_q95(prior_items: DataFrame) -> DataFrame:
     """Mean and 95% quantile of per-user mean basket size."""
-    return basket_size_per_user(prior_items).agg(
-        F.avg("ave_basket_size").alias("mean"),
-        F.percentile("ave_basket_size", F.lit(0.95)).alias("q95"),
-    )
+    return exact_quantiles(
+        basket_size_per_user(prior_items),
+        "ave_basket_size",
+        [0.95],
+        out_cols=["q95"],
+        extra_aggs=[F.avg("_v").alias("mean")],
+    ).select("mean", "q95")
 
 
 def basket_size_by_dow_ci(prior_items: DataFrame, z: float = 1.96) -> DataFrame:
