@@ -6,26 +6,34 @@ Family II -- target "ordered": truth is every product of the train order
              (first-time purchases included), population is the
              validation users of the holdout split.
 
-User filters are applied to prior items before anything is computed per
-user.  Predictions hold one row per (user, product); they meet the truth in
-``join_prediction_truth`` and are scored by ``basket_metrics``.  Top-N for
-all N at once is one aggregation (``sweep_metrics``), not ten runs.
+Every baseline of a family is a flag or a rank over the SAME table: the
+user's (user, product) purchase history aggregated once (times bought,
+first order, recency flags), merged with the truth (a union and a hash
+aggregation per (user, product), i.e. the full outer join of prediction and
+truth).  ``labelled_metrics`` then scores any set of baselines in one
+aggregation per user: the leaderboard of all nine baselines (27 rows) is two
+aggregations over two merged tables, not nine pipelines.
+
+Ranks (top-N) are dense ranks over one user's merged rows: one row per
+distinct product of the user, bounded by the catalogue.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.joins import join_back
 from basketry.functions.metrics import METRICS, basket_metrics
-from basketry.operators.evaluate import join_prediction_truth, rank_thresholds, sweep_metrics
-from basketry.operators.history import dense_rank_times_bought, recent_items
+from basketry.operators.evaluate import join_prediction_truth, labelled_metrics
+from basketry.operators.history import recent_items, with_orders_back
 from basketry.operators.splits import users_in_part
 from basketry.sources.tables import BasketTables
 
 TOP_N_MAX = 10
+KEYS = ["user_id", "product_id"]
 
 
 # -------------------------------------------------------------------- inputs
@@ -53,14 +61,121 @@ def ordered_truth(t: BasketTables) -> DataFrame:
 
 
 def _prior_of(t: BasketTables, users: DataFrame) -> DataFrame:
-    return t.prior_items.join(users, "user_id", "left_semi")
+    """Prior items of a user set; the semi join keeps a dominant user
+    splittable (``join_back``)."""
+    return join_back(t.prior_items, users, ["user_id"], "left_semi")
+
+
+def _flag(cond: Column) -> Column:
+    return F.max(F.when(cond, 1).otherwise(0)).cast("int")
+
+
+def history_pairs(prior: DataFrame) -> DataFrame:
+    """One row per (user, product) of ``prior``: times bought, first order,
+    the user's last prior order number, and recency flags -- bought in the
+    last order (last1), in the last two (last2), re-ordered in the last
+    one / two / three orders (last1_reo, last2_reo, last3_reo)."""
+    back = F.col("orders_back")
+    reo = F.col("reordered") == 1
+    return (
+        with_orders_back(prior)
+        .groupBy(*KEYS)
+        .agg(
+            F.count(F.lit(1)).alias("times"),
+            F.min("order_number").alias("first_order"),
+            F.max("user_max").alias("user_max"),
+            _flag(back == 0).alias("last1"),
+            _flag(back <= 1).alias("last2"),
+            _flag((back == 0) & reo).alias("last1_reo"),
+            _flag((back <= 1) & reo).alias("last2_reo"),
+            _flag((back <= 2) & reo).alias("last3_reo"),
+        )
+    )
+
+
+def merge_truth(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Full outer join of history pairs and truth on (user, product) as a
+    union + hash aggregation; ``candidate`` = 1 for pairs seen in prior
+    orders, ``y_act`` = truth flag (0 when absent)."""
+    flag_cols = [c for c in pairs.columns if c not in KEYS]
+    types = {f.name: f.dataType for f in pairs.schema.fields}
+    p = pairs.select(
+        *KEYS, *flag_cols, F.lit(1).alias("candidate"), F.lit(None).cast("int").alias("y_act")
+    )
+    t = truth.select(
+        *KEYS,
+        *[F.lit(None).cast(types[c]).alias(c) for c in flag_cols],
+        F.lit(None).cast("int").alias("candidate"),
+        "y_act",
+    )
+    return (
+        p.unionByName(t)
+        .groupBy(*KEYS)
+        .agg(
+            *[F.max(c).alias(c) for c in flag_cols + ["candidate"]],
+            F.coalesce(F.max("y_act"), F.lit(0)).alias("y_act"),
+        )
+    )
+
+
+def family1_table(t: BasketTables) -> DataFrame:
+    """Train users: history flags, rank by times bought (dense, ties kept,
+    once-bought products unranked), truth = reordered."""
+    merged = merge_truth(history_pairs(_prior_of(t, train_order_users(t))), reordered_truth(t))
+    by_times = Window.partitionBy("user_id").orderBy(F.col("times").desc_nulls_last())
+    return merged.withColumn(
+        "rank_times", F.when(F.col("times") >= 2, F.dense_rank().over(by_times))
+    )
+
+
+def family2_table(t: BasketTables) -> DataFrame:
+    """Validation users: history flags, rank by order rate since the first
+    order (= up_order_rate_since_first_order), truth = ordered."""
+    merged = merge_truth(history_pairs(_prior_of(t, validation_users(t))), ordered_truth(t))
+    rate = F.col("times") / (F.col("user_max") - F.col("first_order") + 1)
+    by_rate = Window.partitionBy("user_id").orderBy(F.col("rate").desc_nulls_last())
+    return merged.withColumn("rate", rate).withColumn(
+        "rank_rate", F.when(F.col("candidate") == 1, F.dense_rank().over(by_rate))
+    )
+
+
+Case = tuple[str, "int | None", Column]  # (benchmark, n, predicted)
+
 
+def _case(benchmark: str, cond: Column, n: int | None = None) -> Case:
+    return (benchmark, n, cond)
+
+
+def score_cases(table: DataFrame, cases: list[Case]) -> DataFrame:
+    """benchmark, n, user_id, metrics for every case, in one aggregation."""
+    labelled = [
+        ({"benchmark": F.lit(b), "n": F.lit(n).cast("int")}, cond) for b, n, cond in cases
+    ]
+    return labelled_metrics(table, "user_id", F.col("y_act"), labelled)
 
-def _score(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    return basket_metrics(join_prediction_truth(pred, truth), key="user_id")
 
+def _only(cases: list[Case], benchmark: str) -> list[Case]:
+    return [c for c in cases if c[0] == benchmark]
 
-# ---------------------------------------------------- Family I predictions
+
+def family1_cases(max_n: int = TOP_N_MAX) -> list[Case]:
+    return [
+        _case("repeat_last_order", F.col("last1") == 1),
+        _case("repeat_last_re_order", F.col("last1_reo") == 1),
+        _case("repeat_last_2_re_order", F.col("last2_reo") == 1),
+        _case("repeat_last_3_re_order", F.col("last3_reo") == 1),
+    ] + [_case("top_n", F.col("rank_times") <= n, n) for n in range(1, max_n + 1)]
+
+
+def family2_cases(max_n: int = TOP_N_MAX) -> list[Case]:
+    return [
+        _case("all_ordered", F.col("candidate") == 1),
+        _case("last_order", F.col("last1") == 1),
+        _case("last_two_orders", F.col("last2") == 1),
+    ] + [_case("top_n_by_rate", F.col("rank_rate") <= n, n) for n in range(1, max_n + 1)]
+
+
+# ----------------------------------------------------------- single baselines
 
 
 def last_orders_prediction(prior: DataFrame, k: int, reordered_only: bool) -> DataFrame:
@@ -72,26 +187,25 @@ def last_orders_prediction(prior: DataFrame, k: int, reordered_only: bool) -> Da
     return items.select("user_id", "product_id").distinct().withColumn("y_hat", F.lit(1))
 
 
+def _family1(t: BasketTables, benchmark: str) -> DataFrame:
+    return score_cases(family1_table(t), _only(family1_cases(), benchmark)).select(
+        "user_id", *METRICS
+    )
+
+
 def repeat_last_order(t: BasketTables) -> DataFrame:
     """B1: predict the last prior order."""
-    pred = last_orders_prediction(_prior_of(t, train_order_users(t)), 1, False)
-    return _score(pred, reordered_truth(t))
+    return _family1(t, "repeat_last_order")
 
 
 def repeat_last_reorders(t: BasketTables) -> DataFrame:
-    """B2: y_hat = reordered flag of the last prior order's lines (lines
-    with flag 0 stay as predictions of 0)."""
-    prior = _prior_of(t, train_order_users(t))
-    pred = recent_items(prior, 1).select(
-        "user_id", "product_id", F.col("reordered").alias("y_hat")
-    )
-    return _score(pred, reordered_truth(t))
+    """B2: y_hat = reordered flag of the last prior order's lines."""
+    return _family1(t, "repeat_last_re_order")
 
 
 def repeat_last_k_reorders(t: BasketTables, k: int) -> DataFrame:
     """B3 (k=2) / B4 (k=3): re-ordered products of the last k orders."""
-    pred = last_orders_prediction(_prior_of(t, train_order_users(t)), k, True)
-    return _score(pred, reordered_truth(t))
+    return _family1(t, {2: "repeat_last_2_re_order", 3: "repeat_last_3_re_order"}[k])
 
 
 def prediction_truth_full_join(t: BasketTables, k: int = 3) -> DataFrame:
@@ -103,95 +217,65 @@ def prediction_truth_full_join(t: BasketTables, k: int = 3) -> DataFrame:
 
 
 def topn_baseline(t: BasketTables, max_n: int = TOP_N_MAX) -> DataFrame:
-    """The user's products ranked by times bought (dense rank, ties
-    kept, once-bought products excluded); for each N, predict rank <= N.
-    Output: n, user_id, metrics."""
-    prior = _prior_of(t, train_order_users(t))
-    ranked = (
-        dense_rank_times_bought(prior, min_times=2)
-        .where(F.col("rank") <= max_n)
-        .select("user_id", "product_id", "rank")
-    )
-    return _topn_metrics(ranked, reordered_truth(t), max_n)
-
-
-def _topn_metrics(ranked: DataFrame, truth: DataFrame, max_n: int) -> DataFrame:
-    keys = ["user_id", "product_id"]
-    merged = (
-        ranked.select(*keys, "rank", F.lit(None).cast("int").alias("y_act"))
-        .unionByName(truth.select(*keys, F.lit(None).cast("int").alias("rank"), "y_act"))
-        .groupBy(*keys)
-        .agg(F.min("rank").alias("rank"), F.coalesce(F.max("y_act"), F.lit(0)).alias("y_act"))
+    """For each N, predict the products of dense rank <= N by times
+    bought (ties kept, once-bought excluded).  Output: n, user_id, metrics."""
+    return score_cases(family1_table(t), _only(family1_cases(max_n), "top_n")).select(
+        "n", "user_id", *METRICS
     )
-    return sweep_metrics(
-        merged, "user_id", F.col("y_act"), rank_thresholds(F.col("rank"), max_n), "n", "int"
-    ).select("n", "user_id", *METRICS)
 
 
-# --------------------------------------------------- Family II predictions
-
-
-def validation_candidates(candidates: DataFrame, t: BasketTables) -> DataFrame:
-    """Candidate rows of validation users (``train_ud``)."""
-    return candidates.where(F.col("eval_set") == "train").join(
-        validation_users(t), "user_id", "left_semi"
+def _family2(t: BasketTables, benchmark: str) -> DataFrame:
+    return score_cases(family2_table(t), _only(family2_cases(), benchmark)).select(
+        "user_id", *METRICS
     )
 
 
-def all_ordered_baseline(t: BasketTables, candidates: DataFrame) -> DataFrame:
+def all_ordered_baseline(t: BasketTables) -> DataFrame:
     """Every candidate of a validation user predicted."""
-    pred = validation_candidates(candidates, t).select(
-        "user_id", "product_id", F.lit(1).alias("y_hat")
-    )
-    return _score(pred, ordered_truth(t))
+    return _family2(t, "all_ordered")
 
 
-def topn_by_rate_baseline(t: BasketTables, candidates: DataFrame, max_n: int = TOP_N_MAX) -> DataFrame:
-    """Dense rank of up_order_rate_since_first_order per validation
-    user; for each N predict rank <= N.  Output: n, user_id, metrics."""
-    w = Window.partitionBy("user_id").orderBy(F.col("up_order_rate_since_first_order").desc())
-    ranked = (
-        validation_candidates(candidates, t)
-        .select("user_id", "product_id", F.dense_rank().over(w).alias("rank"))
-        .where(F.col("rank") <= max_n)
+def topn_by_rate_baseline(t: BasketTables, max_n: int = TOP_N_MAX) -> DataFrame:
+    """Dense rank of the order rate since the first order; for each N
+    predict rank <= N.  Output: n, user_id, metrics."""
+    return score_cases(family2_table(t), _only(family2_cases(max_n), "top_n_by_rate")).select(
+        "n", "user_id", *METRICS
     )
-    return _topn_metrics(ranked, ordered_truth(t), max_n)
 
 
 def last_orders_ordered_baseline(t: BasketTables, k: int) -> DataFrame:
     """B8 (k=1) / B9 (k=2): distinct products of the last k orders of
     validation users, target ordered."""
-    pred = last_orders_prediction(_prior_of(t, validation_users(t)), k, False)
-    return _score(pred, ordered_truth(t))
+    return _family2(t, {1: "last_order", 2: "last_two_orders"}[k])
 
 
-# ---------------------------------------------------------------- leaderboard
+def validation_candidates(candidates: DataFrame, t: BasketTables) -> DataFrame:
+    """Candidate rows of validation users (``train_ud``)."""
+    return candidates.where(F.col("eval_set") == "train").join(
+        validation_users(t), "user_id", "left_semi"
+    )
 
 
-def baseline_leaderboard(t: BasketTables, candidates: DataFrame) -> DataFrame:
-    """Every baseline side by side: family, benchmark, n, users and the
-    mean of each metric.  One union of per-user metric tables and one
-    aggregation."""
+# ---------------------------------------------------------------- leaderboard
 
-    def tag(df: DataFrame, family: str, name: str, with_n: bool = False) -> DataFrame:
-        n = F.col("n") if with_n else F.lit(None).cast("int")
-        return df.select(
-            F.lit(family).alias("family"), F.lit(name).alias("benchmark"), n.alias("n"), *METRICS
-        )
 
+def baseline_leaderboard(t: BasketTables) -> DataFrame:
+    """Every baseline side by side: family, benchmark, n, users and the
+    mean of each metric -- one metric aggregation per family."""
     parts = [
-        tag(repeat_last_order(t), "I", "repeat_last_order"),
-        tag(repeat_last_reorders(t), "I", "repeat_last_re_order"),
-        tag(repeat_last_k_reorders(t, 2), "I", "repeat_last_2_re_order"),
-        tag(repeat_last_k_reorders(t, 3), "I", "repeat_last_3_re_order"),
-        tag(topn_baseline(t), "I", "top_n", with_n=True),
-        tag(all_ordered_baseline(t, candidates), "II", "all_ordered"),
-        tag(topn_by_rate_baseline(t, candidates), "II", "top_n_by_rate", with_n=True),
-        tag(last_orders_ordered_baseline(t, 1), "II", "last_order"),
-        tag(last_orders_ordered_baseline(t, 2), "II", "last_two_orders"),
+        score_cases(family1_table(t), family1_cases()).withColumn("family", F.lit("I")),
+        score_cases(family2_table(t), family2_cases()).withColumn("family", F.lit("II")),
     ]
     table = reduce(DataFrame.unionByName, parts)
     return table.groupBy("family", "benchmark", "n").agg(
         F.count(F.lit(1)).alias("users"),
         *[F.avg(m).alias(f"mean_{m}") for m in METRICS],
     )
+
+
+__all__ = [
+    "basket_metrics",
+    "baseline_leaderboard",
+    "family1_table",
+    "family2_table",
+]

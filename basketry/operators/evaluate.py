@@ -51,38 +51,40 @@ def join_prediction_truth(
     )
 
 
-def sweep_metrics(
+def labelled_metrics(
     df: DataFrame,
     key: str,
     truth: Column,
-    thresholds: list[tuple[object, Column]],
-    label: str,
-    label_type: str,
+    cases: list[tuple[dict[str, Column], Column]],
     guarded: bool = True,
 ) -> DataFrame:
-    """Metrics per (threshold, key) for a family of nested predictions.
-
-    ``thresholds`` pairs a label value with the boolean "predicted at this
-    threshold" column.  Output: label, key, tp, cp, pcp, precision, recall,
-    f1."""
+    """Metrics of several predictions at once, one row per (case, key).
+
+    ``cases`` pairs label columns (e.g. ``{"benchmark": lit("top_n"), "n":
+    lit(3)}``) with the boolean "predicted" column of that case.  ONE
+    aggregation per key holds ``cp = sum(truth)`` and, per case,
+    ``pcp_i = count_if(predicted)`` and ``tp_i = count_if(predicted and
+    true)``; the per-key row is then unpivoted.  Output: label columns,
+    key, tp, cp, pcp, precision, recall, f1."""
+    labels = list(cases[0][0])
     aggs = [F.coalesce(F.sum(truth), F.lit(0)).cast("bigint").alias("cp")]
-    for i, (_, cond) in enumerate(thresholds):
+    for i, (_, cond) in enumerate(cases):
         aggs.append(F.count_if(cond).alias(f"pcp_{i}"))
         aggs.append(F.count_if(cond & (truth == 1)).alias(f"tp_{i}"))
     wide = df.groupBy(key).agg(*aggs)
     rows = F.array(
         *[
             F.struct(
-                F.lit(value).cast(label_type).alias(label),
+                *[lab[name].alias(name) for name in labels],
                 F.col(f"tp_{i}").alias("tp"),
                 F.col(f"pcp_{i}").alias("pcp"),
             )
-            for i, (value, _) in enumerate(thresholds)
+            for i, (lab, _) in enumerate(cases)
         ]
     )
     long = wide.select(key, "cp", F.inline(rows))
     return long.select(
-        label,
+        *labels,
         key,
         "tp",
         "cp",
@@ -91,6 +93,21 @@ def sweep_metrics(
     )
 
 
+def sweep_metrics(
+    df: DataFrame,
+    key: str,
+    truth: Column,
+    thresholds: list[tuple[object, Column]],
+    label: str,
+    label_type: str,
+    guarded: bool = True,
+) -> DataFrame:
+    """Metrics per (threshold, key) for a family of nested predictions
+    (``labelled_metrics`` with one label column)."""
+    cases = [({label: F.lit(value).cast(label_type)}, cond) for value, cond in thresholds]
+    return labelled_metrics(df, key, truth, cases, guarded)
+
+
 def cutoff_thresholds(score: Column) -> list[tuple[float, Column]]:
     """Strict ``score > cutoff`` for each cutoff of the grid."""
     return [(c, score > F.lit(c)) for c in cutoffs()]

@@ -458,12 +458,12 @@ def _b5(t):
 
 @query("all_ordered_baseline")
 def _b6(t):
-    return B.all_ordered_baseline(t, candidates(t))
+    return B.all_ordered_baseline(t)
 
 
 @query("topn_by_rate_baseline")
 def _b7(t):
-    return B.topn_by_rate_baseline(t, candidates(t))
+    return B.topn_by_rate_baseline(t)
 
 
 @query("last_order_ordered_baseline")
@@ -478,7 +478,7 @@ def _b9(t):
 
 @query("baseline_leaderboard")
 def _b10(t):
-    return B.baseline_leaderboard(t, candidates(t))
+    return B.baseline_leaderboard(t)
 
 
 # ------------------------------------------------------------ evaluation
