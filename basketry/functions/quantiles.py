@@ -72,7 +72,7 @@ def exact_quantiles(
     k = len(probs)
     extra_names = [c for c in sketch.columns if c not in (*keys, "_n", "_b")]
     n = F.col("_n").cast("double")
-    slack = n / F.lit(float(accuracy)) + F.lit(2.0)
+    slack = F.lit(2.0) * n / F.lit(float(accuracy)) + F.lit(2.0)
 
     def bounds(p: float) -> tuple:
         """Narrowest sketch values whose rank guarantee still brackets the
