@@ -25,15 +25,20 @@ def blocked_row_number(
     order_col: str,
     out_col: str = "row_number",
     block: int = DEFAULT_BLOCK,
+    tie_break: list[str] | None = None,
 ) -> DataFrame:
     """``df`` plus ``out_col`` = 1-based position of the row in its group by
-    ``order_col`` (a non-negative integer column; ties are numbered in an
-    arbitrary order, as with ``row_number``)."""
+    ``order_col`` (a non-negative integer column), then by the ``tie_break``
+    columns (without them ties are numbered in an arbitrary order, as with
+    ``row_number``).  Blocks cut ``order_col`` only, so equal keys share a
+    block and the tie-break applies inside it."""
     blk = "_blk"
     keyed = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block)))
     inner = keyed.withColumn(
         "_rn_in_block",
-        F.row_number().over(Window.partitionBy(*group_cols, blk).orderBy(order_col)),
+        F.row_number().over(
+            Window.partitionBy(*group_cols, blk).orderBy(order_col, *(tie_break or []))
+        ),
     )
     per_block = keyed.groupBy(*group_cols, blk).agg(F.count(F.lit(1)).alias("_n"))
     offsets = per_block.select(

@@ -11,10 +11,9 @@ Mapping (see FIXTURES.md, part B):
   user_id % 11 < 7, else test); all earlier ones are prior
 * reordered   = the user bought the product in an earlier order
 
-Plan shape: line items are hashed on order id once; grouping to
-(order, product), the cart-position window and the join to orders all reuse
-that exchange.  The reorder flag needs one more exchange on
-(user_id, product_id).  No window spans all rows of a user: order numbers
+Plan shape: line items are grouped to (order, product); cart positions are
+numbered in blocks of line numbers; the join to orders is on order id.  The
+reorder flag is a per-(user, product) minimum joined back.  No window spans all rows of a user: order numbers
 are built from per-(user, day) pieces (see ``_orders``).  Windows over the
 product dimension are global, which is acceptable because that table is
 bounded by the catalogue (brands x types), not by the data volume.
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.joins import join_back
+from basketry.functions.ranking import blocked_row_number
 from basketry.sources.readers import read_driver_table
 
 # Fixed values of the fixture rules (FIXTURES.md part B).
@@ -172,10 +172,11 @@ def driver_basket_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
         .groupBy(F.col("l_orderkey").alias("order_id"), "product_id")
         .agg(F.min("l_linenumber").alias("first_line"))
     )
-    cart = Window.partitionBy("order_id").orderBy("first_line", "product_id")
-    items = lines.withColumn("add_to_cart_order", F.row_number().over(cart)).join(
-        orders, "order_id"
-    )
+    # cart position: numbered in blocks of line numbers, so even an order
+    # with a huge number of lines is not one task
+    items = blocked_row_number(
+        lines, ["order_id"], "first_line", out_col="add_to_cart_order", tie_break=["product_id"]
+    ).join(orders, "order_id")
     # reordered: the user bought the product in an earlier order.  The first
     # order number of each (user, product) is a partial aggregation joined
     # back (AQE splits a dominant pair), not a window over all its lines.

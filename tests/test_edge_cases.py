@@ -156,3 +156,17 @@ def test_blocked_row_number_equals_window(spark, small_tables):
     for block in (1, 2, 3, 4096):  # small blocks force many blocks per pair
         blocked = H.product_occurrence_number(p, block=block)
         assert rows(blocked, "user_id", "product_id", "order_number", "product_time") == plain
+
+
+def test_blocked_row_number_tie_break(spark):
+    from basketry.functions.ranking import blocked_row_number
+
+    # order 1: line numbers repeat, ties broken by product id
+    df = spark.createDataFrame(
+        [(1, 5, 2), (1, 3, 2), (1, 9, 1), (1, 4, 7), (1, 1, 7), (2, 8, 1)],
+        "order_id long, product_id long, first_line int",
+    )
+    for block in (1, 2, 4096):
+        out = blocked_row_number(df, ["order_id"], "first_line", "pos", block, ["product_id"])
+        got = sorted((r.order_id, r.product_id, r.pos) for r in out.collect())
+        assert got == [(1, 1, 4), (1, 3, 2), (1, 4, 5), (1, 5, 3), (1, 9, 1), (2, 8, 1)]
