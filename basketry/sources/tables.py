@@ -178,7 +178,10 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
         # machine-local path.
         return tables
     digest = hashlib.sha1(os.path.abspath(tag).encode()).hexdigest()[:12]
-    root = os.path.join(base.replace("file:", ""), f"basket-tables-{digest}")
+    # one folder per application: concurrent applications never overwrite
+    # each other's files
+    app = spark.sparkContext.applicationId.replace("/", "_")
+    root = os.path.join(base.replace("file:", ""), f"basket-tables-{digest}-{app}")
     layout = spark.conf.get("basketry.layout", "clustered")
     parts = int(spark.conf.get("basketry.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
     prefix = f"basketry_{digest}"
