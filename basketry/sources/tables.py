@@ -9,17 +9,19 @@ every analysis starts from:
 
 ``basket_tables(spark, sf_dir)`` is the provider used by the query
 catalogue.  By default it returns a lazy plan over the driver's parquet.
-When the session sets ``basketry.materialize=true`` the derived tables are
-written once to the session's checkpoint folder (the shared folder a
-cluster names in ``spark.checkpoint.dir``) and every later query scans
-those files: lineage is cut and a lost executor only re-reads files.  See
-``materialize`` for the two file layouts.
+When the session names a checkpoint folder (``spark.checkpoint.dir``, the
+shared folder of the cluster) the derived tables are written there once per
+application and every later query scans those files: lineage is cut, a
+lost executor only re-reads files, and the derivation is not repeated per
+query.  ``basketry.materialize`` = "auto" (default) / "true" / "false".
+See ``materialize`` for the two file layouts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -143,12 +145,25 @@ def basket_tables(spark: SparkSession, sf_dir: str) -> BasketTables:
         return _MEMO[key]
     tune_session(spark)
     tables = load_tables(spark, sf_dir)
-    if spark.conf.get("basketry.materialize", "false").lower() == "true":
+    if should_materialize(spark):
         tables = materialize(spark, tables, sf_dir)
     _MEMO[key] = tables
     return tables
 
 
+def checkpoint_base(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def should_materialize(spark: SparkSession) -> bool:
+    """``basketry.materialize``: "true", "false" or "auto" (default) -- write
+    the derived tables once whenever the session names a checkpoint folder."""
+    mode = spark.conf.get("basketry.materialize", "auto").lower()
+    if mode == "auto":
+        return checkpoint_base(spark) is not None
+    return mode == "true"
+
+
 def forget(spark: SparkSession | None = None) -> None:
     """Drop memoised tables (all, or those of one session)."""
     for key in list(_MEMO):
@@ -172,19 +187,21 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
       aggregates and joins need no exchange at all.  A bucket is read by one
       task, so this layout is only for data without a dominant user.
     """
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    base = checkpoint_base(spark)
     if not base:
         # No shared folder is configured: stay lazy rather than write to a
         # machine-local path.
         return tables
     digest = hashlib.sha1(os.path.abspath(tag).encode()).hexdigest()[:12]
-    # one folder per application: concurrent applications never overwrite
-    # each other's files
+    # a fresh folder per materialisation: nothing that an existing DataFrame
+    # (of this or another application) reads is ever overwritten
     app = spark.sparkContext.applicationId.replace("/", "_")
-    root = os.path.join(base.replace("file:", ""), f"basket-tables-{digest}-{app}")
+    root = os.path.join(
+        base.replace("file:", ""), f"basket-tables-{digest}-{app}-{uuid.uuid4().hex[:8]}"
+    )
     layout = spark.conf.get("basketry.layout", "clustered")
     parts = int(spark.conf.get("basketry.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
-    prefix = f"basketry_{digest}"
+    prefix = "basketry_" + os.path.basename(root).replace("-", "_")
 
     def save_fact(df: DataFrame, name: str) -> DataFrame:
         path = os.path.join(root, name)
@@ -201,13 +218,13 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
             )
             return spark.table(table)
         df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode(
-            "overwrite"
+            "errorifexists"
         ).parquet(path)
         return spark.read.parquet(path)
 
     def save_plain(df: DataFrame, name: str) -> DataFrame:
         path = os.path.join(root, name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
 
     items_all = tables.order_items

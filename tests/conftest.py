@@ -31,8 +31,10 @@ def spark():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    # Tests own their scratch checkpoint folder (a cluster names a shared one).
-    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketry-test-ckpt-"))
+    # Use the folder the session names; only where none is set, take a
+    # scratch one (a cluster names a shared folder).
+    if not session.sparkContext.getCheckpointDir():
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketry-test-ckpt-"))
     yield session
     session.stop()
 
