@@ -7,7 +7,8 @@ aisle to drill into) are fixed here; the library functions take them as
 arguments.
 
 Report precision: DOUBLE columns of a registered query are rounded to 6
-decimals as ``floor(x * 1e6 + 0.5) / 1e6``.  The SQL twins apply the same
+decimals as ``floor(x * 1e6 + 0.5) / 1e6`` (values of magnitude 1e12 and
+more are left as they are).  The SQL twins apply the same
 arithmetic, so both engines round identically; library functions return
 full precision.
 """
@@ -51,10 +52,11 @@ def round6(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
+            x = F.col(f.name)
+            rounded = F.floor(x * F.lit(1000000.0) + F.lit(0.5)) / F.lit(1000000.0)
+            # floor() yields BIGINT: only round where it cannot overflow
             out.append(
-                (F.floor(F.col(f.name) * F.lit(1000000.0) + F.lit(0.5)) / F.lit(1000000.0))
-                .cast("double")
-                .alias(f.name)
+                F.when(F.abs(x) < F.lit(1e12), rounded).otherwise(x).cast("double").alias(f.name)
             )
         else:
             out.append(F.col(f.name))

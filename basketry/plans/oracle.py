@@ -1013,7 +1013,9 @@ def _rounded(body: str, doubles: list[str]) -> str:
     if not doubles:
         return sql
     repl = ", ".join(
-        f'floor("{c}" * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS "{c}"'
+        f'CASE WHEN abs("{c}") < 1e12::DOUBLE '
+        f'THEN floor("{c}" * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE '
+        f'ELSE "{c}" END AS "{c}"'
         for c in doubles
     )
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS q"
