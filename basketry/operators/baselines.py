@@ -6,11 +6,10 @@ Family II -- target "ordered": truth is every product of the train order
              (first-time purchases included), population is the
              validation users of the holdout split.
 
-Every baseline of a family is a flag or a rank over the SAME table: the
-user's (user, product) purchase history aggregated once (times bought,
-first order, recency flags), merged with the truth (a union and a hash
-aggregation per (user, product), i.e. the full outer join of prediction and
-truth).  ``labelled_metrics`` then scores any set of baselines in one
+Every baseline of a family is a flag or a rank over the SAME table: prior
+lines and truth rows unioned and aggregated once per (user, product) --
+times bought, first order, recency flags and the truth label in one pass
+(the full outer join of history and truth without a join).  ``labelled_metrics`` then scores any set of baselines in one
 aggregation per user: the leaderboard of all nine baselines (27 rows) is two
 aggregations over two merged tables, not nine pipelines.
 
@@ -70,18 +69,35 @@ def _flag(cond: Column) -> Column:
     return F.max(F.when(cond, 1).otherwise(0)).cast("int")
 
 
-def history_pairs(prior: DataFrame) -> DataFrame:
-    """One row per (user, product) of ``prior``: times bought, first order,
-    the user's last prior order number, and recency flags -- bought in the
-    last order (last1), in the last two (last2), re-ordered in the last
-    one / two / three orders (last1_reo, last2_reo, last3_reo)."""
+def history_with_truth(prior: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row per (user, product) bought in ``prior`` or present in
+    ``truth``, from ONE aggregation over the union of prior lines and truth
+    rows (the full outer join of history and truth):
+
+    times bought, first order, the user's last prior order number, recency
+    flags -- bought in the last order (last1), in the last two (last2),
+    re-ordered in the last one / two / three orders (last1_reo, last2_reo,
+    last3_reo) --, ``candidate`` = 1 when bought before, and ``y_act`` (the
+    truth flag, 0 when absent)."""
     back = F.col("orders_back")
     reo = F.col("reordered") == 1
+    lines = with_orders_back(prior).select(
+        *KEYS, "order_number", "user_max", "orders_back", "reordered",
+        F.lit(None).cast("int").alias("y_act"),
+    )
+    labels = truth.select(
+        *KEYS,
+        F.lit(None).cast("int").alias("order_number"),
+        F.lit(None).cast("int").alias("user_max"),
+        F.lit(None).cast("int").alias("orders_back"),
+        F.lit(None).cast("int").alias("reordered"),
+        "y_act",
+    )
     return (
-        with_orders_back(prior)
+        lines.unionByName(labels)
         .groupBy(*KEYS)
         .agg(
-            F.count(F.lit(1)).alias("times"),
+            F.count("order_number").alias("times"),
             F.min("order_number").alias("first_order"),
             F.max("user_max").alias("user_max"),
             _flag(back == 0).alias("last1"),
@@ -89,30 +105,7 @@ def history_pairs(prior: DataFrame) -> DataFrame:
             _flag((back == 0) & reo).alias("last1_reo"),
             _flag((back <= 1) & reo).alias("last2_reo"),
             _flag((back <= 2) & reo).alias("last3_reo"),
-        )
-    )
-
-
-def merge_truth(pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    """Full outer join of history pairs and truth on (user, product) as a
-    union + hash aggregation; ``candidate`` = 1 for pairs seen in prior
-    orders, ``y_act`` = truth flag (0 when absent)."""
-    flag_cols = [c for c in pairs.columns if c not in KEYS]
-    types = {f.name: f.dataType for f in pairs.schema.fields}
-    p = pairs.select(
-        *KEYS, *flag_cols, F.lit(1).alias("candidate"), F.lit(None).cast("int").alias("y_act")
-    )
-    t = truth.select(
-        *KEYS,
-        *[F.lit(None).cast(types[c]).alias(c) for c in flag_cols],
-        F.lit(None).cast("int").alias("candidate"),
-        "y_act",
-    )
-    return (
-        p.unionByName(t)
-        .groupBy(*KEYS)
-        .agg(
-            *[F.max(c).alias(c) for c in flag_cols + ["candidate"]],
+            F.when(F.count("order_number") > 0, F.lit(1)).alias("candidate"),
             F.coalesce(F.max("y_act"), F.lit(0)).alias("y_act"),
         )
     )
@@ -121,8 +114,8 @@ def merge_truth(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 def family1_table(t: BasketTables) -> DataFrame:
     """Train users: history flags, rank by times bought (dense, ties kept,
     once-bought products unranked), truth = reordered."""
-    merged = merge_truth(history_pairs(_prior_of(t, train_order_users(t))), reordered_truth(t))
-    by_times = Window.partitionBy("user_id").orderBy(F.col("times").desc_nulls_last())
+    merged = history_with_truth(_prior_of(t, train_order_users(t)), reordered_truth(t))
+    by_times = Window.partitionBy("user_id").orderBy(F.col("times").desc())
     return merged.withColumn(
         "rank_times", F.when(F.col("times") >= 2, F.dense_rank().over(by_times))
     )
@@ -131,7 +124,7 @@ def family1_table(t: BasketTables) -> DataFrame:
 def family2_table(t: BasketTables) -> DataFrame:
     """Validation users: history flags, rank by order rate since the first
     order (= up_order_rate_since_first_order), truth = ordered."""
-    merged = merge_truth(history_pairs(_prior_of(t, validation_users(t))), ordered_truth(t))
+    merged = history_with_truth(_prior_of(t, validation_users(t)), ordered_truth(t))
     rate = F.col("times") / (F.col("user_max") - F.col("first_order") + 1)
     by_rate = Window.partitionBy("user_id").orderBy(F.col("rate").desc_nulls_last())
     return merged.withColumn("rate", rate).withColumn(
