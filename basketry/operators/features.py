@@ -14,10 +14,10 @@ for the recency flags):
   (one row per product) and user features (one row per user).
 
 The pair aggregation is partial on the map side, so a hot user or product
-is reduced before the shuffle.  Only the candidate rows need the recency
-flags (and with them the join to each user's last order number); product
-and user features read the plain pair aggregation, so their branches scan
-prior items without that join.
+is reduced before the shuffle.  Candidate rows, product and user
+features read the plain pair aggregation; the recency flags (which need
+each user's last order number) are a second aggregation attached by a left
+join that queries not using them never compute.
 """
 
 from __future__ import annotations
@@ -221,12 +221,17 @@ def target_order_context(orders: DataFrame, extended: bool = True) -> DataFrame:
 
 
 def user_features(orders: DataFrame, pairs: DataFrame, extended: bool = True) -> DataFrame:
-    """order and item features, average basket, target order context."""
+    """order and item features, average basket, target order context.
+
+    Every user with prior orders has item features and one target order,
+    so left joins on the (unique) user key equal inner joins here; written
+    as left joins, Catalyst drops a side whose columns a query does not
+    use."""
     order_f = user_order_features(orders)
     if not extended:
         order_f = order_f.drop("user_mean_dow", "user_mean_hod")
     return (
-        order_f.join(user_item_features(pairs), "user_id")
+        order_f.join(user_item_features(pairs), "user_id", "left")
         .withColumn(
             "user_average_basket", F.col("user_total_products") / F.col("user_orders")
         )
@@ -257,11 +262,15 @@ def candidate_features(t: BasketTables) -> DataFrame:
     """the extended model table, one row per (user, previously bought
     product), 27 features, label filled with 0, log transforms applied
     (ln of a zero user_period is NULL)."""
-    pairs = pair_stats(t.prior_items)
     plain = pair_stats(t.prior_items, with_recency=False)
     labels = t.train_items.select("user_id", "product_id", "reordered")
+    # Every candidate pair has recency flags and its product has product
+    # features (both come from the same prior items), so these left joins
+    # equal inner ones -- and Catalyst drops them from queries that do not
+    # use their columns (e.g. sweeps over a plain score).
     data = (
-        pairs.join(product_features(plain), "product_id")
+        plain.join(recency_flags(t.prior_items), ["user_id", "product_id"], "left")
+        .join(product_features(plain), "product_id", "left")
         .join(user_features(t.orders, plain), "user_id")
         .transform(_rates)
         .join(labels, ["user_id", "product_id"], "left")
@@ -278,7 +287,7 @@ def candidate_features_base(t: BasketTables) -> DataFrame:
     pairs = pair_stats(t.prior_items, with_recency=False)
     labels = t.train_items.select("user_id", "product_id", "reordered")
     data = (
-        pairs.join(product_features(pairs), "product_id")
+        pairs.join(product_features(pairs), "product_id", "left")
         .join(user_features(t.orders, pairs, extended=False), "user_id")
         .transform(_rates)
         .join(labels, ["user_id", "product_id"], "left")
