@@ -10,7 +10,6 @@ threshold and there is no join with a parameter grid.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,13 +169,25 @@ def cutoff_sweep_summary(scored: DataFrame, key: str = "user_id", score: str = "
     return metric_summary(per_key, ["cutoff"])
 
 
-def config_comparison(sweeps: dict[str, DataFrame]) -> DataFrame:
-    """V9: best cutoff and mean F1 per configuration (ties -> lowest cutoff).
+def config_sweeps(scored: DataFrame, scores: dict[str, Column], key: str = "order_id") -> DataFrame:
+    """V7 for several score columns at once: config, cutoff, mean_f1.
+    Every (config, cutoff) pair is one case of a single aggregation per
+    key, so the candidates are read once for all configurations."""
+    cases = [
+        ({"config": F.lit(name), "cutoff": F.lit(c).cast("double")}, col > F.lit(c))
+        for name, col in scores.items()
+        for c in cutoffs()
+    ]
+    per_key = labelled_metrics(scored, key, F.col("reordered"), cases)
+    return per_key.groupBy("config", "cutoff").agg(F.avg("f1").alias("mean_f1"))
+
+
+def config_comparison(table: DataFrame) -> DataFrame:
+    """V9: best cutoff and mean F1 per configuration (ties -> lowest cutoff)
+    from a (config, cutoff, mean_f1) table.
 
     ``max`` over a (f1, -cutoff) struct picks the best row of each config in
     the aggregation itself."""
-    tagged = [s.select(F.lit(name).alias("config"), "cutoff", "mean_f1") for name, s in sweeps.items()]
-    table = reduce(DataFrame.unionByName, tagged)
     best = table.groupBy("config").agg(
         F.max(F.struct(F.col("mean_f1"), (-F.col("cutoff")).alias("neg_cutoff"))).alias("b")
     )

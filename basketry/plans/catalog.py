@@ -525,11 +525,8 @@ def _cutoff_sweep_summary(t):
 @query("config_comparison")
 def _config_comparison(t):
     base = B.validation_candidates(candidates(t), t)
-    sweeps = {
-        name: V.cutoff_sweep(base.withColumn("score", F.col(col)), key="order_id")
-        for name, col in SCORE_CONFIGS.items()
-    }
-    return V.config_comparison(sweeps)
+    scores = {name: F.col(col) for name, col in SCORE_CONFIGS.items()}
+    return V.config_comparison(V.config_sweeps(base, scores, key="order_id"))
 
 
 @query("scores_vs_truth")
