@@ -44,17 +44,22 @@ def fill_none(submission: DataFrame, target_orders: DataFrame) -> DataFrame:
     return submission.unionByName(missing).orderBy("order_id")
 
 
-def last3_reorder_baskets(prior_items: DataFrame, target_orders: DataFrame) -> DataFrame:
-    """U1 for any set of target orders (user_id, order_id): re-ordered
-    products of the user's last three prior orders, one string per order."""
-    prior = prior_items.join(target_orders.select("user_id"), "user_id", "left_semi")
-    pred = (
-        recent_items(prior, 3)
+def last3_reorder_pairs(prior_items: DataFrame) -> DataFrame:
+    """(user_id, product_id): products re-ordered in the user's last three
+    prior orders."""
+    return (
+        recent_items(prior_items, 3)
         .where(F.col("reordered") == 1)
         .select("user_id", "product_id")
         .distinct()
     )
-    return baskets_per_order(pred, target_orders)
+
+
+def last3_reorder_baskets(prior_items: DataFrame, target_orders: DataFrame) -> DataFrame:
+    """U1 for any set of target orders (user_id, order_id): re-ordered
+    products of the user's last three prior orders, one string per order."""
+    prior = prior_items.join(target_orders.select("user_id"), "user_id", "left_semi")
+    return baskets_per_order(last3_reorder_pairs(prior), target_orders)
 
 
 def submission_last3(t: BasketTables) -> DataFrame:

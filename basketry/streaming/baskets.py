@@ -2,9 +2,11 @@
 
 The reference is a batch job; this module runs its submission rule
 (re-ordered products of the last three prior orders, ``None`` when there
-are none) continuously: new target orders land as files, every micro-batch
-is joined to the order history (a static table) and its baskets are
-written out.  Each micro-batch writes into its own epoch folder with
+are none) continuously: new target orders land as files and every
+micro-batch is joined to the per-user candidate pairs.  Those pairs are
+derived from the order history ONCE when the stream starts and written to
+the checkpoint folder (lineage cut), so a micro-batch reads a compact
+(user, product) table instead of scanning the whole history.  Each micro-batch writes into its own epoch folder with
 overwrite, so a batch replayed after a failure replaces its earlier output
 (exactly-once files); progress is tracked in the stream's checkpoint
 folder under the session's checkpoint directory.
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from basketry.operators.submit import fill_none, last3_reorder_baskets
+from basketry.functions.lineage import cut_lineage
+from basketry.operators.submit import baskets_per_order, fill_none, last3_reorder_pairs
 from basketry.sources.schemas import ORDERS
 
 
@@ -29,12 +32,13 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return os.path.join(base.replace("file:", ""), "streams", name)
 
 
-def basket_writer(prior_items: DataFrame, sink_dir: str):
-    """foreachBatch function: baskets (or None) for the batch's test orders."""
+def basket_writer(pairs: DataFrame, sink_dir: str):
+    """foreachBatch function: baskets (or None) for the batch's test orders,
+    from precomputed (user_id, product_id) candidate pairs."""
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         targets = batch.where(F.col("eval_set") == "test").select("user_id", "order_id")
-        baskets = fill_none(last3_reorder_baskets(prior_items, targets), targets)
+        baskets = fill_none(baskets_per_order(pairs, targets), targets)
         baskets.write.mode("overwrite").parquet(os.path.join(sink_dir, f"epoch={epoch_id}"))
 
     return write
@@ -54,9 +58,10 @@ def start_basket_stream(
     reader = spark.readStream.schema(ORDERS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    pairs = cut_lineage(last3_reorder_pairs(prior_items))
     writer = (
         reader.parquet(landing_dir)
-        .writeStream.foreachBatch(basket_writer(prior_items, sink_dir))
+        .writeStream.foreachBatch(basket_writer(pairs, sink_dir))
         .option("checkpointLocation", stream_checkpoint(spark, name))
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
