@@ -14,7 +14,7 @@ Mapping (see FIXTURES.md, part B):
 Plan shape: line items are grouped to (order, product); cart positions are
 numbered in blocks of line numbers; the join to orders is on order id.  The
 reorder flag is a per-(user, product) minimum joined back.  No window spans all rows of a user: order numbers
-are built from per-(user, day) pieces (see ``_orders``).  Windows over the
+are built from per-(user, timestamp) pieces (see ``_orders``).  Windows over the
 product dimension are global, which is acceptable because that table is
 bounded by the catalogue (brands x types), not by the data volume.
 """
@@ -75,61 +75,53 @@ def _catalogue(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
 
 
 def _orders(orders_raw: DataFrame, lines: DataFrame) -> DataFrame:
-    """Basket orders: numbered per user, target order flagged.
+    """Basket orders: numbered per user by (o_orderdate, o_orderkey), target
+    order flagged.
 
     A per-user window over all of a user's orders would put a user holding
     a large share of orders into one task.  Instead the number is
     assembled from bounded pieces:
 
-    * orders per (user, day) -- a partial aggregation;
-    * per user, a running count over its *days* (one row per distinct order
-      day, bounded by the calendar span), plus the previous order day and
-      the user's total;
-    * inside one (user, day) group, a row number by (timestamp, order id).
+    * orders per (user, timestamp) -- a partial aggregation;
+    * per user, a running count over its distinct order timestamps, plus
+      the previous timestamp and the user's total (one row per distinct
+      timestamp: bounded by the calendar for date-valued order dates);
+    * inside one (user, timestamp) group the order is by order id alone, so
+      it is numbered in blocks of order ids (``blocked_row_number``).
 
-    order_number = orders on earlier days + row number within the day.
+    order_number = orders at earlier timestamps + number within the group.
     """
     kept = orders_raw.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
-        "o_orderdate",
-        F.to_date("o_orderdate").alias("day"),
+        F.col("o_orderdate").alias("ts"),
     ).join(lines.select(F.col("l_orderkey").alias("order_id")), "order_id", "left_semi")
 
-    user_days = Window.partitionBy("user_id").orderBy("day")
-    per_day = (
-        kept.groupBy("user_id", "day")
-        .agg(F.count(F.lit(1)).alias("n_day"))
+    user_ts = Window.partitionBy("user_id").orderBy("ts")
+    per_ts = (
+        kept.groupBy("user_id", "ts")
+        .agg(F.count(F.lit(1)).alias("n_ts"))
         .select(
             "user_id",
-            "day",
+            "ts",
             F.coalesce(
-                F.sum("n_day").over(user_days.rowsBetween(Window.unboundedPreceding, -1)),
+                F.sum("n_ts").over(user_ts.rowsBetween(Window.unboundedPreceding, -1)),
                 F.lit(0),
             ).alias("before"),
-            F.lag("day").over(user_days).alias("prev_day"),
-            F.sum("n_day").over(Window.partitionBy("user_id")).alias("n_orders"),
+            F.lag("ts").over(user_ts).alias("prev_ts"),
+            F.sum("n_ts").over(Window.partitionBy("user_id")).alias("n_orders"),
         )
     )
-    within_day = Window.partitionBy("user_id", "day").orderBy("o_orderdate", "order_id")
     numbered = (
-        kept.select(
-            "order_id",
-            "user_id",
-            "o_orderdate",
-            "day",
-            F.row_number().over(within_day).alias("rn_day"),
-            F.lag("o_orderdate").over(within_day).alias("prev_same_day"),
-        )
-        .join(per_day, ["user_id", "day"])
+        blocked_row_number(kept, ["user_id", "ts"], "order_id", out_col="rn_ts")
+        .join(per_ts, ["user_id", "ts"])
         .select(
             "order_id",
             "user_id",
-            "o_orderdate",
-            (F.col("before") + F.col("rn_day")).cast("int").alias("order_number"),
-            F.when(F.col("rn_day") > 1, F.to_date("prev_same_day"))
-            .otherwise(F.col("prev_day"))
-            .alias("prev_date"),
+            "ts",
+            (F.col("before") + F.col("rn_ts")).cast("int").alias("order_number"),
+            # an earlier order at the same timestamp, else the previous timestamp
+            F.when(F.col("rn_ts") > 1, F.col("ts")).otherwise(F.col("prev_ts")).alias("prev"),
             "n_orders",
         )
     )
@@ -141,11 +133,9 @@ def _orders(orders_raw: DataFrame, lines: DataFrame) -> DataFrame:
         .otherwise(F.lit("test"))
         .alias("eval_set"),
         "order_number",
-        (F.dayofweek("o_orderdate") - 1).alias("order_dow"),
+        (F.dayofweek("ts") - 1).alias("order_dow"),
         (F.col("order_id") % HOURS_PER_DAY).cast("int").alias("order_hour_of_day"),
-        F.datediff(F.to_date("o_orderdate"), F.col("prev_date"))
-        .cast("double")
-        .alias("days_since_prior_order"),
+        F.datediff(F.to_date("ts"), F.to_date("prev")).cast("double").alias("days_since_prior_order"),
     )
 
 
