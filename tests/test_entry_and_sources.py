@@ -106,3 +106,31 @@ def test_lazy_and_materialised_paths_agree(spark):
             spark.conf.unset("basketry.materialize")
             forget(spark)
     assert results["false"] == results["true"]
+
+
+def test_parquet_basket_folder_and_cli(spark, small_tables, capsys):
+    """Queries run on the six tables stored as parquet folders; the CLI
+    lists every query and writes a query's result as CSV."""
+    from basketry import cli
+    from basketry.sources.tables import source_kind
+
+    root = tempfile.mkdtemp(prefix="basketry-pq-")
+    for name, df in {
+        "aisles": small_tables.aisles,
+        "departments": small_tables.departments,
+        "order_products_prior": small_tables.order_products_prior,
+        "order_products_train": small_tables.order_products_train,
+        "orders": small_tables.orders,
+        "products": small_tables.products,
+    }.items():
+        df.write.parquet(os.path.join(root, name))
+    assert source_kind(root) == "parquet"
+    qs = entry_mod.queries()
+    for name in ("repeat_last_3_reorders", "reorder_share_by_dow"):
+        assert sorted(map(tuple, qs[name](spark, root).collect())) == sorted(
+            map(tuple, qs[name](spark, SF_SMALL).collect())
+        ), name
+
+    assert cli.main(["list"]) == 0
+    listed = capsys.readouterr().out.split("\n")
+    assert sum(1 for line in listed if line.strip()) == len(qs)
