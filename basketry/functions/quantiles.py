@@ -37,12 +37,20 @@ def exact_quantiles(
     accuracy: int = DEFAULT_ACCURACY,
     margin: int = DEFAULT_MARGIN,
     extra_aggs: list | None = None,
+    broadcast_targets: bool = True,
 ) -> DataFrame:
     """One row per group: group columns, then one DOUBLE column per
     probability (``out_cols``, default ``q0, q1, ...``), then the
     ``extra_aggs`` (aggregate columns over the non-NULL values, column
     ``_v``), computed in the same pass as the sketch.  NULL values are
-    ignored; a group of only NULLs yields no row."""
+    ignored; a group of only NULLs yields no row.
+
+    ``broadcast_targets``: the per-(group, probability) bracket table has
+    exactly ``groups x len(probs)`` rows; it is broadcast to the value
+    counts so that no group's values meet in one task.  Keep it for a
+    bounded number of groups (summaries); pass False for quantiles per key
+    over an unbounded number of keys, where the join on the group key
+    already spreads the work."""
     groups = list(group_cols or [])
     keys = groups or ["_all"]
     out_cols = out_cols or [f"q{i}" for i in range(len(probs))]
@@ -109,7 +117,7 @@ def exact_quantiles(
 
     counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     # one row per (group, probability, distinct value): a fixed fan-out of len(probs)
-    cand = counts.join(targets, keys)
+    cand = counts.join(F.broadcast(targets) if broadcast_targets else targets, keys)
     carried = [*keys, "_i", "_pos", *extra_names]
     # everything below the bracket collapses into one row that sorts first
     below = (
