@@ -270,7 +270,9 @@ def candidate_features(t: BasketTables) -> DataFrame:
     # use their columns (e.g. sweeps over a plain score).
     data = (
         plain.join(recency_flags(t.prior_items), ["user_id", "product_id"], "left")
-        .join(product_features(plain), "product_id", "left")
+        # one row per product (bounded by the catalogue): broadcast, so the
+        # pairs are never shuffled by product and a hot product stays spread
+        .join(F.broadcast(product_features(plain)), "product_id", "left")
         .join(user_features(t.orders, plain), "user_id")
         .transform(_rates)
         .join(labels, ["user_id", "product_id"], "left")
@@ -287,7 +289,7 @@ def candidate_features_base(t: BasketTables) -> DataFrame:
     pairs = pair_stats(t.prior_items, with_recency=False)
     labels = t.train_items.select("user_id", "product_id", "reordered")
     data = (
-        pairs.join(product_features(pairs), "product_id", "left")
+        pairs.join(F.broadcast(product_features(pairs)), "product_id", "left")
         .join(user_features(t.orders, pairs, extended=False), "user_id")
         .transform(_rates)
         .join(labels, ["user_id", "product_id"], "left")
