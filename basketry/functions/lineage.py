@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the session's checkpoint folder (the cluster's shared
-    folder) if one is set, else persist in memory and on disk.  Never a
-    machine-local checkpoint."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir():
+    """Cut ``df``'s lineage in the session's checkpoint folder (the
+    cluster's shared folder): ``checkpoint()`` when the context knows the
+    folder, else a parquet table written into it; without any folder,
+    persist in memory and on disk.  Never a machine-local checkpoint."""
+    from basketry.session import checkpoint_dir
+
+    spark = df.sparkSession
+    try:
+        context_dir = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001  (no SparkContext, e.g. Spark Connect)
+        context_dir = None
+    if context_dir:
         return df.checkpoint(eager=True)
+    base = checkpoint_dir(spark)
+    if base:
+        path = os.path.join(base.replace("file:", ""), f"lineage-{uuid.uuid4().hex}")
+        df.write.mode("errorifexists").parquet(path)
+        return spark.read.parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK)

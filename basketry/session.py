@@ -59,3 +59,21 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def app_id(spark: SparkSession) -> str:
+    """Application id (falls back to the session conf where the session
+    exposes no SparkContext, e.g. Spark Connect)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", "app")
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder (``spark.checkpoint.dir``) or None."""
+    try:
+        found = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001
+        found = None
+    return found or spark.conf.get("spark.checkpoint.dir", None)

@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.session import tune_session
+from basketry.session import app_id, checkpoint_dir, tune_session
 from basketry.sources.fixture import driver_basket_frames
 from basketry.sources.readers import read_basket_csv, read_basket_parquet
 
@@ -110,7 +110,7 @@ _MEMO: dict[tuple, BasketTables] = {}
 
 
 def _session_key(spark: SparkSession, sf_dir: str) -> tuple:
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    return (app_id(spark), os.path.abspath(sf_dir))
 
 
 def source_kind(data_dir: str) -> str:
@@ -152,7 +152,7 @@ def basket_tables(spark: SparkSession, sf_dir: str) -> BasketTables:
 
 
 def checkpoint_base(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return checkpoint_dir(spark)
 
 
 def should_materialize(spark: SparkSession) -> bool:
@@ -167,7 +167,7 @@ def should_materialize(spark: SparkSession) -> bool:
 def forget(spark: SparkSession | None = None) -> None:
     """Drop memoised tables (all, or those of one session)."""
     for key in list(_MEMO):
-        if spark is None or key[0] == spark.sparkContext.applicationId:
+        if spark is None or key[0] == app_id(spark):
             del _MEMO[key]
 
 
@@ -195,7 +195,7 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
     digest = hashlib.sha1(os.path.abspath(tag).encode()).hexdigest()[:12]
     # a fresh folder per materialisation: nothing that an existing DataFrame
     # (of this or another application) reads is ever overwritten
-    app = spark.sparkContext.applicationId.replace("/", "_")
+    app = app_id(spark).replace("/", "_")
     root = os.path.join(
         base.replace("file:", ""), f"basket-tables-{digest}-{app}-{uuid.uuid4().hex[:8]}"
     )

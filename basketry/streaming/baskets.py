@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketry.functions.lineage import cut_lineage
+from basketry.session import checkpoint_dir
 from basketry.operators.submit import baskets_per_order, fill_none, last3_reorder_pairs
 from basketry.sources.schemas import ORDERS
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    base = checkpoint_dir(spark)
     if not base:
         raise ValueError("set spark.checkpoint.dir (a shared folder) before starting a stream")
     return os.path.join(base.replace("file:", ""), "streams", name)
