@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     if path is None:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    df.write.parquet(path)
+    df.write.parquet(path)  # executors that are lost are made up for by the write's commit
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +53,3 @@ def replace_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
