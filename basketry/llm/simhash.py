@@ -82,7 +82,9 @@ def _signed(value: int) -> int:
 def segment_counts(fp: Column) -> Column:
     """The 16 segment popcounts, packed: nibble i counts the bits of segment i."""
     pairs, fours = F.lit(_signed(0x5555555555555555)), F.lit(_signed(0x3333333333333333))
-    two = fp - F.shiftrightunsigned(fp, 1).bitwiseAND(pairs)
+    # Half adders, as sums in the top bits would overflow a signed long.
+    x, y = fp.bitwiseAND(pairs), F.shiftrightunsigned(fp, 1).bitwiseAND(pairs)
+    two = x.bitwiseXOR(y).bitwiseOR(F.shiftleft(x.bitwiseAND(y), 1))
     return two.bitwiseAND(fours) + F.shiftrightunsigned(two, 2).bitwiseAND(fours)
 
 

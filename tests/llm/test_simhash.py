@@ -83,7 +83,7 @@ def test_all_links_of_normal_cells(spark):
     finally:
         simhash.CELL = old
     signed = [simhash._signed(x) for x in fps]
-    want = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if (a ^ b).bit_count() <= 2}
+    want = {tuple(sorted((signed[i], signed[j]))) for i, a in enumerate(fps) for j in range(i) if (a ^ fps[j]).bit_count() <= 2}
     assert got == want and want
 
 
