@@ -34,7 +34,7 @@ from basketry.llm.common import quoted
 #: Bytes up to which a word is merged by scanning its rank array.
 SHORT = 96
 #: Words (and their ids) that a Python worker keeps at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NO_RANK = 1 << 60
 #: Split pattern of the byte-level vocabularies (a fixed value), with
 #: ``\s`` spelled out as Unicode's white space.
@@ -180,22 +180,36 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, work) -> DataFrame:
-    """``df`` with column ``target`` made from column ``source`` by
-    ``work(values) -> Arrow array`` on Arrow batches; the other columns pass
-    through.  A column of the target's name, in any case, is replaced."""
-    keep = [c for c in df.columns if c.lower() != target.lower()]
-    schema = T.StructType([*(f for f in df.schema.fields if f.name in keep), T.StructField(target, kind)])
-    inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], quoted(source).alias("src"))
-    names = [f.name for f in schema.fields]
+def _mapped(df: DataFrame, source: str, targets: dict[str, T.DataType], work) -> DataFrame:
+    """``df`` with the columns ``targets`` made from column ``source`` by
+    ``work(values) -> Arrow arrays`` on Arrow batches; the other columns pass
+    through.  A column of a target's name, in any case, is replaced."""
+    new = {t.lower() for t in targets}
+    keep = [f for f in df.schema.fields if f.name.lower() not in new]
+    kinds = [*(f.dataType for f in keep), *targets.values()]
+    names = [f"c{i}" for i in range(len(kinds))]
+    inner = df.select(*[quoted(f.name).alias(n) for f, n in zip(keep, names)], quoted(source).alias("src"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = work(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[f"c{i}" for i in range(len(names))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *work(b.column(b.num_columns - 1))], names=names)
 
-    flat = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
-    return inner.mapInArrow(run, flat).toDF(*names)
+    flat = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+    return inner.mapInArrow(run, flat).toDF(*[f.name for f in keep], *targets)
+
+
+def _encoded(bpe: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    packed = [bpe.packed(v.as_py() or "") for v in texts]
+    ends = np.cumsum([0, *map(len, packed)]) // 4
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+
+def _decoded(bpe: ByteBpe, ids: pa.ListArray) -> pa.Array:
+    flat = ids.values.to_numpy(zero_copy_only=False)
+    ends, null = ids.offsets.to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+    cuts = zip(ends[:-1].tolist(), ends[1:].tolist(), null.tolist())
+    return pa.array([bpe.decode([] if gone else flat[a:b].tolist()) for a, b, gone in cuts], pa.string())
 
 
 def encode(df: DataFrame, vocab: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -206,38 +220,32 @@ def encode(df: DataFrame, vocab: str, text: str = "text", ids: str = "ids") -> D
     ids, as the tokenizer file's own library does.  Other columns pass
     through untouched; one named as ``ids`` is replaced.
     """
-
-    def work(values: pa.Array) -> pa.Array:
-        bpe = vocabulary(vocab)
-        packed = [bpe.packed(v.as_py() or "") for v in values]
-        ends = np.cumsum([0, *map(len, packed)]) // 4
-        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-
-    return _mapped(df, text, ids, T.ArrayType(T.IntegerType()), work)
+    return _mapped(df, text, {ids: T.ArrayType(T.IntegerType())}, lambda v: [_encoded(vocabulary(vocab), v)])
 
 
 def decode(df: DataFrame, vocab: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``, the string that the ids stand for, added tokens
     included.  Null or empty ids give an empty string; bytes that are not
     UTF-8 become U+FFFD.  Ids outside the vocabulary raise IndexError."""
+    return _mapped(df, ids, {text: T.StringType()}, lambda v: [_decoded(vocabulary(vocab), v)])
+
+
+def encode_decode(df: DataFrame, vocab: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: the ids are decoded where they
+    were made, in the same Python worker."""
 
-    def work(values: pa.Array) -> pa.Array:
-        bpe = vocabulary(vocab)
-        flat = values.values.to_numpy(zero_copy_only=False)
-        ends, null = values.offsets.to_numpy(), values.is_null().to_numpy(zero_copy_only=False)
-        cuts = zip(ends[:-1].tolist(), ends[1:].tolist(), null.tolist())
-        return pa.array([bpe.decode([] if gone else flat[a:b].tolist()) for a, b, gone in cuts], pa.string())
+    def work(texts: pa.Array) -> list[pa.Array]:
+        made = _encoded(vocabulary(vocab), texts)
+        return [made, _decoded(vocabulary(vocab), made)]
 
-    return _mapped(df, ids, text, T.StringType(), work)
+    return _mapped(df, text, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, work)
 
 
 def round_trip(df: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (of the decimal ids joined
     by commas) and decoded_sha256, from the real encoder and decoder."""
     docs = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
-    done = decode(encode(docs, vocab).drop("text"), vocab)
-    return done.select(
+    return encode_decode(docs, vocab).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -7,18 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, langid, simhash
+from basketry.llm import bpe, langid, simhash, surrogates
 from basketry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+#: Key of the surrogates; a deployment passes its own secret.
+SURROGATE_KEY = "documents"
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, SURROGATE_KEY, counts="n_replaced")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -30,6 +38,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_surrogates": op3_surrogates,
         "op4_simhash": op4_simhash,
         "op10_langid": op10_langid,
     }
