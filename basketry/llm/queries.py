@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.llm import bpe, langid, simhash, surrogates
+from basketry.llm import bpe, langid, mixing, simhash, surrogates
 from basketry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +18,24 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = "documents"
 
+#: The mix: domain, language, source.  Sources 0 to 9 count as web.
+MIX_WEIGHTS: dict[mixing.Path, float] = {
+    ("web",): 0.6,
+    ("reference",): 0.4,
+    ("web", "en"): 0.5,
+    ("web", "de"): 0.2,
+    ("web", "fr"): 0.2,
+    ("reference", "en"): 0.4,
+    ("web", "en", "src0"): 0.3,
+}
+MIX_SHARE, MIX_EPOCHS = 0.75, 2
+
+
+def mix_levels() -> dict[str, Column]:
+    source = F.col("source")
+    domain = F.when(source.rlike("^src[0-9]$"), "web").when(source.isNotNull(), "reference")
+    return {"domain": domain, "lang": F.col("lang"), "source": source}
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -31,6 +50,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each epoch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS)
+    return mixed.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_tokens"), "epoch")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), PIECES)
 
@@ -40,5 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op3_surrogates": op3_surrogates,
         "op4_simhash": op4_simhash,
+        "op5_mixing": op5_mixing,
         "op10_langid": op10_langid,
     }
