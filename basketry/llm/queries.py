@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, langid, mixing, simhash, surrogates
+from basketry.llm import bpe, langid, mixing, quality, simhash, surrogates
 from basketry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_tokens"), "epoch")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), PIECES)
 
@@ -67,5 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_surrogates": op3_surrogates,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
+        "op9_quality": op9_quality,
         "op10_langid": op10_langid,
     }
