@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, langid, mixing, quality, simhash, surrogates
+from basketry.llm import bpe, langid, mixing, quality, simhash, surrogates, wavelet
 from basketry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Key of the surrogates; a deployment passes its own secret.
@@ -57,6 +58,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_tokens"), "epoch")
 
 
+def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.store_and_read(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_surrogates": op3_surrogates,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
+        "op7_wavelet": op7_wavelet,
         "op9_quality": op9_quality,
         "op10_langid": op10_langid,
     }
