@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, langid, mixing, quality, simhash, surrogates, wavelet
+from basketry.llm import bpe, chat, html, langid, mixing, quality, simhash, surrogates, wavelet
 from basketry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,10 +58,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", mixing.n_words(F.col("text")).alias("n_tokens"), "epoch")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.store_and_read(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(turns.unionByName(chat.control_strings(spark)))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,7 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_surrogates": op3_surrogates,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
+        "op6_html": op6_html,
         "op7_wavelet": op7_wavelet,
+        "op8_chat": op8_chat,
         "op9_quality": op9_quality,
         "op10_langid": op10_langid,
     }
