@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, chat, html, langid, mixing, quality, simhash, surrogates, wavelet
+from basketry.llm import bpe, chat, html, langid, mixing, quality, search, simhash, surrogates, wavelet
 from basketry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +42,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents of ids divisible by 20 against all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where(F.col("doc_id") % 20 == 0), k=10)
+
+
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace(docs, SURROGATE_KEY, counts="n_replaced")
@@ -82,6 +88,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_search": op2_search,
         "op3_surrogates": op3_surrogates,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
