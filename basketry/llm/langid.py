@@ -38,9 +38,11 @@ EM_ROUNDS = 2
 #: Mass, in words, of the pooled distribution that smooths each language.
 SMOOTH = 50.0
 #: Probability of a character that no piece of the vocabulary covers.
-UNKNOWN = 1e-9
+UNKNOWN = 1e-7
 #: Words up to this length are kept in a worker's table, at most so many.
-SHORT, CACHE_WORDS = 40, 250_000
+SHORT, CACHE_WORDS = 40, 200_000
+#: Words whose sums advance together, and letters of text looked up together.
+BLOCK, BLOCK_CHARS = 4096, 1 << 21
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
 
@@ -133,7 +135,10 @@ class Scorer:
         self.model, self.trie = model, trie_of(model.pieces)
         self.n = len(model.langs)
         self.unknown = (UNKNOWN,) * self.n
-        self.table = _Table(self)
+        # The last row serves characters that no piece covers.
+        self.probs = np.array([*model.probs, self.unknown], np.float64).reshape(len(model.probs) + 1, self.n)
+        self.words_seen: dict[str, tuple[float, ...]] = {}
+        self.pieces_seen: dict[str, bytes] = {}
 
     def word(self, word: str) -> list[float]:
         """Forward algorithm over all segmentations, one sum a language.
@@ -145,7 +150,7 @@ class Scorer:
         for i, here in enumerate(arcs):
             now = ahead[i]
             if i % 16 == 15 and min(now) < 1e-60:
-                reach = max(j for back in arcs[max(0, i - 40) : i] for j, _ in back) if i else i
+                reach = max(j for back in arcs[max(0, i - 40) : i] for j, _ in back)
                 scale = [1.0 / x if x > 0 else 1.0 for x in now]
                 shift = [s - math.log(x) for s, x in zip(shift, scale)]
                 for j in range(i, min(reach, len(arcs)) + 1):
@@ -155,39 +160,92 @@ class Scorer:
                 ahead[j] = [x + y * q for x, y, q in zip(ahead[j], now, probs[k] if k >= 0 else self.unknown)]
         return [math.log(x) + s if x > 0 else -1e9 for x, s in zip(ahead[-1], shift)]
 
-    def text(self, text: str | None) -> np.ndarray | None:
-        """Log-likelihood of the whole text a language; None without letters."""
-        pieces = unicodedata.normalize("NFC", text or "").lower().split()
-        raw = b"".join(map(self.table.__getitem__, pieces))
-        rows = np.frombuffer(raw, np.float64).reshape(-1, self.n + 1)
-        total = rows.sum(axis=0)
-        return total[: self.n] if len(rows) and total[self.n] > 0 else None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.n or (s := self.text(text)) is None:
+    def words(self, words: list[str]) -> list[list[float]]:
+        """The same for many words of at most ``SHORT`` letters together: the
+        forward sums of all of them advance from one start to the next."""
+        trie, none, arcs = self.trie, len(self.model.pieces), []
+        add, size = arcs.append, np.zeros(len(words), np.int64)
+        for w, word in enumerate(words):
+            text = START + word
+            size[w] = n = len(text)
+            for i in range(n):
+                base, node, single = (w << 6 | i) << 22, trie, False
+                for j in range(i, n):
+                    if (node := node.get(text[j])) is None:
+                        break
+                    if (k := node.get("")) is not None:
+                        add(base + (j + 1 << 16 | k))
+                        single = single or j == i
+                if not single:
+                    add(base + (i + 1 << 16 | none))
+        flat = np.array(arcs, np.int64)
+        flat = flat[np.argsort(flat >> 22 & 63, kind="stable")]
+        start, end, piece, of = flat >> 22 & 63, flat >> 16 & 63, flat & 0xFFFF, flat >> 28
+        ahead = np.zeros((len(words), SHORT + 2, self.n))
+        ahead[:, 0] = 1.0
+        cuts = np.searchsorted(start, np.arange(SHORT + 2))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a < z:  # of one word and start all ends differ
+                ahead[of[a:z], end[a:z]] += ahead[of[a:z], start[a:z]] * self.probs[piece[a:z]]
+        total = ahead[np.arange(len(words)), size]
+        low = (total <= 1e-290).any(axis=1)
+        out = np.log(np.maximum(total, 1e-300)).tolist()
+        for w in np.flatnonzero(low).tolist():
+            out[w] = self.word(words[w])
+        return out
+
+    def learn_pieces(self, pieces: set[str]) -> list[str]:
+        """What stands between white space: packed log-likelihoods and number
+        of words.  Returns those that are too long to be kept on."""
+        new = pieces - self.pieces_seen.keys()
+        if len(self.pieces_seen) + len(new) > CACHE_WORDS:
+            self.pieces_seen.clear()
+            new = pieces
+        parts = {p: WORD.findall(p) for p in new}
+        words = {w for ws in parts.values() for w in ws}
+        fresh = sorted(words - self.words_seen.keys())
+        if len(self.words_seen) + len(fresh) > CACHE_WORDS:
+            self.words_seen.clear()
+            fresh = sorted(words)
+        seen, long = self.words_seen, {w: self.word(w) for w in fresh if len(w) > SHORT}
+        short = [w for w in fresh if len(w) <= SHORT]
+        for a in range(0, len(short), BLOCK):
+            seen.update(zip(short[a : a + BLOCK], map(tuple, self.words(short[a : a + BLOCK]))))
+        none = (0.0,) * self.n
+        for p, ws in parts.items():
+            each = [long[w] if w in long else seen[w] for w in ws]
+            sums = each[0] if len(each) == 1 else [sum(x) for x in zip(*each)] if each else none
+            self.pieces_seen[p] = array("d", [*sums, float(len(ws))]).tobytes()
+        return [p for p in new if len(p) > SHORT]
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text, over the whole of it."""
+        if not self.n:
+            return [("und", 0.0)] * len(texts)
+        out: list[tuple[str, float]] = []
+        at = 0
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and (not cut or size < BLOCK_CHARS):
+                cut.append(unicodedata.normalize("NFC", texts[at] or "").lower().split())
+                size += len(texts[at] or "")
+                at += 1
+            long = self.learn_pieces(set().union(*cut))
+            out += [self._decide(b"".join(map(self.pieces_seen.__getitem__, pieces))) for pieces in cut]
+            for p in long:
+                del self.pieces_seen[p]
+        return out
+
+    def _decide(self, packed: bytes) -> tuple[str, float]:
+        total = np.frombuffer(packed, np.float64).reshape(-1, self.n + 1).sum(axis=0)
+        if not total[self.n]:
             return "und", 0.0
+        s = total[: self.n]
         best = int(s.argmax())  # the first of equals
         return self.model.langs[best], round(float(1.0 / np.exp(np.minimum(s - s[best], 0)).sum()), 9)
 
-
-class _Table(dict):
-    """Between white space: packed log-likelihoods and the number of words."""
-
-    def __init__(self, scorer: Scorer):
-        super().__init__()
-        self.scorer = scorer
-
-    def __missing__(self, piece: str) -> bytes:
-        words = WORD.findall(piece)
-        sums = [0.0] * self.scorer.n
-        for w in words:
-            sums = [a + b for a, b in zip(sums, self.scorer.word(w))]
-        packed = array("d", [*sums, float(len(words))]).tobytes()
-        if len(piece) <= SHORT:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[piece] = packed
-        return packed
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.texts([text])[0]
 
 
 _loaded: dict[str, Scorer] = {}
@@ -275,7 +333,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
         for b in batches:
-            got = [scorer.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+            got = scorer.texts(b.column(b.num_columns - 1).to_pylist())
             made = [pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "lang_pred", "score"])
 

@@ -36,6 +36,7 @@ def test_forward_sums_all_segmentations():
             p = {w: q[lang] for w, q in zip(PIECES, probs)}
             total = sum(q for _, q in all_cuts(langid.START + word, p))
             assert scorer.word(word)[lang] == pytest.approx(math.log(total))
+            assert scorer.words(["a", word])[1][lang] == pytest.approx(math.log(total))
 
 
 def test_expected_counts():
@@ -59,6 +60,7 @@ def test_long_words_do_not_underflow():
     scorer = langid.Scorer(langid.Model(["x", "y"], PIECES, probs))
     one, many = scorer.word("z" * 10), scorer.word("z" * 5000)
     step = math.log(langid.UNKNOWN)
+    assert scorer.words(["z" * 40, "z" * 10])[1] == pytest.approx(one)
     assert many == pytest.approx([x + 4990 * step for x in one])
 
 
