@@ -24,10 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
+
+
 def join_back(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """At least one key must be an integer; keys of other types are renamed
+    only, which leaves the joined set of keys new all the same."""
     shadow = {k: f"_jb_{k}" for k in keys}
+    kinds = dict(per_key.dtypes)
     side = per_key.select(
-        *[F.bitwise_not(F.bitwise_not(F.col(k))).alias(shadow[k]) for k in keys],
+        *[
+            (F.bitwise_not(F.bitwise_not(F.col(k))) if kinds[k] in INTEGRAL else F.col(k)).alias(shadow[k])
+            for k in keys
+        ],
         *[c for c in per_key.columns if c not in keys],
     )
     cond = reduce(lambda a, b: a & b, [rows[k] == side[shadow[k]] for k in keys])

@@ -13,21 +13,21 @@ times bought, first order, recency flags and the truth label in one pass
 aggregation per user: the leaderboard of all nine baselines (27 rows) is two
 aggregations over two merged tables, not nine pipelines.
 
-Ranks (top-N) are dense ranks over one user's merged rows: one row per
-distinct product of the user, bounded by the catalogue.
+Ranks (top-N) are dense ranks of one user's distinct values, joined back
+(``dense_rank_per_user``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.joins import join_back
 from basketry.functions.metrics import METRICS, basket_metrics
 from basketry.operators.evaluate import join_prediction_truth, labelled_metrics
-from basketry.operators.history import recent_items, with_orders_back
+from basketry.operators.history import dense_rank_per_user, recent_items, with_orders_back
 from basketry.operators.splits import users_in_part
 from basketry.sources.tables import BasketTables
 
@@ -115,10 +115,8 @@ def family1_table(t: BasketTables) -> DataFrame:
     """Train users: history flags, rank by times bought (dense, ties kept,
     once-bought products unranked), truth = reordered."""
     merged = history_with_truth(_prior_of(t, train_order_users(t)), reordered_truth(t))
-    by_times = Window.partitionBy("user_id").orderBy(F.col("times").desc())
-    return merged.withColumn(
-        "rank_times", F.when(F.col("times") >= 2, F.dense_rank().over(by_times))
-    )
+    ranked = dense_rank_per_user(merged, "times", "rank_times")
+    return ranked.withColumn("rank_times", F.when(F.col("times") >= 2, F.col("rank_times")))
 
 
 def family2_table(t: BasketTables) -> DataFrame:
@@ -126,10 +124,8 @@ def family2_table(t: BasketTables) -> DataFrame:
     order (= up_order_rate_since_first_order), truth = ordered."""
     merged = history_with_truth(_prior_of(t, validation_users(t)), ordered_truth(t))
     rate = F.col("times") / (F.col("user_max") - F.col("first_order") + 1)
-    by_rate = Window.partitionBy("user_id").orderBy(F.col("rate").desc_nulls_last())
-    return merged.withColumn("rate", rate).withColumn(
-        "rank_rate", F.when(F.col("candidate") == 1, F.dense_rank().over(by_rate))
-    )
+    # products never bought before have no rate, hence no rank
+    return dense_rank_per_user(merged.withColumn("rate", rate), "rate", "rank_rate")
 
 
 Case = tuple[str, "int | None", Column]  # (benchmark, n, predicted)

@@ -16,11 +16,11 @@ from basketry.sources.tables import ORDER_COLS, BasketTables
 def product_dim(t: BasketTables) -> DataFrame:
     """Products with aisle and department names, ids of the two dropped.
 
-    Aisles and departments are tiny dimensions (bounded by the category
-    lists), so they are broadcast."""
+    Aisles and departments are small; Spark broadcasts them after it has
+    seen their size."""
     return (
-        t.products.join(F.broadcast(t.aisles), "aisle_id")
-        .join(F.broadcast(t.departments), "department_id")
+        t.products.join(t.aisles, "aisle_id")
+        .join(t.departments, "department_id")
         .select("product_id", "product_name", "aisle", "department")
     )
 

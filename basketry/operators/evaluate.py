@@ -112,10 +112,6 @@ def cutoff_thresholds(score: Column) -> list[tuple[float, Column]]:
     return [(c, score > F.lit(c)) for c in cutoffs()]
 
 
-def rank_thresholds(rank: Column, max_n: int = 10) -> list[tuple[int, Column]]:
-    return [(n, rank <= F.lit(n)) for n in range(1, max_n + 1)]
-
-
 def mean_f1(metrics: DataFrame) -> DataFrame:
     """V5: number of keys and mean F1."""
     return metrics.agg(F.count(F.lit(1)).alias("users"), F.avg("f1").alias("mean_f1"))

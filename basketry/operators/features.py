@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.joins import join_back
 from basketry.operators.history import with_orders_back
 from basketry.sources.tables import BasketTables
 
@@ -270,9 +271,9 @@ def candidate_features(t: BasketTables) -> DataFrame:
     # use their columns (e.g. sweeps over a plain score).
     data = (
         plain.join(recency_flags(t.prior_items), ["user_id", "product_id"], "left")
-        # one row per product (bounded by the catalogue): broadcast, so the
-        # pairs are never shuffled by product and a hot product stays spread
-        .join(F.broadcast(product_features(plain)), "product_id", "left")
+        # one row per product: broadcast by Spark if its measured size
+        # allows, else a hot product is split
+        .transform(lambda d: join_back(d, product_features(plain), ["product_id"], "left"))
         .join(user_features(t.orders, plain), "user_id")
         .transform(_rates)
         .join(labels, ["user_id", "product_id"], "left")
@@ -289,7 +290,7 @@ def candidate_features_base(t: BasketTables) -> DataFrame:
     pairs = pair_stats(t.prior_items, with_recency=False)
     labels = t.train_items.select("user_id", "product_id", "reordered")
     data = (
-        pairs.join(F.broadcast(product_features(pairs)), "product_id", "left")
+        join_back(pairs, product_features(pairs), ["product_id"], "left")
         .join(user_features(t.orders, pairs, extended=False), "user_id")
         .transform(_rates)
         .join(labels, ["user_id", "product_id"], "left")

@@ -30,6 +30,9 @@ def with_orders_back(prior_items: DataFrame) -> DataFrame:
     the left join equals the inner join.  ``join_back`` keeps a dominant
     user splittable by AQE; callers that do not need ``orders_back`` should
     not ask for it (the join is not pruned)."""
+    if "user_max" in prior_items.columns:
+        # the materialised fact carries it: no join, nothing to split
+        return prior_items.withColumn("orders_back", F.col("user_max") - F.col("order_number"))
     last = user_last_order(prior_items)
     return join_back(prior_items, last, ["user_id"], "left").withColumn(
         "orders_back", F.col("user_max") - F.col("order_number")
@@ -67,17 +70,21 @@ def times_bought(prior_items: DataFrame) -> DataFrame:
 
 
 def dense_rank_times_bought(prior_items: DataFrame, min_times: int = 1) -> DataFrame:
-    """Dense rank of products per user by times bought, ties kept.
+    """Dense rank of products per user by times bought, ties kept."""
+    counts = times_bought(prior_items).where(F.col("times") >= min_times)
+    return dense_rank_per_user(counts, "times", "rank")
 
-    The window runs over per-(user, product) counts, so one user's partition
-    holds at most one row per distinct product of that user (bounded by the
-    catalogue), not one per purchase."""
-    w = Window.partitionBy("user_id").orderBy(F.col("times").desc())
-    return (
-        times_bought(prior_items)
-        .where(F.col("times") >= min_times)
-        .withColumn("rank", F.dense_rank().over(w))
-    )
+
+def dense_rank_per_user(rows: DataFrame, by: str, out: str) -> DataFrame:
+    """``rows`` and ``out``: the dense rank of ``by`` within the user,
+    largest first; a null ``by`` gets no rank.
+
+    The window ranks the user's *distinct values* (one row each, far fewer
+    than products), and the ranks are joined back, so no task holds all
+    products of a user."""
+    w = Window.partitionBy("user_id").orderBy(F.col(by).desc())
+    values = rows.where(F.col(by).isNotNull()).select("user_id", by).distinct()
+    return join_back(rows, values.withColumn(out, F.dense_rank().over(w)), ["user_id", by], "left")
 
 
 def product_occurrence_number(prior_items: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:

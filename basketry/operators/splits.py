@@ -69,6 +69,16 @@ def anti_join_validation_users(candidates: DataFrame, t: BasketTables) -> DataFr
     )
 
 
+def row_bucket(user_id: Column, product_id: Column, seed: int = DEFAULT_SEED) -> Column:
+    """0..9999, stable per (user, product) and seed: a Lehmer step of the
+    user, then one of its sum with the product."""
+    h = (user_id % HASH_MODULUS * HASH_MULTIPLIER + seed) % HASH_MODULUS
+    h = ((h + product_id % HASH_MODULUS) % HASH_MODULUS * HASH_MULTIPLIER) % HASH_MODULUS
+    return ((h * HASH_MULTIPLIER) % HASH_MODULUS % 10000).cast("int")
+
+
 def row_sample(candidates: DataFrame, fraction: float = 0.1, seed: int = DEFAULT_SEED) -> DataFrame:
-    """L3: a row-level Bernoulli sample (not user-level, as in the reference)."""
-    return candidates.select("user_id", "product_id").sample(fraction=fraction, seed=seed)
+    """L3: a row-level sample (not user-level, as in the reference) by a hash
+    of the row's key: the same rows on every run, whatever the partitioning."""
+    keep = row_bucket(F.col("user_id"), F.col("product_id"), seed) < round(fraction * 10000)
+    return candidates.select("user_id", "product_id").where(keep)

@@ -7,10 +7,11 @@ or ``None`` when nothing is predicted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.idlist import sorted_id_string
+from basketry.functions.joins import join_back
 from basketry.operators.history import recent_items, with_orders_back
 from basketry.sources.tables import BasketTables
 
@@ -58,7 +59,7 @@ def last3_reorder_pairs(prior_items: DataFrame) -> DataFrame:
 def last3_reorder_baskets(prior_items: DataFrame, target_orders: DataFrame) -> DataFrame:
     """U1 for any set of target orders (user_id, order_id): re-ordered
     products of the user's last three prior orders, one string per order."""
-    prior = prior_items.join(target_orders.select("user_id"), "user_id", "left_semi")
+    prior = join_back(prior_items, target_orders.select("user_id"), ["user_id"], "left_semi")
     return baskets_per_order(last3_reorder_pairs(prior), target_orders)
 
 
@@ -80,7 +81,7 @@ def submission_cascade(t: BasketTables) -> DataFrame:
     in one pass: each (user, product) gets the best tier it satisfies, the
     user keeps the products of its best tier (the tiers are nested)."""
     orders = test_orders(t)
-    prior = t.prior_items.join(orders.select("user_id"), "user_id", "left_semi")
+    prior = join_back(t.prior_items, orders.select("user_id"), ["user_id"], "left_semi")
     reo = F.col("reordered") == 1
     pairs = (
         with_orders_back(prior)
@@ -95,9 +96,9 @@ def submission_cascade(t: BasketTables) -> DataFrame:
             F.when(F.col("t1") == 1, 1).when(F.col("t2") == 1, 2).otherwise(3).alias("tier"),
         )
     )
-    # One user's window holds one row per distinct product of that user.
+    best = pairs.groupBy("user_id").agg(F.min("tier").alias("best"))
     pred = (
-        pairs.withColumn("best", F.min("tier").over(Window.partitionBy("user_id")))
+        join_back(pairs, best, ["user_id"])
         .where(F.col("tier") <= F.col("best"))
         .select("user_id", "product_id")
     )

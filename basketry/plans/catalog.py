@@ -126,7 +126,7 @@ def _product_dim(t):
 
 @query("prior_items")
 def _prior_items(t):
-    return t.prior_items
+    return t.prior_items.drop("user_max")
 
 
 @query("train_items")

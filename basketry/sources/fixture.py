@@ -21,6 +21,8 @@ bounded by the catalogue (brands x types), not by the data volume.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +59,15 @@ def _catalogue(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
         )
     )
     products = (
-        named.join(F.broadcast(aisles), "aisle")
-        .join(F.broadcast(departments), "department")
+        named.join(aisles, "aisle")
+        .join(departments, "department")
         .select("product_id", "product_name", "aisle_id", "department_id")
     )
     part_map = part.join(
-        F.broadcast(
-            named.select(
-                "product_id",
-                F.col("aisle").alias("p_brand"),
-                F.col("department").alias("p_type"),
-            )
+        named.select(
+            "product_id",
+            F.col("aisle").alias("p_brand"),
+            F.col("department").alias("p_type"),
         ),
         ["p_brand", "p_type"],
     ).select("p_partkey", "product_id")
@@ -139,12 +139,40 @@ def _orders(orders_raw: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def driver_basket_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _order_items(items: DataFrame) -> DataFrame:
+    """Order lines with their order columns, and whether the user bought the
+    product in an earlier order.  The first order number of each (user,
+    product) is a partial aggregation joined back (AQE splits a dominant
+    pair), not a window over all its lines."""
+    firsts = items.groupBy("user_id", "product_id").agg(
+        F.min("order_number").alias("first_number")
+    )
+    return (
+        join_back(items, firsts, ["user_id", "product_id"])
+        .withColumn("reordered", (F.col("order_number") > F.col("first_number")).cast("int"))
+        .select(
+            "order_id",
+            "user_id",
+            "eval_set",
+            "order_number",
+            "order_dow",
+            "order_hour_of_day",
+            "days_since_prior_order",
+            "product_id",
+            "add_to_cart_order",
+            "reordered",
+            *[c for c in items.columns if c == "user_max"],
+        )
+    )
+
+
+def driver_basket_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame | Callable[[DataFrame], DataFrame]]:
     """All basket tables, lazily, from the driver's parquet files.
 
     Returns the six reference tables plus ``order_items``: every order line
     (prior and target orders) joined to its order columns, which is the
-    denormalised fact the prior/train tables are cut from.
+    denormalised fact the prior/train tables are cut from, and ``items_of``,
+    which makes it from any copy of the orders.
     """
     part = read_driver_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     lineitem = read_driver_table(spark, sf_dir, "lineitem").select(
@@ -164,31 +192,16 @@ def driver_basket_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
     )
     # cart position: numbered in blocks of line numbers, so even an order
     # with a huge number of lines is not one task
-    items = blocked_row_number(
+    numbered = blocked_row_number(
         lines, ["order_id"], "first_line", out_col="add_to_cart_order", tie_break=["product_id"]
-    ).join(orders, "order_id")
-    # reordered: the user bought the product in an earlier order.  The first
-    # order number of each (user, product) is a partial aggregation joined
-    # back (AQE splits a dominant pair), not a window over all its lines.
-    firsts = items.groupBy("user_id", "product_id").agg(
-        F.min("order_number").alias("first_number")
-    )
-    order_items = (
-        join_back(items, firsts, ["user_id", "product_id"])
-        .withColumn("reordered", (F.col("order_number") > F.col("first_number")).cast("int"))
-        .select(
-            "order_id",
-            "user_id",
-            "eval_set",
-            "order_number",
-            "order_dow",
-            "order_hour_of_day",
-            "days_since_prior_order",
-            "product_id",
-            "add_to_cart_order",
-            "reordered",
-        )
     )
+
+    def items_of(orders: DataFrame) -> DataFrame:
+        """The fact for any copy of the orders (the written one, say); a
+        ``user_max`` column of theirs comes along."""
+        return _order_items(numbered.join(orders, "order_id"))
+
+    order_items = items_of(orders)
     item_cols = ["order_id", "product_id", "add_to_cart_order", "reordered"]
     return {
         "orders": orders,
@@ -196,6 +209,7 @@ def driver_basket_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFram
         "aisles": aisles,
         "departments": departments,
         "order_items": order_items,
+        "items_of": items_of,
         "order_products_prior": order_items.where(F.col("eval_set") == "prior").select(item_cols),
         "order_products_train": order_items.where(F.col("eval_set") == "train").select(item_cols),
     }

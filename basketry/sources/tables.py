@@ -11,7 +11,7 @@ every analysis starts from:
 catalogue.  By default it returns a lazy plan over the driver's parquet.
 When the session names a checkpoint folder (``spark.checkpoint.dir``, the
 shared folder of the cluster) the derived tables are written there once per
-application and every later query scans those files: lineage is cut, a
+application (deleted at its end) and every later query scans those files: lineage is cut, a
 lost executor only re-reads files, and the derivation is not repeated per
 query.  ``basketry.materialize`` = "auto" (default) / "true" / "false".
 See ``materialize`` for the two file layouts.
@@ -19,15 +19,17 @@ See ``materialize`` for the two file layouts.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.functions.joins import join_back
 from basketry.session import app_id, checkpoint_dir, tune_session
+from basketry.sources import files
 from basketry.sources.fixture import driver_basket_frames
 from basketry.sources.readers import read_basket_csv, read_basket_parquet
 
@@ -53,6 +55,9 @@ class BasketTables:
     departments: DataFrame
     # Optional denormalised fact: every order line with its order columns.
     order_items: DataFrame | None = None
+    # How to make that fact from a copy of the orders.
+    items_of: Callable[[DataFrame], DataFrame] | None = None
+    # What belongs to these tables and goes with them (models, say).
     extras: dict = field(default_factory=dict)
 
     @classmethod
@@ -65,16 +70,17 @@ class BasketTables:
             aisles=frames["aisles"],
             departments=frames["departments"],
             order_items=frames.get("order_items"),
+            items_of=frames.get("items_of"),
         )
 
     @property
     def prior_items(self) -> DataFrame:
-        """``orderp_products``: all order columns plus the item columns."""
-        if "prior_items" in self.extras:
-            return self.extras["prior_items"]
+        """``orderp_products``: all order columns plus the item columns, and
+        ``user_max`` (the user's last prior order number) where the fact has it."""
         if self.order_items is not None:
+            more = [c for c in self.order_items.columns if c == "user_max"]
             return self.order_items.where(F.col("eval_set") == "prior").select(
-                ORDER_COLS + ITEM_COLS
+                ORDER_COLS + ITEM_COLS + more
             )
         return self.orders.join(self.order_products_prior, "order_id").select(
             ORDER_COLS + ITEM_COLS
@@ -110,24 +116,23 @@ _MEMO: dict[tuple, BasketTables] = {}
 
 
 def _session_key(spark: SparkSession, sf_dir: str) -> tuple:
-    return (app_id(spark), os.path.abspath(sf_dir))
+    return (app_id(spark), sf_dir, files.content_key(spark, sf_dir))
 
 
-def source_kind(data_dir: str) -> str:
+def source_kind(data_dir: str, spark: SparkSession | None = None) -> str:
     """What a data folder holds: the reference's six CSV files ("csv"), the
     same six tables as parquet folders ("parquet"), or the driver's
-    TPC-H-like tables ("driver")."""
-    if os.path.exists(os.path.join(data_dir, "orders.csv")):
+    TPC-H-like tables ("driver").  The folder's own file system is asked."""
+    spark = spark or SparkSession.getActiveSession()
+    if files.exists(spark, f"{data_dir}/orders.csv"):
         return "csv"
-    if os.path.isdir(os.path.join(data_dir, "orders")) and os.path.isdir(
-        os.path.join(data_dir, "order_products_prior")
-    ):
+    if files.exists(spark, f"{data_dir}/orders") and files.exists(spark, f"{data_dir}/order_products_prior"):
         return "parquet"
     return "driver"
 
 
 def load_tables(spark: SparkSession, data_dir: str) -> BasketTables:
-    kind = source_kind(data_dir)
+    kind = source_kind(data_dir, spark)
     if kind == "csv":
         return BasketTables.from_frames(read_basket_csv(spark, data_dir))
     if kind == "parquet":
@@ -136,7 +141,8 @@ def load_tables(spark: SparkSession, data_dir: str) -> BasketTables:
 
 
 def basket_tables(spark: SparkSession, sf_dir: str) -> BasketTables:
-    """Basket tables for the data in ``sf_dir`` (memoised per session).
+    """Basket tables for the data in ``sf_dir`` (memoised per session, for as
+    long as the folder's files stay as they are).
 
     ``sf_dir`` may hold the reference's CSV inputs, basket parquet tables
     or the driver's tables (see ``source_kind``)."""
@@ -165,10 +171,13 @@ def should_materialize(spark: SparkSession) -> bool:
 
 
 def forget(spark: SparkSession | None = None) -> None:
-    """Drop memoised tables (all, or those of one session)."""
+    """Drop memoised tables (all, or those of one session), with the models
+    kept with them and the files they were written to."""
     for key in list(_MEMO):
         if spark is None or key[0] == app_id(spark):
-            del _MEMO[key]
+            tables = _MEMO.pop(key)
+            if "folder" in tables.extras:
+                files.delete(tables.orders.sparkSession, tables.extras["folder"])
 
 
 def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTables:
@@ -192,50 +201,52 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
         # No shared folder is configured: stay lazy rather than write to a
         # machine-local path.
         return tables
-    digest = hashlib.sha1(os.path.abspath(tag).encode()).hexdigest()[:12]
     # a fresh folder per materialisation: nothing that an existing DataFrame
     # (of this or another application) reads is ever overwritten
     app = app_id(spark).replace("/", "_")
-    root = os.path.join(
-        base.replace("file:", ""), f"basket-tables-{digest}-{app}-{uuid.uuid4().hex[:8]}"
-    )
+    root = os.path.join(base.replace("file:", ""), f"basket-tables-{app}-{uuid.uuid4().hex[:12]}")
+    files.delete_at_end(spark, root)
     layout = spark.conf.get("basketry.layout", "clustered")
     parts = int(spark.conf.get("basketry.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
     prefix = "basketry_" + os.path.basename(root).replace("-", "_")
 
-    def save_fact(df: DataFrame, name: str) -> DataFrame:
+    def save_fact(df: DataFrame, name: str, split_by: list[str]) -> DataFrame:
         path = os.path.join(root, name)
         keys = ["user_id", "order_number"]
         if layout == "bucketed":
             table = f"{prefix}_{name}"
             spark.sql(f"DROP TABLE IF EXISTS {table}")
-            (
-                df.write.mode("overwrite")
-                .bucketBy(parts, "user_id")
-                .sortBy(*keys)
-                .option("path", path)
-                .saveAsTable(table)
-            )
+            writer = df.write.mode("overwrite").bucketBy(parts, "user_id").sortBy(*keys)
+            if split_by:
+                writer = writer.partitionBy(*split_by)
+            writer.option("path", path).saveAsTable(table)
             return spark.table(table)
-        df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode(
-            "errorifexists"
-        ).parquet(path)
-        return spark.read.parquet(path)
+        writer = df.repartitionByRange(parts, *keys).sortWithinPartitions(*split_by, *keys).write
+        if split_by:
+            writer = writer.partitionBy(*split_by)
+        writer.mode("errorifexists").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     def save_plain(df: DataFrame, name: str) -> DataFrame:
         path = os.path.join(root, name)
         df.write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
 
-    items_all = tables.order_items
-    if items_all is None:
-        items_all = tables.orders.join(
+    last = (
+        tables.orders.where(F.col("eval_set") == "prior")
+        .groupBy("user_id")
+        .agg(F.max("order_number").alias("user_max"))
+    )
+    orders = save_fact(join_back(tables.orders, last, ["user_id"], "left"), "orders", [])
+    if tables.items_of is not None:
+        items_all = tables.items_of(orders)
+    else:
+        items_all = orders.join(
             tables.order_products_prior.unionByName(tables.order_products_train), "order_id"
-        ).select(ORDER_COLS + ITEM_COLS)
-    orders = save_fact(tables.orders, "orders")
-    items = save_fact(items_all.select(ORDER_COLS + ITEM_COLS), "order_items")
+        )
+    items = save_fact(items_all.select(ORDER_COLS + ITEM_COLS + ["user_max"]), "order_items", ["eval_set"])
     out = BasketTables(
-        orders=orders,
+        orders=orders.select(ORDER_COLS),
         order_products_prior=items.where(F.col("eval_set") == "prior").select(
             "order_id", *ITEM_COLS
         ),
@@ -247,6 +258,7 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
         departments=save_plain(tables.departments, "departments"),
         order_items=items,
     )
+    out.extras["folder"] = root
     out.extras["train_items"] = items.where(F.col("eval_set") == "train").select(
         "user_id",
         "order_id",
