@@ -91,18 +91,16 @@ def reorder_share_per_order(prior_items: DataFrame) -> DataFrame:
     )
 
 
-def reorder_share_histogram(
-    prior_items: DataFrame, bins: int = 100, lo: float = 0.0, hi: float = 1.0
-) -> DataFrame:
-    """Histogram of per-user reorder shares (E15): right-closed fixed-width
-    bins, empty bins included, density = count / (n * width).
+def histogram(values: DataFrame, col: str, bins: int, lo: float, hi: float) -> DataFrame:
+    """Histogram of a column (E15): right-closed fixed-width bins, empty bins
+    included, density = count / (n * width).  Nulls are left out; values
+    beyond the ends count in the first or last bin.
 
-    The per-user values are reduced to per-bin counts by a partial
-    aggregation; the bin grid (``bins`` rows) is then joined to them."""
+    The values are reduced to per-bin counts by a partial aggregation; the
+    bin grid (``bins`` rows) is then joined to them."""
     width = (hi - lo) / bins
-    shares = reorder_share_per_user(prior_items)
-    counts = shares.groupBy(
-        right_closed_bin(F.col("ave_reorder_share"), lo, width, bins).alias("bin")
+    counts = values.where(F.col(col).isNotNull()).groupBy(
+        right_closed_bin(F.col(col), lo, width, bins).alias("bin")
     ).agg(F.count(F.lit(1)).alias("count"))
     grid = counts.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     # Every value lands in exactly one bin, so n is the sum over the grid:
@@ -120,6 +118,18 @@ def reorder_share_histogram(
     )
 
 
+def reorder_share_histogram(
+    prior_items: DataFrame, bins: int = 100, lo: float = 0.0, hi: float = 1.0
+) -> DataFrame:
+    """Histogram of per-user reorder shares."""
+    return histogram(reorder_share_per_user(prior_items), "ave_reorder_share", bins, lo, hi)
+
+
+def summary_of(values: DataFrame, col: str) -> DataFrame:
+    """Six-number summary of one column (A9): stat, value."""
+    return six_number_summary(values.withColumnRenamed(col, "value"), ["value"])
+
+
 def reorder_share_summary(prior_items: DataFrame) -> DataFrame:
     """Six-number summary of the per-user reorder share (A9): stat, value."""
     return six_number_summary(

@@ -322,6 +322,41 @@ def _rs_hist(t):
     return E.reorder_share_histogram(t.prior_items, bins=100)
 
 
+# What each further histogram is of, with its bins and range.
+SIZE_BINS, SIZE_MAX = 100, 100.0  # basket sizes: bins of width 1
+HISTOGRAMS: dict[str, tuple[Callable[[BasketTables], DataFrame], str, int, float]] = {
+    "reorder_share_second_order_histogram": (
+        lambda t: E.reorder_share_second_order(t.prior_items), "ave_reorder_share", 100, 1.0),
+    "reorder_share_last_order_histogram": (
+        lambda t: E.reorder_share_last_order(t.prior_items), "ave_reorder_share", 100, 1.0),
+    "reorder_share_per_order_histogram": (
+        lambda t: E.reorder_share_per_order(t.prior_items), "reorder_share", 100, 1.0),
+    "basket_size_histogram": (
+        lambda t: E.basket_size_per_user(t.prior_items), "ave_basket_size", SIZE_BINS, SIZE_MAX),
+    "average_basket_histogram": (lambda t: candidates(t), "user_average_basket", SIZE_BINS, SIZE_MAX),
+    "score_histogram": (lambda t: scored_validation(t), "score", 100, 1.0),
+    "reorder_ratio_histogram": (lambda t: scored_validation(t), "user_reorder_ratio", 100, 1.0),
+    "order_rate_histogram": (lambda t: scored_validation(t), "up_order_rate", 100, 1.0),
+}
+for _name, (_of, _col, _bins, _hi) in HISTOGRAMS.items():
+    query(_name)(lambda t, of=_of, col=_col, bins=_bins, hi=_hi: E.histogram(of(t), col, bins, 0.0, hi))
+
+
+@query("reorder_share_second_order_summary")
+def _rs_second_summary(t):
+    return E.summary_of(E.reorder_share_second_order(t.prior_items), "ave_reorder_share")
+
+
+@query("reorder_share_last_order_summary")
+def _rs_last_summary(t):
+    return E.summary_of(E.reorder_share_last_order(t.prior_items), "ave_reorder_share")
+
+
+@query("unique_products_summary")
+def _unique_products_summary(t):
+    return E.summary_of(E.unique_products_per_user(t.prior_items), "n_products")
+
+
 @query("dataset_cardinalities")
 def _cardinalities(t):
     return D.dataset_cardinalities(t)

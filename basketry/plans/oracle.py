@@ -959,6 +959,92 @@ _reg(
     ["best_cutoff", "best_f1"],
 )
 
+
+
+# ------------------------------------------- further histograms and summaries
+
+
+def _histogram(ctes: str, source: str, col: str, bins: int, hi: float) -> str:
+    """Every bin's count over ``source``, by a bin's edges."""
+    width = hi / bins
+    return _q(
+        _ctes(
+            *([ctes] if ctes else []),
+            f"b_hval AS (SELECT CAST({col} AS DOUBLE) AS v FROM {source} WHERE {col} IS NOT NULL)",
+            f"""b_hbin AS (
+                SELECT least(greatest(CAST(ceil(v / {width!r}::DOUBLE - 0.000000001::DOUBLE) AS INTEGER), 1), {bins}) AS bin,
+                       count(*) AS cnt
+                FROM b_hval GROUP BY 1
+            )""",
+            f"b_hgrid AS (SELECT CAST(range AS INTEGER) AS bin FROM range(1, {bins + 1}))",
+            """b_hall AS (
+                SELECT g.bin, CAST(coalesce(h.cnt, 0) AS BIGINT) AS cnt
+                FROM b_hgrid g LEFT JOIN b_hbin h ON g.bin = h.bin
+            )""",
+        ),
+        f"""SELECT bin, 0.0::DOUBLE + (bin - 1) * {hi!r}::DOUBLE / {bins} AS lower,
+                  0.0::DOUBLE + bin * {hi!r}::DOUBLE / {bins} AS upper, cnt AS "count",
+                  CASE WHEN sum(cnt) OVER () = 0 THEN NULL
+                       ELSE cnt / (sum(cnt) OVER () * {width!r}::DOUBLE) END AS density
+           FROM b_hall""",
+    )
+
+
+RS_SECOND = """
+b_rs2 AS (
+    SELECT user_id, avg(reordered) AS ave_reorder_share FROM b_prior
+    WHERE order_number = 2 GROUP BY user_id
+)"""
+RS_LAST = LAST + """,
+b_rsl AS (
+    SELECT user_id, avg(reordered) AS ave_reorder_share FROM b_pl
+    WHERE order_number = user_max GROUP BY user_id
+)"""
+RS_ORDER = """
+b_rso AS (
+    SELECT user_id, order_number, avg(reordered) AS reorder_share FROM b_prior
+    WHERE order_number > 1 GROUP BY user_id, order_number
+)"""
+BS_USER = BS + """,
+b_bsu AS (SELECT user_id, avg(basket_size) AS ave_basket_size FROM b_bs GROUP BY user_id)"""
+N_PRODUCTS = """
+b_np AS (SELECT user_id, count(DISTINCT product_id) AS n_products FROM b_prior GROUP BY user_id)"""
+_VALID = _ctes(FEATURES, HOLDOUT, VALID)
+for _name, _src in {
+    "reorder_share_second_order_histogram": (RS_SECOND, "b_rs2", "ave_reorder_share", 100, 1.0),
+    "reorder_share_last_order_histogram": (RS_LAST, "b_rsl", "ave_reorder_share", 100, 1.0),
+    "reorder_share_per_order_histogram": (RS_ORDER, "b_rso", "reorder_share", 100, 1.0),
+    "basket_size_histogram": (BS_USER, "b_bsu", "ave_basket_size", 100, 100.0),
+    "average_basket_histogram": (FEATURES, "b_cand", "user_average_basket", 100, 100.0),
+    "score_histogram": (_VALID, "b_vc", "score", 100, 1.0),
+    "reorder_ratio_histogram": (_VALID, "b_vc", "user_reorder_ratio", 100, 1.0),
+    "order_rate_histogram": (_VALID, "b_vc", "up_order_rate", 100, 1.0),
+}.items():
+    _reg(_name, _histogram(*_src), ["lower", "upper", "density"])
+for _name, (_cte, _tab, _col) in {
+    "reorder_share_second_order_summary": (RS_SECOND, "b_rs2", "ave_reorder_share"),
+    "reorder_share_last_order_summary": (RS_LAST, "b_rsl", "ave_reorder_share"),
+    "unique_products_summary": (N_PRODUCTS, "b_np", "n_products"),
+}.items():
+    _reg(
+        _name,
+        _q(_ctes(_cte, f"b_sval AS (SELECT {_col} AS value FROM {_tab})"), summary_select("b_sval", ["value"])),
+        ["value"],
+    )
+_reg(
+    "row_sample",
+    _q(
+        FEATURES,
+        """SELECT user_id, product_id FROM (
+             SELECT user_id, product_id,
+                    (((user_id % 2147483647) * 48271 + 17) % 2147483647 + product_id % 2147483647)
+                      % 2147483647 * 48271 % 2147483647 AS h
+             FROM b_cand)
+           WHERE h * 48271 % 2147483647 % 10000 < 1000""",
+    ),
+    [],
+)
+
 _reg("submission_last3", _q(TEST_SUB, "SELECT order_id, products FROM b_sub0"), [])
 _reg(
     "submission_last3_none",
