@@ -171,13 +171,12 @@ def should_materialize(spark: SparkSession) -> bool:
 
 
 def forget(spark: SparkSession | None = None) -> None:
-    """Drop memoised tables (all, or those of one session), with the models
-    kept with them and the files they were written to."""
+    """Drop memoised tables (all, or those of one session), and the models
+    kept with them.  Their files stay until the application ends, as other
+    DataFrames may still read them."""
     for key in list(_MEMO):
         if spark is None or key[0] == app_id(spark):
-            tables = _MEMO.pop(key)
-            if "folder" in tables.extras:
-                files.delete(tables.orders.sparkSession, tables.extras["folder"])
+            del _MEMO[key]
 
 
 def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTables:

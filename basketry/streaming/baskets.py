@@ -4,7 +4,8 @@ The reference is a batch job; this module runs its submission rule
 (re-ordered products of the last three prior orders, ``None`` when there
 are none) continuously: new target orders land as files and every
 micro-batch is joined to the per-user candidate pairs.  Those pairs are
-derived from the order history ONCE when the stream starts and written to
+derived from the order history ONCE when the stream starts (which is why the
+stream takes what has arrived and ends, and does not run on) and written to
 the checkpoint folder (lineage cut), so a micro-batch reads a compact
 (user, product) table instead of scanning the whole history.  Each micro-batch writes into its own epoch folder with
 overwrite, so a batch replayed after a failure replaces its earlier output
@@ -51,7 +52,6 @@ def start_basket_stream(
     landing_dir: str,
     sink_dir: str,
     name: str = "baskets",
-    available_now: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Start the stream over parquet order files (basket ``orders`` schema)
@@ -65,5 +65,4 @@ def start_basket_stream(
         .writeStream.foreachBatch(basket_writer(pairs, sink_dir))
         .option("checkpointLocation", stream_checkpoint(spark, name))
     )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    return writer.trigger(availableNow=True).start()

@@ -4,11 +4,19 @@ task."""
 
 from __future__ import annotations
 
+import dataclasses
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.operators import baselines as B
+from basketry.operators import features as FE
 from basketry.operators import history as H
+from basketry.operators import profile as E
+from basketry.operators import submit as U
+from basketry.sources import files
+from basketry.sources.tables import materialize
 from frames import make_tables
 
 SKEW_CONF = {
@@ -75,3 +83,50 @@ def test_hot_user_share_and_exact_results(skew_session):
     # a baseline over the skewed data still has one exact row per train user
     metrics = B.repeat_last_k_reorders(t, 3).toPandas()
     assert len(metrics) == 301 and metrics.f1.between(0, 1).all()
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+JOBS = {
+    "recency_flags": lambda t: FE.recency_flags(t.prior_items),
+    "last3_reorder_baskets": lambda t: U.last3_reorder_baskets(
+        t.prior_items, t.orders.where("eval_set = 'train'").select("user_id", "order_id")
+    ),
+    "prediction_truth_full_join": lambda t: B.prediction_truth_full_join(t, 3),
+    "family1_table": B.family1_table,
+    "family2_table": B.family2_table,
+    "reorder_share_last_order": lambda t: E.reorder_share_last_order(t.prior_items),
+    "reorder_share_by_hod_last_order": lambda t: E.reorder_share_by_hod_last_order(t.prior_items),
+    "basket_size_by_hod_last_order": lambda t: E.basket_size_by_hod_last_order(t.prior_items),
+    "submission_cascade": lambda t: U.submission_cascade(t),
+}
+
+
+@pytest.mark.parametrize("job", sorted(JOBS))
+def test_hot_user_is_split_in_every_job(skew_session, job):
+    t, _ = _skewed(skew_session)
+    if job == "submission_cascade":  # needs test orders
+        orders = t.orders.withColumn("eval_set", F.regexp_replace("eval_set", "train", "test"))
+        t = dataclasses.replace(t, orders=orders)
+    plan = _final_plan(JOBS[job](t))
+    assert "skew=true" in plan, plan
+
+
+def test_written_fact_needs_no_join_for_the_last_orders(skew_session):
+    """The written fact carries the user's last order number."""
+    t, _ = _skewed(skew_session)
+    written = materialize(skew_session, t, "skew")
+    try:
+        assert "user_max" in written.prior_items.columns
+        for job in ("recency_flags", "reorder_share_last_order", "reorder_share_by_hod_last_order"):
+            df = JOBS[job](written)
+            assert "Join" not in _final_plan(df), job
+            assert sorted(map(tuple, df.collect())) == sorted(map(tuple, JOBS[job](t).collect()))
+        train = _final_plan(written.train_items)
+        assert "PartitionFilters: [isnotnull(eval_set" in train and "= train)" in train
+    finally:
+        files.delete(skew_session, written.extras["folder"])
+    assert not files.exists(skew_session, written.extras["folder"])
