@@ -44,6 +44,39 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class Recent(dict):
+    """A table of at most ``size`` entries in two generations: when the young
+    one is full it becomes the old one, and what is asked for again moves
+    back.  So common keys stay while rare ones pass."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size // 2, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.size:
+            self.rotate()
+        self[key] = value
+        return value
+
+    def rotate(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def lacking(self, keys: set) -> set:
+        """Make room for all ``keys`` together, move back what the old
+        generation has, and return what neither has."""
+        new = keys.difference(self)
+        if len(self) and len(self) + len(new) > self.size:
+            self.rotate()
+            new = keys
+        if self.old:
+            back = new.intersection(self.old)
+            self.update(zip(back, map(self.old.__getitem__, back)))
+            new = new - back
+        return new
+
+
 def replace_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """``df`` with ``cols`` set; names that differ only in case from a new
     name (Spark would call them ambiguous) give way to it."""

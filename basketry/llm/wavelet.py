@@ -20,6 +20,7 @@ twice at once, leaves the same whole file.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import quoted, shared_path, written
+from basketry.llm.common import Recent, quoted, shared_path, written
 
 MAGIC = b"WMTX0001"
 HEADER = struct.Struct("<8sQQI")
@@ -40,7 +41,9 @@ BLOCK = 512
 #: Characters of text that a shard holds, about; bounds a task's memory.
 SHARD_CHARS = 16_000_000
 #: Pieces of text whose ids a Python worker keeps, and how long they may be.
-CACHE_PIECES, SHORT = 200_000, 64
+CACHE_PIECES, SHORT = 600_000, 64
+PART = "\x01"
+LAST_SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|$)")
 
 
 class WaveletMatrix:
@@ -52,9 +55,10 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
-        now, zeros, planes = np.asarray(ids, np.uint32), [], []
+        kind = np.uint16 if width <= 16 else np.uint32
+        now, zeros, planes = np.asarray(ids).astype(kind), [], []
         for level in range(width - 1, -1, -1):
-            bits = (now >> np.uint32(level)) & np.uint32(1) != 0
+            bits = now & kind(1 << level) != 0
             planes.append(np.packbits(bits, bitorder="little"))
             zeros.append(int(len(now) - np.count_nonzero(bits)))
             now = np.concatenate([now[~bits], now[bits]])
@@ -65,14 +69,15 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """All ids: the stable partitions are undone from the last plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             bits = self._bits(level)
-            before = np.empty(self.n, np.uint32)
+            before = np.empty(self.n, kind)
             before[~bits] = now[: self.zeros[level]]
-            before[bits] = now[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            before[bits] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             now = before
-        return now
+        return now.astype(np.uint32)
 
     def _blocks(self, level: int) -> np.ndarray:
         if level not in self._ranks:
@@ -184,6 +189,17 @@ def load(folder: str, name: str) -> bytes:
         return f.read()
 
 
+def plain(text: str) -> bytes:
+    """UTF-8 of a text, or of one with the same ids and fewer different
+    words: the vocabulary has lower case only, and a full stop or comma after
+    a letter, before white space, is a word of its own.  Not where lower case
+    could make a string of an added token, or compose with a mark."""
+    raw = text.encode()
+    if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
+        return raw
+    return LAST_SIGN.sub(rb" \1", raw.lower())
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.  The vocabulary's words
     never span white space, so what stands between that of ASCII (which
@@ -196,26 +212,33 @@ class Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = max(1, int(self.lib.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.seen: dict[bytes, bytes] = {}
+        self.seen = Recent(CACHE_PIECES)
+        # A control sign that is a word of one id by itself parts the pieces
+        # that are encoded together.
+        mark = self.lib.encode(PART, add_special_tokens=False).ids
+        if len(mark) != 1:
+            raise ValueError("this vocabulary has no sign that parts words")
+        self.mark = mark[0]
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as 32-bit integers."""
-        cut = [(t or "").encode().split() for t in texts]
-        new = set().union(*cut) - self.seen.keys()
-        if len(self.seen) + len(new) > CACHE_PIECES:
-            self.seen.clear()
-            new = set().union(*cut)
-        fresh = list(new)
+        cut = [plain(t or "").split() for t in texts]
+        new = self.seen.lacking(set().union(*cut))
+        odd = [p for p in new if PART.encode() in p]
+        fresh = list(new.difference(odd))
         for a in range(0, len(fresh), 4096):
             block = fresh[a : a + 4096]
-            made = self.lib.encode([p.decode() for p in block], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(made.ids, np.uint32)
-            of = np.array([-1 if w is None else w for w in made.word_ids], np.int64)
-            ends = np.searchsorted(of, np.arange(len(block)), side="right")
-            raw, stops = ids.tobytes(), (4 * ends).tolist()
-            self.seen.update(zip(block, [raw[x:y] for x, y in zip([0, *stops], stops)]))
+            whole = self.lib.encode_batch_fast([f" {PART} ".join([p.decode() for p in block])], add_special_tokens=False)
+            ids = np.array(whole[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(block) - 1:
+                raise ValueError("pieces of text ran together")
+            raw = ids.tobytes()
+            self.seen.update(zip(block, [raw[x:y] for x, y in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)])]))
+        for p in odd:
+            self.seen[p] = np.array(self.lib.encode(p.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
         out = [b"".join(map(self.seen.__getitem__, pieces)) for pieces in cut]
-        for p in fresh:
+        for p in new:
             if len(p) > SHORT:
                 del self.seen[p]
         return out
