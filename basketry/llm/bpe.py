@@ -11,7 +11,8 @@ takes the same merges in the same order.
 No word holds a space before a visible character, except as its first byte.
 So a text may be cut before each such space, and every cut piece is encoded
 once per Python worker: dictionaries of at most ``CACHE_WORDS`` pieces and
-words, emptied when full, keep their ids as packed 32-bit integers.
+words, the least recent half of which goes when they are full, keep their ids
+as packed 32-bit integers.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import quoted
+from basketry.llm.common import Recent, quoted
 
 #: Bytes up to which a word is merged by scanning its rank array.
 SHORT = 96
 #: Words (and their ids) that a Python worker keeps at most.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 NO_RANK = 1 << 60
 #: Split pattern of the byte-level vocabularies (a fixed value), with
 #: ``\s`` spelled out as Unicode's white space.
@@ -145,33 +146,31 @@ def pack(*ids: int) -> bytes:
     return array("i", ids).tobytes()
 
 
-class _Words(dict):
+class _Words(Recent):
     def __init__(self, bpe: ByteBpe):
-        super().__init__()
+        super().__init__(CACHE_WORDS)
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        if len(raw) > SHORT:  # long words are rare and would fill the memory
-            return pack(*self.bpe.merge_long(raw))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = pack(*self.bpe.merge_short(raw))
-        return ids
+        if (ids := self.old.get(word)) is None:
+            raw = word.encode()
+            if len(raw) > SHORT:  # long words are rare and would fill the memory
+                return pack(*self.bpe.merge_long(raw))
+            ids = pack(*self.bpe.merge_short(raw))
+        return self.keep(word, ids)
 
 
-class _Pieces(dict):
+class _Pieces(Recent):
     def __init__(self, bpe: ByteBpe):
-        super().__init__()
+        super().__init__(CACHE_WORDS)
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.bpe.cache.__getitem__, self.bpe.words.findall(piece)))
-        if len(piece) <= SHORT and "\n" not in piece:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[piece] = ids
-        return ids
+        if (ids := self.old.get(piece)) is None:
+            ids = b"".join(map(self.bpe.cache.__getitem__, self.bpe.words.findall(piece)))
+            if len(piece) > SHORT or "\n" in piece:
+                return ids
+        return self.keep(piece, ids)
 
 
 @lru_cache(maxsize=2)
