@@ -17,9 +17,9 @@ the id); prediction covers every row.
 from __future__ import annotations
 
 import math
+import struct
 import unicodedata
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import quoted, written
+from basketry.llm.common import Recent, quoted, written
 
 #: Bound of the training sample: labelled documents of each language.
 SAMPLE_DOCS = 1000
@@ -40,7 +40,7 @@ SMOOTH = 50.0
 #: Probability of a character that no piece of the vocabulary covers.
 UNKNOWN = 1e-7
 #: Words up to this length are kept in a worker's table, at most so many.
-SHORT, CACHE_WORDS = 40, 200_000
+SHORT, CACHE_WORDS = 40, 400_000
 #: Words whose sums advance together, and letters of text looked up together.
 BLOCK, BLOCK_CHARS = 4096, 1 << 21
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -137,8 +137,7 @@ class Scorer:
         self.unknown = (UNKNOWN,) * self.n
         # The last row serves characters that no piece covers.
         self.probs = np.array([*model.probs, self.unknown], np.float64).reshape(len(model.probs) + 1, self.n)
-        self.words_seen: dict[str, tuple[float, ...]] = {}
-        self.pieces_seen: dict[str, bytes] = {}
+        self.words_seen, self.pieces_seen = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
     def word(self, word: str) -> list[float]:
         """Forward algorithm over all segmentations, one sum a language.
@@ -197,25 +196,25 @@ class Scorer:
     def learn_pieces(self, pieces: set[str]) -> list[str]:
         """What stands between white space: packed log-likelihoods and number
         of words.  Returns those that are too long to be kept on."""
-        new = pieces - self.pieces_seen.keys()
-        if len(self.pieces_seen) + len(new) > CACHE_WORDS:
-            self.pieces_seen.clear()
-            new = pieces
+        new = self.pieces_seen.lacking(pieces)
         parts = {p: WORD.findall(p) for p in new}
         words = {w for ws in parts.values() for w in ws}
-        fresh = sorted(words - self.words_seen.keys())
-        if len(self.words_seen) + len(fresh) > CACHE_WORDS:
-            self.words_seen.clear()
-            fresh = sorted(words)
-        seen, long = self.words_seen, {w: self.word(w) for w in fresh if len(w) > SHORT}
+        fresh = sorted(self.words_seen.lacking(words))
+        seen = self.words_seen
+        long = [w for w in fresh if len(w) > SHORT]
+        seen.update({w: tuple(self.word(w)) for w in long})
         short = [w for w in fresh if len(w) <= SHORT]
         for a in range(0, len(short), BLOCK):
             seen.update(zip(short[a : a + BLOCK], map(tuple, self.words(short[a : a + BLOCK]))))
-        none = (0.0,) * self.n
+        pack, none = struct.Struct(f"{self.n + 1}d").pack, (0.0,) * self.n
         for p, ws in parts.items():
-            each = [long[w] if w in long else seen[w] for w in ws]
-            sums = each[0] if len(each) == 1 else [sum(x) for x in zip(*each)] if each else none
-            self.pieces_seen[p] = array("d", [*sums, float(len(ws))]).tobytes()
+            if len(ws) == 1:
+                self.pieces_seen[p] = pack(*seen[ws[0]], 1.0)
+            else:
+                sums = [sum(x) for x in zip(*(seen[w] for w in ws))] if ws else none
+                self.pieces_seen[p] = pack(*sums, float(len(ws)))
+        for w in long:
+            del seen[w]
         return [p for p in new if len(p) > SHORT]
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
