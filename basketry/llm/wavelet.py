@@ -20,10 +20,11 @@ twice at once, leaves the same whole file.
 
 from __future__ import annotations
 
-import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.llm.bpe import byte_letters
 from basketry.llm.common import Recent, quoted, shared_path, written
 
 MAGIC = b"WMTX0001"
@@ -41,9 +43,8 @@ BLOCK = 512
 #: Characters of text that a shard holds, about; bounds a task's memory.
 SHARD_CHARS = 16_000_000
 #: Pieces of text whose ids a Python worker keeps, and how long they may be.
-CACHE_PIECES, SHORT = 600_000, 64
+CACHE_PIECES, SHORT = 1_000_000, 64
 PART = "\x01"
-LAST_SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|$)")
 
 
 class WaveletMatrix:
@@ -191,13 +192,10 @@ def load(folder: str, name: str) -> bytes:
 
 def plain(text: str) -> bytes:
     """UTF-8 of a text, or of one with the same ids and fewer different
-    words: the vocabulary has lower case only, and a full stop or comma after
-    a letter, before white space, is a word of its own.  Not where lower case
-    could make a string of an added token, or compose with a mark."""
+    words, as the vocabulary has lower case only.  Not where lower case could
+    make a string of an added token, or compose with a mark."""
     raw = text.encode()
-    if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
-        return raw
-    return LAST_SIGN.sub(rb" \1", raw.lower())
+    return raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
 
 
 class Encoder:
@@ -218,26 +216,68 @@ class Encoder:
         mark = self.lib.encode(PART, add_special_tokens=False).ids
         if len(mark) != 1:
             raise ValueError("this vocabulary has no sign that parts words")
-        self.mark = mark[0]
+        self.mark, self.model = mark[0], self.lib.model
+        self.signs = {c.encode(): np.array(self.lib.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
+        self.byte_letters = {b: c for c, b in byte_letters().items()}
+
+    def _word(self, piece: bytes) -> str | None:
+        """The piece as the vocabulary's model sees it, if it is one word that
+        the normalizer leaves alone: letters, composed, in lower case."""
+        word = piece.decode()
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            return word if word.islower() else None
+        if word != word.lower() or not unicodedata.is_normalized("NFC", word):
+            return None
+        return piece.decode("latin-1").translate(self.byte_letters)
+
+    def _known(self, piece: bytes) -> bytes | None:
+        """The ids of one word, or of one and a full stop or comma, which is
+        a word of its own after a letter."""
+        sign = self.signs.get(piece[-1:])
+        if sign is not None:
+            piece = piece[:-1]
+            if (ids := self.seen.get(piece)) is not None and piece.decode().isalpha():
+                return ids + sign
+        if not piece or (word := self._word(piece)) is None:
+            return None
+        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids + sign if sign else ids
+
+    def _together(self, pieces: list[bytes]) -> None:
+        """Encode pieces without PART or added tokens by the whole library."""
+        whole = self.lib.encode_batch_fast([f" {PART} ".join([p.decode() for p in pieces])], add_special_tokens=False)
+        ids = np.array(whole[0].ids, np.uint32)
+        stops = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        if len(stops) != len(pieces):
+            raise ValueError("pieces of text ran together")
+        raw, cuts = ids.tobytes(), (4 * stops).tolist()
+        self.seen.update(zip(pieces, [raw[x:y] for x, y in zip([0, *(x + 4 for x in cuts[:-1])], cuts)]))
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as 32-bit integers."""
         cut = [plain(t or "").split() for t in texts]
-        new = self.seen.lacking(set().union(*cut))
-        odd = [p for p in new if PART.encode() in p]
-        fresh = list(new.difference(odd))
-        for a in range(0, len(fresh), 4096):
-            block = fresh[a : a + 4096]
-            whole = self.lib.encode_batch_fast([f" {PART} ".join([p.decode() for p in block])], add_special_tokens=False)
-            ids = np.array(whole[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(block) - 1:
-                raise ValueError("pieces of text ran together")
-            raw = ids.tobytes()
-            self.seen.update(zip(block, [raw[x:y] for x, y in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)])]))
+        get = self.seen.get
+        found = [list(map(get, pieces)) for pieces in cut]
+        new: set[bytes] = set()
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        for k in lacking:
+            new.update([p for p, ids in zip(cut[k], found[k]) if ids is None])
+        new = self.seen.lacking(new)
+        others, odd = [], []
+        for p in sorted(new, key=len):
+            if (ids := self._known(p)) is not None:
+                self.seen[p] = ids
+            else:
+                (odd if PART.encode() in p or b"<|" in p else others).append(p)
+        for a in range(0, len(others), 4096):
+            self._together(others[a : a + 4096])
         for p in odd:
             self.seen[p] = np.array(self.lib.encode(p.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-        out = [b"".join(map(self.seen.__getitem__, pieces)) for pieces in cut]
+        for k in lacking:
+            found[k] = [self.seen[p] if ids is None else ids for p, ids in zip(cut[k], found[k])]
+        out = [b"".join(ids) for ids in found]
         for p in new:
             if len(p) > SHORT:
                 del self.seen[p]

@@ -42,6 +42,7 @@ def test_ids_are_the_library_s():
     rng, mine = random.Random(7), W.Encoder(VOCAB)
     letters = [*" \n\t\x1c\x1f\x85\xa0 ​　aAbB'ßÉéŠİſΣς1²½٣,.!<|>_́̈가각ㄱ", "ing", " the", "<|endoftext|>", "<|startoftext|>"]
     texts = ["", None, "  ", "x" * 5000, "The The the THE", "<|ENDOFTEXT|> A", "J\u030c T\u0308. W\u030aX", "a., b.. c,. d.e ,f é, é. it's. I'LL, x.\n", "Ab.", "a.\x1f,"] + ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["éöüß ñandú şehir дом ΣΑΣ σας ſtein ﬁne Ǆ ǆ ﬀ", "가각 각 k\u0307", "ªº ʰa ⅷ Ⅷ"]
     for got, text in zip(mine.packed(texts), texts):
         assert np.frombuffer(got, np.uint32).tolist() == lib_ids(text), repr(text)
 
