@@ -17,6 +17,8 @@ Content paths then show the content node: from the root down, the child that
 holds nearly all of their characters.  All blocks below that node are the
 main text, headings and short paragraphs too, except in parts that are
 marked as something else (``ASIDE_TAGS``, ``ASIDE_NAMES``); those never score.
+A name or a form may also mark a wrapper of the whole page ('has-sidebar',
+'no-comments', a page in one form); ``lift_wrappers`` tells these.
 """
 
 from __future__ import annotations
@@ -39,13 +41,16 @@ CLOSES_P = set("address article aside blockquote details dialog div dl fieldset
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 #: What an implied end never crosses.
 SCOPE = set("html body article section main aside nav header footer form div table ul ol dl blockquote td th".split())
-ASIDE_TAGS = set("head title nav aside footer form button select textarea script style noscript template iframe object svg canvas audio video dialog menu".split())
+ASIDE_TAGS = set("head title nav aside footer button select textarea script style noscript template iframe object svg canvas audio video dialog menu".split())
 ASIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer masthead topbar toolbar pagination pager "
     "comment comments disqus replies share sharing social newsletter subscribe signup login related recommended recirculation skip".split()
 )
 MAIN_TAGS = {"article", "main"}
+#: Asides that end, whatever is left unclosed, where the body or ``main`` begins.
+OUTER_ASIDES = {"head", "header", "nav", "aside", "footer", "menu"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 #: Standard deviations of the fused scores that make a content path.
 LAMBDA = 0.5
@@ -53,15 +58,30 @@ LAMBDA = 0.5
 WEIGHTS = (0.6, 0.3)
 #: The share of the content that a node must hold to be gone down into.
 HOLDS = 0.75
+#: The share of the page's text outside links above which a marked part is a
+#: wrapper, if its name only mentions an aside or it holds an article, and if
+#: its name begins with one.
+WRAPS, WRAPS_NAMED = 0.5, 0.9
+#: Characters of unmarked text in main or article that show where the content is.
+PARAGRAPH = 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "aside", "depth", "main")
-
-    def __init__(self, tag: str, parent: Node | None, path: int, aside: bool, main: bool):
-        self.tag, self.parent, self.path, self.aside, self.main = tag, parent, path, aside, main
+    __slots__ = ("tag", "parent", "path", "hard", "mark", "within", "lifted", "depth", "main")
+
+    def __init__(self, tag: str, parent: Node | None, path: int, hard: str, mark: int, main: bool):
+        #: hard: the tag (or 'hidden') that makes it aside, or ''; mark: as of ``_mark``;
+        #: within: the nearest marked node, itself included.
+        self.tag, self.parent, self.path, self.hard, self.mark, self.main = tag, parent, path, hard, mark, main
+        self.within = self if mark else parent.within if parent else None
+        self.lifted = False
         self.depth = parent.depth + 1 if parent else 0
 
+    @property
+    def outer(self) -> Node | None:
+        """The nearest marked node above."""
+        return self.parent.within if self.parent else None
+
 
 class Block:
     __slots__ = ("node", "text", "linked")
@@ -71,8 +91,16 @@ class Block:
 
 
 @lru_cache(maxsize=100_000)
-def _aside_label(label: str) -> bool:
-    return any(t in ASIDE_NAMES for t in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower()))
+def _mark(label: str) -> int:
+    """2 if a class or id begins with an aside's name, 1 if one holds it further on, else 0."""
+    mark = 0
+    for name in label.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        if words and words[0] in ASIDE_NAMES:
+            return 2
+        if any(w in ASIDE_NAMES for w in words):
+            mark = 1
+    return mark
 
 
 class Page(HTMLParser):
@@ -84,7 +112,10 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
-        self.root = self.at = Node("", None, -1, False, False)
+        self.root = self.at = Node("", None, -1, "", 0, False)
+        self.marks: list[Node] = []
+        self.mains: list[Node] = []
+        self.articles: list[Node] = []
         self.open: dict[str, int] = {}
         self.words: list[str] = []
         self.linked = 0
@@ -123,10 +154,21 @@ class Page(HTMLParser):
         named = dict(attrs)
         label = " ".join(filter(None, (named.get("class"), named.get("id"))))
         inside = self.at.main
-        aside = self.at.aside or tag in ASIDE_TAGS or (tag == "header" and not inside) or "hidden" in named
-        aside = aside or bool(label and tag not in ("html", "body", *MAIN_TAGS) and _aside_label(label))
+        hard = self.at.hard
+        if tag in ("body", "main") and hard in OUTER_ASIDES:
+            hard = ""
+        if not hard:
+            hard = "hidden" if "hidden" in named else tag if tag in ASIDE_TAGS or (tag == "header" and not inside) else ""
+        named_aside = _mark(label) if label else 0
+        mark = 0 if hard or tag in ("html", "body", *MAIN_TAGS) else max(named_aside, int(tag == "form"))
         path = self.paths.setdefault((self.at.path, f"{tag} {label}"), len(self.paths))
-        self.at = Node(tag, self.at, path, aside, inside or tag in MAIN_TAGS)
+        self.at = Node(tag, self.at, path, hard, mark, inside or tag in MAIN_TAGS)
+        if mark:
+            self.marks.append(self.at)
+        elif tag == "main" and not hard:
+            self.mains.append(self.at)
+        elif tag == "article" and not hard and not named_aside:
+            self.articles.append(self.at)
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def close_implied(self, tags: set[str]) -> None:
@@ -167,6 +209,44 @@ class Page(HTMLParser):
             self.linked += len(data.strip())
 
 
+def lift_wrappers(page: Page) -> list[Block]:
+    """The blocks that are not aside.  A marked node is no aside if it holds
+    ``main``.  As long as main and articles show no unmarked paragraph, nor
+    is the outermost one that holds most of the page's text outside links."""
+    blocks = [b for b in page.blocks if not b.node.hard]
+    held = dict.fromkeys(page.marks, 0)
+    shown: dict[Node | None, int] = {}
+    for b in blocks:
+        size, m = len(b.text) - b.linked, b.node.within
+        if m is not None:
+            held[m] += size
+        if b.node.main and b.node.tag not in HEADINGS:
+            shown[m] = shown.get(m, 0) + size
+    total = sum(len(b.text) - b.linked for b in blocks)
+    with_article = {a.within for a in page.articles}
+    inner: dict[Node | None, list[Node]] = {}
+    for m in reversed(page.marks):  # inner ones begin after outer ones
+        if m.outer is not None:
+            held[m.outer] += held[m]
+            if m in with_article:
+                with_article.add(m.outer)
+        inner.setdefault(m.outer, []).append(m)
+    for m in (n.within for n in page.mains):
+        while m is not None and not m.lifted:
+            m.lifted, m = True, m.outer
+    front = [m for m in page.marks if not m.lifted and (m.outer is None or m.outer.lifted)]
+    seen = sum(n for m, n in shown.items() if m is None or m.lifted)
+    while front and seen < PARAGRAPH:
+        m = max(front, key=lambda n: held[n])
+        if held[m] <= total * (WRAPS_NAMED if m.mark == 2 and m not in with_article else WRAPS):
+            break
+        m.lifted = True
+        seen += shown.get(m, 0)
+        front = inner.get(m, [])  # no other holds so much
+    # What is lifted has only lifted ones above it.
+    return [b for b in blocks if b.node.within is None or b.node.within.lifted]
+
+
 def punctuation(text: str) -> int:
     return sum(text.count(c) for c in ".,;:!?…，。、；：！？")
 
@@ -275,7 +355,7 @@ def main_text(html: str | None) -> str:
     page = Page()
     page.feed(html)
     page.close()
-    blocks = [b for b in page.blocks if not b.node.aside]
+    blocks = lift_wrappers(page)
     node = content_node(blocks, content_paths(blocks))
     if node is None:
         return ""

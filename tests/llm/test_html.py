@@ -67,3 +67,32 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.url, r.text) for r in extract(df).collect()), key=str)
     assert got == sorted([(1, "u", ""), (None, None, LONG), (2, "v", ""), (2, "v", LONG), (2, "v", LONG)], key=str)
     assert extract(df.limit(0)).collect() == []
+
+
+FAR = " ".join([LONG] * 3)
+WRAPPED = {
+    "names with main": (f"<div class='content-sidebar-wrap'><main><h1>T</h1><p>{FAR}</p></main><div class='sidebar'><p>{LONG}</p></div></div>", f"T {FAR}"),
+    "names with article": (f"<div id='page' class='has-sidebar no-comments'><article><h1>T</h1><p>{FAR}</p></article><div class='related'><p>{LONG}</p></div></div>", f"T {FAR}"),
+    "names without either": (f"<div id='page' class='no-comments'><div class='text'><p>{FAR}</p><p>{FAR}</p></div><div class='sidebar'>{LONG}</div></div>", f"{FAR} {FAR}"),
+    "listed name": (f"<div class='widget'><div class='share'><article><p>{FAR}</p></article></div></div><div>All rights, reserved.</div>", FAR),
+    "listed name alone": (f"<div class='notice'><p>{FAR}</p><p>{FAR}</p></div>", f"{FAR} {FAR}"),
+    "wrapper in main": (f"<main><h1>T</h1><div class='content-sidebar'><p>{FAR}</p></div></main>", f"T {FAR}"),
+    "one form": (f"<form id='aspnetForm'><div class='nav'><a href=x>Home</a></div><div id='c'><h1>T</h1><p>{FAR}</p><p>{FAR}</p></div></form>", f"T {FAR} {FAR}"),
+    "form with article": (f"<form id='aspnetForm'><article><p>{FAR}</p><form><p>Name, please. Go on.</p></form></article><footer>{LONG}</footer></form>", FAR),
+    "thread outweighs article": (f"<div id='page' class='no-ads'><article><p>{LONG}</p></article><section id='comments'>{'<article class=comment><p>' + FAR + '</p></article>'}{f'<p>{FAR}</p>' * 9}</section></div>", LONG),
+    "thread outweighs div": (f"<div class='text'><p>{FAR}</p><p>{FAR}</p></div><div id='comments'>{f'<p>{FAR}</p>' * 8}</div>", f"{FAR} {FAR}"),
+    "cards beside the text": (f"<div class='text'><p>{FAR}</p><p>{FAR}</p></div><div class='more-related'><article><p>{LONG}</p></article></div>", f"{FAR} {FAR}"),
+    "unclosed nav": (f"<nav><a href=x>Home</a><main><p>{FAR}</p></main>", FAR),
+    "hidden stays out": (f"<div hidden><main><p>{FAR}</p></main></div><div><p>{LONG}</p></div>", LONG),
+}
+
+
+@pytest.mark.parametrize("case", WRAPPED)
+def test_names_of_wrappers_lose_nothing(case):
+    body, want = WRAPPED[case]
+    assert main_text(page(body)) == want
+
+
+def test_deep_marks_end_in_time():
+    assert main_text("<div class='no-ad'>" * 20000 + LONG) == LONG
+    assert main_text("<div class='ad'>x, y.</div>" * 20000 + f"<p>{LONG} {LONG}</p>") == f"{LONG} {LONG}"
