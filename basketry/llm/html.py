@@ -52,6 +52,10 @@ MAIN_TAGS = {"article", "main"}
 OUTER_ASIDES = {"head", "header", "nav", "aside", "footer", "menu"}
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
+#: Elements whose content is text, up to their end tag if there is one.
+RAW_TAGS = {"title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+COMMENT_END = re.compile(r"--(?:!|\s*)>")
+
 #: Standard deviations of the fused scores that make a content path.
 LAMBDA = 0.5
 #: Neighbours on each side that smooth a block's ratios, and their weights.
@@ -119,7 +123,7 @@ class Page(HTMLParser):
         self.open: dict[str, int] = {}
         self.words: list[str] = []
         self.linked = 0
-        self.raw = None
+        self.endless: set[str] = set()
 
     def flush(self) -> None:
         if self.words:
@@ -142,6 +146,25 @@ class Page(HTMLParser):
         super().close()
         self.flush()
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """The end of the comment that begins at ``i``, which the parser asks
+        for only where a comment can begin; without an end it takes the rest."""
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        end = super().parse_starttag(i)
+        tag = self.at.tag
+        if end > 0 and tag in RAW_TAGS and tag == self.lasttag and tag not in self.endless:
+            if re.compile(rf"</\s*{tag}\s*>", re.I).search(self.rawdata, end):
+                self.set_cdata_mode(tag)
+            else:
+                self.endless.add(tag)
+        return end
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
@@ -350,8 +373,6 @@ def main_text(html: str | None) -> str:
     words and blocks.  Empty for a null or empty page and one without content."""
     if not html:
         return ""
-    if (cut := html.rfind("<!--")) >= 0 and html.find("-->", cut) < 0:
-        html = html[:cut]  # a comment without an end takes the rest
     page = Page()
     page.feed(html)
     page.close()

@@ -96,3 +96,27 @@ def test_names_of_wrappers_lose_nothing(case):
 def test_deep_marks_end_in_time():
     assert main_text("<div class='no-ad'>" * 20000 + LONG) == LONG
     assert main_text("<div class='ad'>x, y.</div>" * 20000 + f"<p>{LONG} {LONG}</p>") == f"{LONG} {LONG}"
+
+
+COMMENTS = {
+    "in script": (f"<script>x='<!--'</script><article><p>{LONG}</p></article>", LONG),
+    "around script": (f"<script><!-- run(); </script><article><p>{LONG}</p></article>", LONG),
+    "in style": (f"<style><!-- p{{}} </style><article><p>{LONG}</p></article>", LONG),
+    "in an attribute": (f"<div title='<!--'></div><article><p title=\"<!-- \">{LONG}</p></article>", LONG),
+    "in textarea": (f"<textarea><!-- </textarea><article><p>{LONG}</p></article>", LONG),
+    "in a comment": (f"<!-- <!-- --><article><p>{LONG}</p></article>", LONG),
+    "other end": (f"<!-- <p>{LONG}</p> --!><article><p>{LONG}</p></article>", LONG),
+    "empty": (f"<!--><article><p>{LONG}</p><!---><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    "without an end": (f"<article><p>{LONG}</p><!-- <p>{LONG}</p></article><script>x='--'</script>", LONG),
+    "without an end after script": (f"<script>x='<!--'</script><article><p>{LONG}</p><!-- <p>{LONG}</p></article>", LONG),
+}
+
+
+@pytest.mark.parametrize("case", COMMENTS)
+def test_comment_signs_outside_comments(case):
+    body, want = COMMENTS[case]
+    assert main_text(page(body)) == want
+
+
+def test_comment_sign_in_title():
+    assert main_text(page(f"<article><p>{LONG}</p></article>", "<title>a <!-- b</title>")) == LONG
