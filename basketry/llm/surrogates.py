@@ -8,10 +8,13 @@ name becomes one of the same gender and script.
 
 * Coreference: the replacement hangs on the key, the type and the normal form
   (case, separators and titles do not count), so all mentions of an entity in
-  all documents get the same one, each in the format of its own mention.
-* Distinctness: all entities of the corpus are checked together.  Where two
-  of one type got the same surrogate, or a surrogate is a real entity, all
-  but one take the next attempt until none collide.  Late attempts add
+  all documents get the same one, each in the format of its own mention.  A
+  given name has one gender in the corpus (``one_gender``), and where a text
+  names somebody, the parts of the name standing alone are mentions too.
+* Distinctness: all entities of the corpus are checked together, given names
+  and surnames as one type.  Where two of one type got the same surrogate, or
+  a surrogate is a real entity, all but one take the next attempt until none
+  collide.  Late attempts add
   characters, so a small space (a two-letter address) cannot run out.
 
 A first pass finds the entities of every text.  A second one joins the texts
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import discard, quoted, written
@@ -69,6 +72,9 @@ PATTERNS = {
     "phone": regex.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\d-])"),
     "name": regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?:(?P<t>{_TITLE})\.?[ ](?P<v>{_WORD}(?:[ ]{_WORD}){{0,2}})|(?P<v>(?:{_GIVEN})(?:[ ]{_WORD}){{1,2}}))"),
 }
+_ALONE = regex.compile(r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}'’-]+")
+#: What can follow a name in its word: a possessive, a quote, a dash.
+_TAIL = re.compile(r"(?:['’][sS]|['’-]+)$")
 _DIGIT = re.compile("[0-9]")
 _ASSIGNED = ("password", "passwd", "pwd", "secret", "token", "key")
 
@@ -127,12 +133,45 @@ def _name_parts(title: str | None, value: str, at: int) -> Iterator[tuple[int, i
     parts = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^ ]+", value)]
     gender = "f" if title in TITLES_F else "m" if title in TITLES_M else _GENDER_OF.get(parts[0][2].title(), "any")
     for i, (a, b, word) in enumerate(parts):
+        if i == len(parts) - 1:
+            word = _TAIL.sub("", word)
+            b = a + len(word)
         given = len(parts) > 1 and i < len(parts) - 1
         # A surname has one surrogate whoever bears it; a given name has its gender's.
         kind = f"given_{gender if gender != 'any' else _GENDER_OF.get(word.title(), 'any')}" if given else "surname"
         yield at + a, at + b, kind, word.casefold()
 
 
+def role(kind: str) -> str:
+    """The type that a name's surrogate hangs on: given names of all genders have one."""
+    return "given" if kind.startswith("given_") else kind
+
+
+def alone(text: str, taken: list[tuple[int, int, str, str]], parts: set[tuple[str, str]]) -> list[tuple[int, int, str, str]]:
+    """Mentions outside those ``taken``, in order: the words that are one of
+    ``parts`` ((role, normal form) of the text's names).  One that is both a
+    given name and a surname is the first before another part of a name."""
+    values = {v for r, v in parts if r in ("given", "surname")}
+    if not values:
+        return []
+    used = bytearray(len(text))
+    for a, b, _, _ in taken:
+        used[a:b] = b"\1" * (b - a)
+    found = []
+    for m in _ALONE.finditer(text):
+        a, word = m.start(), m.group()
+        if word.casefold() not in values:
+            word = _TAIL.sub("", word)
+        value, b = word.casefold(), a + len(word)
+        if value not in values or any(used[a:b]):
+            continue
+        after = _ALONE.match(text, b + 1) if text[b : b + 1] == " " else None
+        first = after is not None and _TAIL.sub("", after.group()).casefold() in values
+        kinds = ("given", "surname") if first else ("surname", "given")
+        found.append((a, b, next(k for k in kinds if (k, value) in parts), value))
+    return found
+
+
 def stream(key: bytes, *parts: object) -> Iterator[int]:
     """Keyed bytes without end."""
     block = 0
@@ -202,7 +241,7 @@ def formatted(kind: str, mention: str, normal: str) -> str:
         digits = iter(normal)
         out = "".join(next(digits, "") if c.isdigit() else c for c in mention)
         return out + "".join(digits)
-    if kind == "email" or kind == "surname" or kind.startswith("given_"):
+    if kind == "email" or role(kind) in ("given", "surname"):
         if mention.isupper():
             return normal.upper()
         if kind == "email":
@@ -228,10 +267,23 @@ def entities_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, kind string, value string")
 
 
+def _role(kind: Column) -> Column:
+    return F.when(kind.startswith("given_"), "given").otherwise(kind)
+
+
+def one_gender(entities: DataFrame) -> DataFrame:
+    """The distinct (kind, value) with one kind for each given name: of the
+    one gender that its mentions show, or given_any if they show none or both."""
+    seen = [F.max((F.col("kind") == f"given_{g}").cast("int")).alias(g) for g in "fm"]
+    one = entities.groupBy(_role(F.col("kind")).alias("role"), "value").agg(*seen)
+    gender = F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("any")
+    return one.select(F.when(F.col("role") == "given", F.concat(F.lit("given_"), gender)).otherwise(F.col("role")).alias("kind"), "value")
+
+
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate, attempt) for the distinct entities (kind,
-    value): within a kind no two surrogates are equal, and none is a value
-    of the table.  Each round redoes only what collided in the one before."""
+    value): within a kind, or all kinds of names, no two surrogates are
+    equal, and none is a value of the table.  Each round redoes only what collided in the one before."""
     secret = key.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +295,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     now = written(make(entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0))), "pii-map")
     while True:
         # Who has tried least stays, then the smaller value; a real value beats all.
-        claims = now.select("kind", F.col("surrogate").alias("claim"), "attempt", "value").unionByName(
-            now.select("kind", F.col("value").alias("claim"), F.lit(-1).alias("attempt"), F.lit("").alias("value"))
+        space = F.when(_role(F.col("kind")).isin("given", "surname"), "name").otherwise(F.col("kind")).alias("space")
+        claims = now.select(space, F.col("surrogate").alias("claim"), "attempt", "value", "kind").unionByName(
+            now.select(space, F.col("value").alias("claim"), F.lit(-1).alias("attempt"), F.lit("").alias("value"), F.lit("").alias("kind"))
         )
-        first = claims.groupBy("kind", "claim").agg(F.min(F.struct("attempt", "value")).alias("w"))
-        won = first.where("w.attempt >= 0").select("kind", F.col("w.value").alias("value"), F.lit(True).alias("won"))
+        first = claims.groupBy("space", "claim").agg(F.min(F.struct("attempt", "value", "kind")).alias("w"))
+        won = first.where("w.attempt >= 0").select("w.kind", "w.value", F.lit(True).alias("won"))
         judged = now.join(won, ["kind", "value"], "left")
         if not judged.where("won is null").limit(1).count():
             return now
@@ -262,10 +315,12 @@ def replace(df: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text",
     all rows, repeated ones too, as they are.  Null and empty texts stay
     null and empty.  ``counts`` names a column to add: entities replaced."""
     found = written(entities_of(df, doc_id, text), "pii-entities")
-    mapping = assign(found, key)
+    mapping = assign(one_gender(found), key)
+    by_role = _role(F.col("kind")).alias("kind")
     edits = (
-        found.distinct()
-        .join(mapping.select("kind", "value", "surrogate"), ["kind", "value"])
+        found.select("doc_id", "text_hash", by_role, "value")
+        .distinct()
+        .join(mapping.select(by_role, "value", "surrogate"), ["kind", "value"])
         .groupBy("doc_id", "text_hash")  # at most the entities of one text
         .agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("edits"))
     )
@@ -284,8 +339,9 @@ def replace(df: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text",
                 if edits.is_valid:
                     to = {(e["kind"], e["value"]): e["surrogate"] for e in edits.as_py()}
                     parts, end = [], 0
-                    for a, z, kind, value in mentions(t):
-                        parts += [t[end:a], formatted(kind, t[a:z], to[kind, value])]
+                    named = mentions(t)
+                    for a, z, kind, value in sorted(named + alone(t, named, set(to))):
+                        parts += [t[end:a], formatted(kind, t[a:z], to[role(kind), value])]
                         end, n = z, n + 1
                     t = "".join([*parts, t[end:]])
                 out.append(t)

@@ -97,3 +97,44 @@ def test_planted_entities_are_gone(spark):
         found = [x for x in sure.findall(t) if real(x)]
         assert after[d].n == len(found) and all(x not in after[d].text for x in found)
         assert found or after[d].text == t
+
+
+def test_names_are_distinct_across_kinds(spark):
+    pools = S.GIVEN["latin", "f"] + S.GIVEN["latin", "m"]
+    names = [(f"given_{'fm'[i % 2]}", n.casefold()) for i, n in enumerate(pools)]
+    names += [("given_any", f"name{c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [("given_f", f"other{c}") for c in "abcdefghij"]
+    names += [("surname", n.casefold()) for n in pools[:8]]
+    rows = S.assign(spark.createDataFrame(names, "kind string, value string"), KEY).collect()
+    made = [r.surrogate for r in rows]
+    assert len(rows) == len(set(names)) and len(set(made)) == len(made)
+    assert not set(made) & {v for _, v in names}
+
+
+def test_a_surrogate_is_no_real_name_of_another_kind(spark):
+    taken = S.surrogate(KEY.encode(), "given_any", "alex")
+    rows = S.assign(spark.createDataFrame([("given_any", "alex"), ("surname", taken)], "kind string, value string"), KEY).collect()
+    assert taken not in {r.surrogate for r in rows}
+
+
+def test_one_person_one_surrogate_whatever_the_title(spark):
+    docs = ["Ms Alex Kim", "Dr Alex Kim", "Mr Robin Kim", "Prof Robin Kim", "Ms Sam Kim", "Mr Sam Kim", "Dr Sam Kim"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    out = [r.text.split()[1:] for r in sorted(S.replace(df, KEY).collect())]
+    assert out[0] == out[1] and out[2] == out[3] and out[4] == out[5] == out[6]
+    assert set(out[0][0].split("-")) <= set(S.GIVEN["latin", "f"]) and set(out[2][0].split("-")) <= set(S.GIVEN["latin", "m"])
+    assert len({out[i][0] for i in (0, 2, 4)}) == 3
+
+
+def test_parts_of_a_name_standing_alone(spark):
+    docs = ["Kim came. Dr Alex Kim's idea: ALEX, Kim’s and Alex Kim; Kimono, akim, Kim@x.org", "Kim is not known here", "SMITH? Mr Smith", "Ms Lee Park met Mr Lee: Lee Park, Lee"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = sorted(S.replace(df, KEY, counts="n").collect())
+    surname = rows[0].text.split()[0]
+    given = rows[0].text.split("Dr ")[1].split()[0]
+    assert surname != "Kim" and given != "Alex"
+    assert rows[0].text.startswith(f"{surname} came. Dr {given} {surname}'s idea: {given.upper()}, {surname}’s and {given} {surname}; Kimono, akim, ")
+    assert rows[0].n == 8 and rows[1].text == docs[1] and rows[1].n == 0
+    one = rows[2].text.split()[-1]
+    assert one != "Smith" and rows[2].text == f"{one.upper()}? Mr {one}" and rows[2].n == 2
+    lee, park, other = *rows[3].text.split()[1:3], rows[3].text.split()[-1]
+    assert lee != other and rows[3].text == f"Ms {lee} {park} met Mr {other}: {lee} {park}, {other}"
