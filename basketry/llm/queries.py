@@ -19,7 +19,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = "documents"
 
-#: The mix: domain, language, source.  Sources 0 to 9 count as web.
+#: The mix: domain, language, source.  Sources 0 to 9 count as web, all others
+#: and documents without a source as reference.
 MIX_WEIGHTS: dict[mixing.Path, float] = {
     ("web",): 0.6,
     ("reference",): 0.4,
@@ -34,7 +35,7 @@ MIX_SHARE, MIX_EPOCHS = 0.75, 2
 
 def mix_levels() -> dict[str, Column]:
     source = F.col("source")
-    domain = F.when(source.rlike("^src[0-9]$"), "web").when(source.isNotNull(), "reference")
+    domain = F.when(source.rlike("^src[0-9]$"), "web").otherwise("reference")
     return {"domain": domain, "lang": F.col("lang"), "source": source}
 
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basketry.llm import langid, mixing, simhash, surrogates
+from basketry.llm import langid, mixing, queries, simhash, surrogates
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,11 @@ def test_odd_rows_go_through_every_stage(spark):
             out = stage(spark, df, SF)
             assert name == "bpe" or out.columns == docs.columns
             assert out.count() <= len(rows)
+
+
+def test_documents_without_a_source_reach_the_end(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    third = F.when(F.col("doc_id") % 3 != 0, F.col("source"))
+    docs.withColumn("source", third).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op5_mixing(spark, str(tmp_path)).where("source is null").count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).where("source is null").count()
