@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.sources import files
+
 #: White space of the word rules: space and the ASCII controls 9 to 13.
 WS = "\\x20\\x09-\\x0D"
 
@@ -25,11 +27,12 @@ def shared_path(spark: SparkSession, name: str) -> str | None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back:
     the lineage is cut, a lost executor rereads files, and what follows does
-    not compute ``df`` again."""
+    not compute ``df`` again.  The files go when the application ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     if path is None:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    files.delete_at_end(spark, path)
     df.write.parquet(path)  # executors that are lost are made up for by the write's commit
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,111 @@
 
 from __future__ import annotations
 
+OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+)
+SELECT doc_id,
+  first_value(doc_id) OVER best AS keep_id,
+  count(*) OVER (PARTITION BY norm) AS group_size,
+  row_number() OVER best = 1 AS kept,
+  sha256(norm) AS text_sha256
+FROM docs WINDOW best AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
+"""
+
+# Fixed value: the polynomial of CRC-32, reflected.
+CRC32 = 3988292384
+
+OP12 = f"""
+WITH RECURSIVE steps(i, s, c) AS (
+  SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+  UNION ALL
+  SELECT i, s + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {CRC32}) ELSE c >> 1 END FROM steps WHERE s < 8
+), bytes AS (SELECT i, c FROM steps WHERE s = 8),
+crc(doc_id, pos, c) AS (
+  SELECT DISTINCT doc_id, 1, 4294967295::BIGINT FROM documents
+  UNION ALL
+  SELECT crc.doc_id, pos + 1, xor(bytes.c, crc.c >> 8)
+  FROM crc JOIN bytes ON bytes.i = xor(crc.c, ascii(substr(crc.doc_id::VARCHAR, pos, 1))) & 255
+  WHERE pos <= length(crc.doc_id::VARCHAR)
+), chosen AS (SELECT doc_id, xor(c, 4294967295) % 7 = 0 AS hit FROM crc WHERE pos = length(doc_id::VARCHAR) + 1),
+parts AS (
+  SELECT doc_id, lang, hit,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS size,
+    coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS more,
+    coalesce(strlen(text) || ':' || text, '-') AS body
+  FROM documents LEFT JOIN chosen USING (doc_id)
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || size || body) AS leaf,
+    CASE WHEN hit THEN sha256(head || more || body) ELSE sha256(head || size || body) END AS bad
+  FROM parts
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), low(lang, lvl, idx, n, h) AS (
+  SELECT lang, 0, idx, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, any_value(lvl) + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY lang, idx // 2
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), high(lvl, idx, n, h) AS (
+  SELECT 0, idx, n, h FROM subroots
+  UNION ALL
+  SELECT any_value(lvl) + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY idx // 2
+), nodes AS (
+  SELECT 0 AS tree, lang, lvl, idx, n, h FROM low
+  UNION ALL
+  SELECT 1, NULL, lvl, idx, n, h FROM high
+), path(doc_id, leaf, lang, tree, lvl, idx, proof, folded) AS (
+  SELECT doc_id, leaf, lang, 0, 0, idx, '', bad FROM placed
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.lang,
+    CASE WHEN own.n > 1 THEN p.tree ELSE p.tree + 1 END,
+    CASE WHEN own.n > 1 THEN p.lvl + 1 ELSE 0 END,
+    CASE WHEN own.n > 1 THEN p.idx // 2 WHEN p.tree = 0 THEN s.idx ELSE 0 END,
+    proof || CASE WHEN own.n > 1 THEN coalesce(sib.h, '') ELSE '' END,
+    CASE WHEN own.n = 1 THEN folded WHEN p.idx % 2 = 0 THEN sha256(folded || coalesce(sib.h, '')) ELSE sha256(sib.h || folded) END
+  FROM path p
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+  JOIN nodes own ON own.tree = p.tree AND own.lvl = p.lvl AND own.idx = p.idx AND (p.tree = 1 OR own.lang IS NOT DISTINCT FROM p.lang)
+  LEFT JOIN nodes sib ON sib.tree = p.tree AND sib.lvl = p.lvl AND sib.idx = xor(p.idx, 1) AND (p.tree = 1 OR sib.lang IS NOT DISTINCT FROM p.lang)
+  WHERE p.tree < 2
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root, p.folded = r.h AS verified
+FROM path p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT h FROM high WHERE n = 1) r
+WHERE p.tree = 2
+"""
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+counts AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, range(1, 5) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, a, w, pos, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS pos FROM candidates) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:pos], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[pos + 1 : c.k], ' ')
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, range(1, 4) s(i), range(2, 4) t(m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), kept AS (
+  SELECT l.* FROM lowest l LEFT JOIN inner_phrases p USING (lang, phrase) WHERE p.longer IS NULL OR 100::HUGEINT * p.longer < 80::HUGEINT * l.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_exact": OP11, "op12_merkle": OP12, "op13_phrases": OP13}
