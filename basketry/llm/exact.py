@@ -145,11 +145,13 @@ def exact_duplicates(
     texts = written(winners.groupBy("digest").agg(F.count("*").alias("texts"), F.min("best").alias("best"), F.min("n").alias("n")), "exact-texts")
     own = firsts.select("digest", "grp")
     single = own.join(texts.where("texts = 1").drop("texts"), "digest").select("grp", "best", "n")
-    # Collisions: the content decides once more, for these digests alone.
+    of_group = single
     many = texts.where("texts > 1").select("digest")
-    again = firsts.join(many, "digest", "left_semi")
-    collided = again.select("digest", "content", "grp").join(merged(again, "digest", "content"), ["digest", "content"]).select("grp", "best", "n")
-    of_group = single.unionByName(collided).select(F.col("grp").alias("of"), "best", "n")
+    if not many.isEmpty():  # collisions: the content decides once more, for these digests alone
+        again = firsts.join(many, "digest", "left_semi")
+        whole = again.select("digest", "content", "grp").join(merged(again, "digest", "content"), ["digest", "content"])
+        of_group = single.unionByName(whole.select("grp", "best", "n"))
+    of_group = of_group.select(F.col("grp").alias("of"), "best", "n")
     rows = local.select("doc_id", "digest", "grp", "pos").join(of_group, F.col("grp") == F.col("of"))
     keep = F.when(~F.col("best.none"), F.col("best.id"))
     kept = (F.col("grp") == F.col("best.grp")) & (F.col("pos") == F.col("best.pos"))
