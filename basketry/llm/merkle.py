@@ -1,7 +1,7 @@
 """A Merkle manifest of a table by time-forward processing.
 
 Every document is a leaf.  The leaves of a language, in ascending doc_id, form
-a tree in which runs of ``RUN`` consecutive nodes are hashed into their parent
+a tree in which runs of (two) consecutive nodes are hashed into their parent
 until one node, the subroot, remains; the subroots in order of language form
 the top tree with the root.
 
@@ -12,9 +12,9 @@ turn comes (``forward``).  The reversed sweep goes from the top label down:
 each node hands its proof suffix, with the siblings of the child in front, to
 each of its children (``backward``).
 
-Spark deals a tree of any size as blocks of ``RUN ** LEVELS`` consecutive nodes
+Spark deals a tree of any size as blocks of ``run ** levels`` consecutive nodes
 of one level.  Each block is swept by one task; its top node is a node of the
-next round, so there are log(n) / log(RUN ** LEVELS) rounds, and one huge
+next round, so there are log(n) / log(run ** levels) rounds, and one huge
 language is many blocks.  The backward rounds take the suffixes of the tops,
 read from the shared folder, back into the blocks.
 """
@@ -26,6 +26,7 @@ import heapq
 import pickle
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,6 @@ from pyspark.sql import functions as F
 from basketry.functions.numbering import dense_numbers
 from basketry.llm.common import discard, quoted, written
 
-#: Nodes hashed into one parent, and levels that a block spans.
-RUN, LEVELS = 2, 12
 #: Messages that the queue holds in memory; more go to sorted runs on disk.
 QUEUE = 1 << 15
 #: Leaves to be tampered: this divides the crc32 of the decimal doc_id.
@@ -93,56 +92,67 @@ class LabelQueue:
         return heapq.heappop(self.heap)[2]
 
 
-def sizes(m: int, n: int) -> list[int]:
-    """Nodes of a block by level: ``m`` at its lowest level, where the tree has
-    ``n``; the levels end at the block's top."""
-    out = [m]
-    while n > 1 and len(out) <= LEVELS:
-        m, n = -(-m // RUN), -(-n // RUN)
-        out.append(m)
-    return out
-
-
-def forward(digests: list[str], n: int, limit: int = QUEUE) -> list[str]:
-    """The digests of all nodes of a block by label: level by level from the
-    given ones to the block's top."""
-    queue, log = LabelQueue(limit), []
-    levels = sizes(len(digests), n)
-    for level, size in enumerate(levels):
-        parents = len(log) + size
-        for i in range(size):
-            if level:
-                children, label = [], len(log)
-                while queue.label() == label:
-                    children.append(queue.pop())
-                log.append(sha("".join(children)))
-            else:
-                log.append(digests[i])
-            if level + 1 < len(levels):
-                queue.push(parents + i // RUN, log[-1])
-    return log
-
-
-def backward(log: list[str], m: int, n: int, path: str, limit: int = QUEUE) -> list[str]:
-    """The proof paths of a block's lowest nodes, given its top's path.  A path
-    has one step a level, joined by "/": the digests left of the node, "^",
-    and those right of it."""
-    queue, out = LabelQueue(limit), [""] * m
-    levels = sizes(m, n)
-    starts = [sum(levels[:level]) for level in range(len(levels))]
-    queue.push(-(len(log) - 1), path)
-    for level in range(len(levels) - 1, -1, -1):
-        for i in range(levels[level] - 1, -1, -1):
-            suffix = queue.pop()
-            if not level:
-                out[i] = suffix
-                continue
-            first = starts[level - 1] + i * RUN
-            last = min(first + RUN, starts[level])
-            for child in range(first, last):
-                step = "".join(log[first:child]) + "^" + "".join(log[child + 1 : last])
-                queue.push(-child, f"{step}/{suffix}" if suffix else step)
-    return out
+@dataclass(frozen=True)
+class Shape:
+    """``run`` nodes are hashed into one parent; a block spans ``levels`` levels;
+    its queues hold ``limit`` messages in memory."""
+
+    run: int = 2
+    levels: int = 12
+    limit: int = QUEUE
+
+    @property
+    def block(self) -> int:
+        return self.run**self.levels
+
+    def sizes(self, m: int, n: int) -> list[int]:
+        """Nodes of a block by level: ``m`` at its lowest level, where the tree
+        has ``n``; the levels end at the block's top."""
+        out = [m]
+        while n > 1 and len(out) <= self.levels:
+            m, n = -(-m // self.run), -(-n // self.run)
+            out.append(m)
+        return out
+
+    def forward(self, digests: list[str], n: int) -> list[str]:
+        """The digests of all nodes of a block by label: level by level from
+        the given ones to the block's top."""
+        queue, log = LabelQueue(self.limit), []
+        sizes = self.sizes(len(digests), n)
+        for level, size in enumerate(sizes):
+            parents = len(log) + size
+            for i in range(size):
+                if level:
+                    children, label = [], len(log)
+                    while queue.label() == label:
+                        children.append(queue.pop())
+                    log.append(sha("".join(children)))
+                else:
+                    log.append(digests[i])
+                if level + 1 < len(sizes):
+                    queue.push(parents + i // self.run, log[-1])
+        return log
+
+    def backward(self, log: list[str], m: int, n: int, path: str) -> list[str]:
+        """The proof paths of a block's lowest nodes, given its top's path.  A
+        path has one step a level, joined by "/": the digests left of the
+        node, "^", and those right of it."""
+        queue, out = LabelQueue(self.limit), [""] * m
+        sizes = self.sizes(m, n)
+        starts = [sum(sizes[:level]) for level in range(len(sizes))]
+        queue.push(-(len(log) - 1), path)
+        for level in range(len(sizes) - 1, -1, -1):
+            for i in range(sizes[level] - 1, -1, -1):
+                suffix = queue.pop()
+                if not level:
+                    out[i] = suffix
+                    continue
+                first = starts[level - 1] + i * self.run
+                last = min(first + self.run, starts[level])
+                for child in range(first, last):
+                    step = "".join(log[first:child]) + "^" + "".join(log[child + 1 : last])
+                    queue.push(-child, f"{step}/{suffix}" if suffix else step)
+        return out
 
 
 def proof_of(path: str) -> str:
@@ -177,8 +187,8 @@ def _dealt(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("tree", "block").sortWithinPartitions("tree", "block", *order)
 
 
-def _block_of(idx: str = "idx") -> Column:
-    return F.floor(F.col(idx) / F.lit(RUN**LEVELS)).cast("long")
+def _block_of(shape: Shape) -> Column:
+    return F.expr(f"idx div {shape.block}").alias("block")
 
 
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -188,29 +198,29 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=list(names))
 
 
-def tops(nodes: DataFrame) -> DataFrame:
+def tops(nodes: DataFrame, shape: Shape) -> DataFrame:
     """One round up: the top node of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree, block, rows in _blocks(batches):
             n = rows[0][1]
-            top = forward([d for _, _, d in rows], n)[-1]
-            yield _table([(tree, block, -(-n // RUN**LEVELS), top)], NODES)
+            top = shape.forward([d for _, _, d in rows], n)[-1]
+            yield _table([(tree, block, -(-n // shape.block), top)], NODES)
 
-    return _dealt(nodes.select("tree", _block_of().alias("block"), "idx", "n", "digest"), "idx").mapInArrow(run, NODES)
+    return _dealt(nodes.select("tree", _block_of(shape), "idx", "n", "digest"), "idx").mapInArrow(run, NODES)
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
+def climb(nodes: DataFrame, shape: Shape) -> list[DataFrame]:
     """The nodes of every round, from the given ones to one node a tree."""
     rounds = [nodes]
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        rounds.append(written(tops(rounds[-1]), "merkle-tops"))
-        most = -(-most // RUN**LEVELS)
+        rounds.append(written(tops(rounds[-1], shape), "merkle-tops"))
+        most = -(-most // shape.block)
     return rounds
 
 
-def descend(nodes: DataFrame, above: DataFrame, leaves: bool = False) -> DataFrame:
+def descend(nodes: DataFrame, above: DataFrame, shape: Shape, leaves: bool = False) -> DataFrame:
     """One round down: ``above`` has the path, subroot and root of every block's
     top; the block's nodes get theirs.  ``leaves``: the nodes carry doc_id and
     ``bad`` (the tampered leaf or null), and the documents' rows come out."""
@@ -218,7 +228,7 @@ def descend(nodes: DataFrame, above: DataFrame, leaves: bool = False) -> DataFra
     none = {"idx": "long", "n": "long", "digest": "string", "doc_id": "long", "bad": "string"}
     given = ["path", "subroot", "root"]
     heads = above.select("tree", F.col("idx").alias("block"), F.lit(0).alias("kind"), *[F.lit(None).cast(none[c]).alias(c) for c in ("idx", "n", "digest", *extra)], *given)
-    rest = nodes.select("tree", _block_of().alias("block"), F.lit(1).alias("kind"), "idx", "n", "digest", *extra, *[F.lit(None).cast("string").alias(c) for c in given])
+    rest = nodes.select("tree", _block_of(shape), F.lit(1).alias("kind"), "idx", "n", "digest", *extra, *[F.lit(None).cast("string").alias(c) for c in given])
     schema = LEAVES if leaves else PATHS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +236,7 @@ def descend(nodes: DataFrame, above: DataFrame, leaves: bool = False) -> DataFra
             path, subroot, root = rows[0][-3:]
             own = rows[1:]
             n = own[0][2]
-            paths = backward(forward([r[3] for r in own], n), len(own), n, path)
+            paths = shape.backward(shape.forward([r[3] for r in own], n), len(own), n, path)
             if leaves:
                 made = [(r[4], r[3], subroot, root, proof_of(p), fold(r[5] or r[3], p)) for r, p in zip(own, paths)]
             else:
@@ -255,7 +265,7 @@ def leaf_digests(df: DataFrame, doc_id: str = "doc_id", source: str = "source",
     )
 
 
-def manifest(df: DataFrame, **names) -> DataFrame:
+def manifest(df: DataFrame, shape: Shape = Shape(), **names) -> DataFrame:
     """Per row of ``df``: doc_id, leaf, subroot, root, proof_sha256 (of the
     untampered table), folded_root (from the leaf, tampered where its id says
     so, and the untampered siblings) and verified.
@@ -270,19 +280,19 @@ def manifest(df: DataFrame, **names) -> DataFrame:
         leaf_digests(df, **names), ["doc_id", "digest"], ["tree"], "idx", "n", save=lambda t: written(t, "merkle-leaves")
     )
     leaves = written(placed, "merkle-placed")
-    rounds = climb(leaves)
+    rounds = climb(leaves, shape)
     subroots = dense_numbers(rounds[-1].select(F.col("tree").alias("lang"), "digest"), ["lang"], [], "idx", "n", save=lambda t: written(t, "merkle-subroots"))
-    top = climb(subroots.withColumn("tree", F.lit(None).cast("string")))
+    top = climb(subroots.withColumn("tree", F.lit(None).cast("string")), shape)
     above = top[-1].select("tree", "idx", F.lit("").alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
     for nodes in reversed(top[:-1]):
-        above = written(descend(nodes, above), "merkle-paths")
+        above = written(descend(nodes, above, shape), "merkle-paths")
     of = subroots.select("lang", F.col("idx").alias("at"), F.col("digest").alias("subroot"))
     above = above.drop("subroot").join(of, F.col("idx") == F.col("at"))
     above = above.select(F.col("lang").alias("tree"), F.lit(0).cast("long").alias("idx"), "path", "subroot", "root")
     above = written(above, "merkle-paths")
     for nodes in reversed(rounds[1:-1]):
-        above = written(descend(nodes, above), "merkle-paths")
-    found = written(descend(leaves, above, leaves=True), "merkle-proofs")
+        above = written(descend(nodes, above, shape), "merkle-paths")
+    found = written(descend(leaves, above, shape, leaves=True), "merkle-proofs")
     for used in rounds + top[1:]:
         discard(used)
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))

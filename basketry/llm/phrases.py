@@ -15,8 +15,8 @@ Before ROLLUP, windows are shortened where that cannot change a count of
 * After windows are dealt by their first two words, a window whose prefix of
   k words has fewer than ``least`` occurrences ends before its k-th word.
   The prefix counts are whole there: all windows of a pair are in one place.
-  Pairs of two hot words (over one word in ``HOT`` of the corpus, at most
-  ``HOT`` words in all) are dealt by the third word too; they are never
+  Pairs of two hot words (over one word in ``Sizes.hot`` of the corpus, at
+  most that many words in all) are dealt by the third word too; they are never
   shortened to one word, and their longer prefixes are whole as well.
 
 Tasks count equal windows of a block of texts before any shuffle.
@@ -25,6 +25,7 @@ Tasks count equal windows of a block of texts before any shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,27 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import discard, quoted, written
 
-#: Bits of the filter of frequent words (8 MB), and bits set by a word.
-FILTER_BITS, FILTER_HASHES = 1 << 26, 4
-#: A word is hot if it is over one in so many of all words.
-HOT = 1000
-#: Reducers that share the windows of a pair of hot words.
-SALTS = 64
-#: Bytes of text whose windows are counted together.
-BLOCK = 8 << 20
+#: Bits of the filter that a word sets.
+FILTER_HASHES = 4
 ORDER = 4
 WORDS = [f"w{i + 1}" for i in range(ORDER)]
 NO_LANG = "und"
 
+
+@dataclass(frozen=True)
+class Sizes:
+    """Sizes that change no result."""
+
+    #: Bits of the filter of frequent words (8 MB).
+    bits: int = 1 << 26
+    #: A word is hot if it is over one in so many of all words.
+    hot: int = 1000
+    #: Reducers that share the windows of a pair of hot words.
+    salts: int = 64
+    #: Bytes of text whose words or windows are counted together.
+    block: int = 8 << 20
+
+
 #: Bytes: A-Z in lower case, tab as space, all marks that end a piece as ".".
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t" + _MARKS, bytes(range(97, 123)) + b" " + b"." * len(_MARKS))
@@ -73,26 +83,26 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return ids[ids >= 0], words
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes]]]:
     """Texts (second column) of one language (first column) together, about
-    ``BLOCK`` bytes at a time over all languages."""
+    ``most`` bytes at a time over all languages."""
     held: dict[str, list[bytes]] = {}
     size = 0
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             held.setdefault(lang, []).append(t := (text.as_py() or "").encode())
             size += len(t)
-            if size >= BLOCK:
+            if size >= most:
                 yield from held.items()
                 held, size = {}, 0
     yield from held.items()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
+def count_words(docs: DataFrame, sizes: Sizes) -> DataFrame:
     """lang, word, n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, texts in blocks(batches):
+        for lang, texts in blocks(batches, sizes.block):
             ids, words = split_words(texts)
             n = np.bincount(ids, minlength=len(words))[1:]
             cols = [pa.array([lang] * len(n), pa.string()), pa.array(words[1:], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
@@ -102,15 +112,15 @@ def count_words(docs: DataFrame) -> DataFrame:
     return local.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def places(lang: str, words: list[bytes]) -> np.ndarray:
+def places(lang: str, words: list[bytes], bits: int) -> np.ndarray:
     """Bits of each word in the filter: one row a word."""
     head = lang.encode() + b" "
     h = np.fromiter((xxhash.xxh64_intdigest(head + w) for w in words), np.uint64, len(words))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return (h[:, None] + step[:, None] * np.arange(FILTER_HASHES, dtype=np.uint64)) % np.uint64(FILTER_BITS)
+    return (h[:, None] + step[:, None] * np.arange(FILTER_HASHES, dtype=np.uint64)) % np.uint64(bits)
 
 
-def word_filter(frequent: DataFrame) -> np.ndarray:
+def word_filter(frequent: DataFrame, sizes: Sizes) -> np.ndarray:
     """The filter as bytes: what reaches the driver are its non-zero parts, of
     64 bits each, however many words there are."""
 
@@ -120,18 +130,18 @@ def word_filter(frequent: DataFrame) -> np.ndarray:
             for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(lang, []).append(word.encode())
             for lang, words in by.items():
-                at = np.unique(places(lang, words))
+                at = np.unique(places(lang, words, sizes.bits))
                 cols = [pa.array(at >> np.uint64(6), pa.int64()), pa.array((at & np.uint64(63)).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["part", "bit"])
 
     bits = frequent.select("lang", "word").mapInArrow(run, "part long, bit int")
     parts = bits.groupBy("part").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(sizes.bits // 64, np.int64)
     out[parts.column("part").to_numpy()] = parts.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def windows(docs: DataFrame, bits) -> DataFrame:
+def windows(docs: DataFrame, bits, sizes: Sizes = Sizes()) -> DataFrame:
     """lang, w1..w4 and n: the padded longest windows of all texts, cut at words
     that the broadcast filter ``bits`` does not know, as each block counts
     them.  Windows that start with such a word keep no word and count all the
@@ -139,9 +149,9 @@ def windows(docs: DataFrame, bits) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
-        for lang, texts in blocks(batches):
+        for lang, texts in blocks(batches, sizes.block):
             ids, words = split_words(texts)
-            at = places(lang, words)
+            at = places(lang, words, sizes.bits)
             has = ((known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
             # 0 ends a window; frequent words are numbered from 1, in order of their bytes
             own = [w for w, keep in zip(words[1:], has[1:].tolist()) if keep]
@@ -186,11 +196,11 @@ def windows(docs: DataFrame, bits) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def shortened(counted: DataFrame, hot: DataFrame, least: int) -> DataFrame:
+def shortened(counted: DataFrame, hot: DataFrame, least: int, salts: int) -> DataFrame:
     """The windows, ended where a prefix has fewer than ``least`` occurrences."""
     hots = F.broadcast(hot.groupBy("lang").agg(F.collect_set("word").alias("hot")))
     both = F.coalesce(F.array_contains("hot", F.col("w1")) & F.array_contains("hot", F.col("w2")), F.lit(False))
-    third = F.pmod(F.xxhash64("w3"), F.lit(SALTS)) + 1
+    third = F.pmod(F.xxhash64("w3"), F.lit(salts)) + 1
     salted = counted.join(hots, "lang", "left").withColumn("salt", F.when(both, third).otherwise(0)).drop("hot")
     dealt = salted.repartition("lang", "w1", "w2", "salt")
     whole = dealt.groupBy("lang", "salt", *WORDS).agg(F.sum("n").alias("n"))
@@ -205,18 +215,18 @@ def shortened(counted: DataFrame, hot: DataFrame, least: int) -> DataFrame:
     return whole.select("lang", *[c.alias(w) for c, w in zip(cut, WORDS)], "n")
 
 
-def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "lang") -> DataFrame:
+def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> DataFrame:
     """lang, words (an array of 1 to 4) and f for every phrase with ``least``
     occurrences or more, and for each language one row of an empty array with
     the count of all its words."""
     spark = df.sparkSession
     docs = df.select(F.coalesce(quoted(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), quoted(text).alias("text"))
-    vocabulary = written(count_words(docs), "phrase-words")
+    vocabulary = written(count_words(docs, sizes), "phrase-words")
     every = vocabulary.agg(F.sum("n")).first()[0] or 0
-    bits = spark.sparkContext.broadcast(word_filter(vocabulary.where(F.col("n") >= least)))
-    hot = vocabulary.where(F.col("n") * HOT > every).select("lang", "word")
+    bits = spark.sparkContext.broadcast(word_filter(vocabulary.where(F.col("n") >= least), sizes))
+    hot = vocabulary.where(F.col("n") * sizes.hot > every).select("lang", "word")
     rolled = (
-        shortened(windows(docs, bits), hot, least)
+        shortened(windows(docs, bits, sizes), hot, least, sizes.salts)
         .groupBy("lang", *WORDS)
         .agg(F.sum("n").alias("n"))
         .rollup("lang", *WORDS)
@@ -236,7 +246,7 @@ def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "la
 
 
 def collocations(
-    df: DataFrame, least: int = 30, top: int = 2000, absorb: int = 80, text: str = "text", lang: str = "lang", scale: int = 2_000_000
+    df: DataFrame, least: int = 30, top: int = 2000, absorb: int = 80, text: str = "text", lang: str = "lang", scale: int = 2_000_000, sizes: Sizes = Sizes()
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top``
     phrases of 2 to 4 words with ``least`` or more occurrences.
@@ -247,7 +257,7 @@ def collocations(
     texts have no words; a null language is 'und'; an empty table, or one
     without such phrases, gives no row; repeated rows count each time.  Other
     columns are not read."""
-    counts = phrase_counts(df, least, text, lang)
+    counts = phrase_counts(df, least, text, lang, sizes)
     size = F.size("words")
     joined = F.array_join("words", " ").alias("phrase")
     parts = counts.where(size > 0).select(F.col("lang").alias("part_lang"), F.array_join("words", " ").alias("part"), F.col("f"))
