@@ -160,6 +160,15 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _labelled(df: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int) -> DataFrame:
+    """Per row: doc_id, fp, root (the smallest fingerprint of its component)."""
+    done = written(fingerprints(df, doc_id, text, shingle), "simhash-fp")
+    classes = written(done.select("fp").distinct(), "simhash-classes")
+    roots = components(links(classes, max_bits))
+    of_class = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"))
+    return done.join(of_class, F.col("fp") == F.col("of")).select("doc_id", "fp", "root")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """Per row: ``doc_id``, ``fp`` (long), ``component_id``: the smallest
     doc_id among the documents reachable over links of at most ``max_bits``
@@ -167,13 +176,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     among them, are linked.  Repeated rows are kept and share a component;
     rows of a null doc_id stay and never name a component with other rows.
     Other columns are not read."""
-    done = written(fingerprints(df, doc_id, text, shingle), "simhash-fp")
-    classes = written(done.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    roots = components(links(classes.select("fp"), max_bits))
-    labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = join_back(labelled, smallest, ["root"]).select("fp", "component_id")
-    return done.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    labelled = _labelled(df, doc_id, text, shingle, max_bits)
+    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return join_back(labelled, smallest, ["root"]).select("doc_id", "fp", "component_id")
 
 
 def digest(df: DataFrame, **names) -> DataFrame:
@@ -183,12 +188,32 @@ def digest(df: DataFrame, **names) -> DataFrame:
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``df`` whose document names its component: one document
-    of each group, all columns as they are.  Of repeated rows of one id one
-    stays; rows of a null id are kept, as nothing names them."""
-    found = near_duplicates(df, doc_id, text, shingle, max_bits)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = df.join(others, quoted(doc_id) == F.col("gone"), "left_anti")
-    once = kept.where(quoted(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return once.unionByName(kept.where(quoted(doc_id).isNull()))
+    """One row of ``df`` for each group, all columns as they are: that of the
+    smallest doc_id, and of rows that share this id the one of the smallest
+    fingerprint.  Rows of one id with different texts are different documents;
+    of equal ones one stays.  Rows of a null id are kept, as nothing names
+    them."""
+    labelled = written(_labelled(df, doc_id, text, shingle, max_bits).where("doc_id is not null"), "simhash-labelled")
+    winners = written(labelled.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("w")).select("w.doc_id", "w.fp"), "simhash-winners")
+    # An id that has one row is told by the id; the few others by id and fingerprint.
+    often = written(labelled.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-often")
+    lost = labelled.select("doc_id").join(winners.select("doc_id"), "doc_id", "left_anti")
+    not_plain = lost.unionByName(often).distinct().select(F.col("doc_id").alias("id"))
+    key = df["`" + doc_id.replace("`", "``") + "`"]
+    plain = df.join(not_plain, key.cast("long") == not_plain["id"], "left_anti")
+    again = df.join(often, key.cast("long") == often["doc_id"], "left_semi")
+    # The text's fingerprint once more, for these rows alone.
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at, of = (next(n for n, c in zip(names, df.columns) if c.lower() == x.lower()) for x in (text, doc_id))
+    flat = again.toDF(*names)
+    kinds = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, df.schema.fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(at)), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made.view(np.int64))], names=[*b.schema.names, "fp"])
 
+    marked = flat.mapInArrow(run, kinds + "fp long")
+    won = winners.select(F.col("doc_id").alias("w_id"), F.col("fp").alias("w_fp"))
+    kept = marked.join(won, (F.col(of).cast("long") == F.col("w_id")) & (F.col("fp") == F.col("w_fp")), "left_semi").dropDuplicates([of, "fp"])
+    return plain.unionByName(kept.select(*names).toDF(*df.columns))
