@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,16 +68,20 @@ PATTERNS = {
     "email": regex.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "access_key": regex.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     "secret": regex.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9+/_-]{8,})"),
-    "ip": regex.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"),
-    "card": regex.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])"),
-    "ssn": regex.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    "phone": regex.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\d-])"),
+    "iban": regex.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "ip6": regex.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"),
+    "ip": regex.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
+    "card": regex.compile(r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"),
+    "ssn": regex.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "phone": regex.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9-])"),
     "name": regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?:(?P<t>{_TITLE})\.?[ ](?P<v>{_WORD}(?:[ ]{_WORD}){{0,2}})|(?P<v>(?:{_GIVEN})(?:[ ]{_WORD}){{1,2}}))"),
 }
 _ALONE = regex.compile(r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}'’-]+")
 #: What can follow a name in its word: a possessive, a quote, a dash.
 _TAIL = re.compile(r"(?:['’][sS]|['’-]+)$")
 _DIGIT = re.compile("[0-9]")
+#: Decimal digits of other scripts than ASCII.
+_OTHER_DIGIT = regex.compile(r"(?V1)[\p{Nd}--[0-9]]")
 _ASSIGNED = ("password", "passwd", "pwd", "secret", "token", "key")
 
 
@@ -85,6 +91,33 @@ def luhn(digits: str) -> int:
     return (sum(odd[::2]) + sum(sum(divmod(2 * d, 10)) for d in odd[1::2])) % 10
 
 
+def plain_digits(text: str) -> str:
+    """The text with the decimal digits of all scripts in ASCII, one for one."""
+    if text.isascii() or not _OTHER_DIGIT.search(text):
+        return text
+    return _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m.group())), text)
+
+
+def digits_like(mention: str, out: str) -> str:
+    """``out`` with its digits in the script of the mention's first one."""
+    first = next((c for c in mention if c.isdecimal()), "0")
+    zero = ord(first) - unicodedata.decimal(first)
+    return out if zero == ord("0") else re.sub("[0-9]", lambda m: chr(zero + int(m.group())), out)
+
+
+def mod97(iban: str) -> int:
+    """1 for a number that passes the check of ISO 7064."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _is_ip6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+        return len(value.replace(":", "")) >= 6  # shorter ones are times, names in code, or the local host
+    except ValueError:
+        return False
+
+
 def script_of(word: str) -> str:
     c = next((c for c in word if c.isalpha()), "a")
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
@@ -92,7 +125,9 @@ def script_of(word: str) -> str:
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form), in order, without overlaps.  Each
-    part of a name is a mention of its own, so that 'Ms X Y' and 'Ms Y' agree."""
+    part of a name is a mention of its own, so that 'Ms X Y' and 'Ms Y' agree.
+    Numbers count in the digits of any script."""
+    text = plain_digits(text)
     taken: list[tuple[int, int, str, str]] = []
     used = bytearray(len(text))
     low, digit = text.lower(), _DIGIT.search(text) is not None
@@ -101,6 +136,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         "email": "@" in text,
         "access_key": "AKIA" in text or "ASIA" in text,
         "secret": any(w in low for w in _ASSIGNED),
+        "ip6": text.count(":") > 1,
         "name": True,
     }
     for kind, pattern in PATTERNS.items():
@@ -118,13 +154,17 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 continue  # prose after a colon
             if kind == "card" and (luhn(digits) or digits[0] not in "23456"):
                 continue
+            if kind == "iban" and mod97(value.replace(" ", "")) != 1:
+                continue
+            if kind == "ip6" and not _is_ip6(value):
+                continue
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
             used[a:b] = b"\1" * (b - a)
             if kind == "name":
                 taken += _name_parts(m.groupdict().get("t"), value, a)
             else:
-                normal = digits if kind in ("card", "phone", "ssn") else value.lower() if kind == "email" else value
+                normal = digits if kind in ("card", "phone", "ssn") else value.lower() if kind in ("email", "ip6") else value.replace(" ", "") if kind == "iban" else value
                 taken.append((a, b, kind, normal))
     return sorted(taken)
 
@@ -203,6 +243,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         host, _, top = domain.rpartition(".")
         # One host has one surrogate host, whatever stands before it.
         return _shaped(local, s) + _extra(s, longer) + "@" + _shaped(host, stream(key, "host", host)) + "." + top
+    if kind == "iban":
+        body = _shaped(value[4:], s) + "".join(str(next(s) % 10) for _ in range(longer))
+        return value[:2] + f"{98 - mod97(value[:2] + '00' + body):02d}" + body
+    if kind == "ip6":
+        # Groups keep their length and a first digit other than zero; late attempts fill them.
+        groups = value.split(":")
+        fill = [g if not longer or not g else g.rjust(4, "f") for g in groups]
+        return ":".join("".join("0123456789abcdef"[next(s) % 16] if i else "123456789abcdef"[next(s) % 15] for i, _ in enumerate(g)) for g in fill)
     if kind == "access_key":
         return value[:4] + _shaped(value[4:], s) + _extra(s, longer).upper()
     if kind == "secret":
@@ -223,13 +271,17 @@ def _shaped(value: str, s: Iterator[int]) -> str:
 
 def _name(kind: str, value: str, attempt: int, s: Iterator[int]) -> str:
     script = script_of(value)
-    if kind != "surname" and attempt < 4:
+    one = ""
+    if kind != "surname":
         gender = kind.removeprefix("given_")
         pool = GIVEN[script, gender if gender in "fm" else "fm"[next(s) % 2]]
-        one = pool[(next(s) << 8 | next(s)) % len(pool)]
-        return (one if not attempt else one + "-" + pool[(next(s) << 8 | next(s)) % len(pool)]).casefold()
+        one = pool[(next(s) << 8 | next(s)) % len(pool)].casefold()
+        if attempt < 4:
+            return one if not attempt else one + "-" + pool[(next(s) << 8 | next(s)) % len(pool)].casefold()
+        # Past the pairs a made-up second name follows the first, which shows the gender.
+        one += "-"
     hard, soft = LETTERS[script]
-    word = "".join(hard[next(s) % len(hard)] + soft[next(s) % len(soft)] for _ in range(max(3, (len(value) + 1) // 2) + attempt // 4))
+    word = one + "".join(hard[next(s) % len(hard)] + soft[next(s) % len(soft)] for _ in range(max(3, (len(value) + 1) // 2) + attempt // 4))
     ends = {"cyrillic": ("ова", "ов"), "greek": ("ου", "ος"), "latin": ("", "")}[script]
     female = value.endswith(("ова", "ева", "ина", "ая", "ου"))
     return word + (ends[0] if female else ends[1] if kind == "surname" else "")
@@ -239,8 +291,16 @@ def formatted(kind: str, mention: str, normal: str) -> str:
     """The surrogate in the format of this mention."""
     if kind in ("card", "phone", "ssn"):
         digits = iter(normal)
-        out = "".join(next(digits, "") if c.isdigit() else c for c in mention)
-        return out + "".join(digits)
+        out = "".join(next(digits, "") if c.isdecimal() else c for c in mention)
+        return digits_like(mention, out + "".join(digits))
+    if kind == "ip":
+        return digits_like(mention, normal)
+    if kind == "iban":
+        chars = iter(normal)
+        out = "".join(c if c == " " else next(chars, "") for c in mention)
+        return digits_like(mention, out + "".join(chars))
+    if kind == "ip6":
+        return digits_like(mention, normal.upper() if mention.isupper() else normal)
     if kind == "email" or role(kind) in ("given", "surname"):
         if mention.isupper():
             return normal.upper()
