@@ -155,6 +155,11 @@ class Page(HTMLParser):
         end = COMMENT_END.search(self.rawdata, i + 4)
         return end.end() if end else len(self.rawdata)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Outside foreign elements HTML knows no marked sections: what looks
+        like one is a comment up to the next '>', or to the end."""
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def parse_starttag(self, i: int) -> int:
         end = super().parse_starttag(i)
         tag = self.at.tag
