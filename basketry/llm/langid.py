@@ -37,12 +37,16 @@ SAMPLE_DOCS = 1000
 EM_ROUNDS = 2
 #: Mass, in words, of the pooled distribution that smooths each language.
 SMOOTH = 50.0
+#: A text fits its language if the mean log-likelihood of its words is less
+#: than so many standard deviations (of single words) below the sample's mean.
+FIT = 3.0
 #: Probability of a character that no piece of the vocabulary covers.
 UNKNOWN = 1e-7
-#: Words up to this length are kept in a worker's table, at most so many.
-SHORT, CACHE_WORDS = 40, 400_000
+#: Words up to this length are kept in a worker's tables, and the bytes that
+#: these tables may take for the values that they hold.
+SHORT, CACHE_BYTES = 40, 48 << 20
 #: Words whose sums advance together, and letters of text looked up together.
-BLOCK, BLOCK_CHARS = 4096, 1 << 21
+BLOCK, BLOCK_CHARS = 4096, 1 << 20
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
 
@@ -125,6 +129,8 @@ class Model:
     langs: list[str]
     pieces: list[str]
     probs: list[tuple[float, ...]]
+    #: For each language the least mean log-likelihood of a text's words that fits it.
+    least: list[float] = field(default_factory=list)
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -137,7 +143,10 @@ class Scorer:
         self.unknown = (UNKNOWN,) * self.n
         # The last row serves characters that no piece covers.
         self.probs = np.array([*model.probs, self.unknown], np.float64).reshape(len(model.probs) + 1, self.n)
-        self.words_seen, self.pieces_seen = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        # A packed value takes its numbers, a key and the places of both; the
+        # tables of words and of pieces share the values of plain words.
+        entries = CACHE_BYTES // (8 * (self.n + 1) + 300)
+        self.words_seen, self.pieces_seen = Recent(entries), Recent(entries)
 
     def word(self, word: str) -> list[float]:
         """Forward algorithm over all segmentations, one sum a language.
@@ -201,33 +210,36 @@ class Scorer:
         words = {w for ws in parts.values() for w in ws}
         fresh = sorted(self.words_seen.lacking(words))
         seen = self.words_seen
+        code = struct.Struct(f"{self.n + 1}d")
+        pack = code.pack
         long = [w for w in fresh if len(w) > SHORT]
-        seen.update({w: tuple(self.word(w)) for w in long})
+        seen.update({w: pack(*self.word(w), 1.0) for w in long})
         short = [w for w in fresh if len(w) <= SHORT]
         for a in range(0, len(short), BLOCK):
-            seen.update(zip(short[a : a + BLOCK], map(tuple, self.words(short[a : a + BLOCK]))))
-        pack, none = struct.Struct(f"{self.n + 1}d").pack, (0.0,) * self.n
+            seen.update(zip(short[a : a + BLOCK], [pack(*x, 1.0) for x in self.words(short[a : a + BLOCK])]))
+        none = pack(*(0.0,) * (self.n + 1))
         for p, ws in parts.items():
             if len(ws) == 1:
-                self.pieces_seen[p] = pack(*seen[ws[0]], 1.0)
+                self.pieces_seen[p] = seen[ws[0]]
             else:
-                sums = [sum(x) for x in zip(*(seen[w] for w in ws))] if ws else none
-                self.pieces_seen[p] = pack(*sums, float(len(ws)))
+                self.pieces_seen[p] = pack(*map(sum, zip(*(code.unpack(seen[w]) for w in ws)))) if ws else none
         for w in long:
             del seen[w]
         return [p for p in new if len(p) > SHORT]
 
-    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text, over the whole of it."""
+    def texts(self, texts: pa.Array) -> list[tuple[str, float, float]]:
+        """(language, score, mean log-likelihood of a word in this language) of
+        each text, over the whole of it."""
         if not self.n:
-            return [("und", 0.0)] * len(texts)
-        out: list[tuple[str, float]] = []
+            return [("und", 0.0, 0.0)] * len(texts)
+        out: list[tuple[str, float, float]] = []
         at = 0
         while at < len(texts):
             cut, size = [], 0
             while at < len(texts) and (not cut or size < BLOCK_CHARS):
-                cut.append(unicodedata.normalize("NFC", texts[at] or "").lower().split())
-                size += len(texts[at] or "")
+                text = texts[at].as_py() or ""
+                cut.append(unicodedata.normalize("NFC", text).lower().split())
+                size += len(text)
                 at += 1
             long = self.learn_pieces(set().union(*cut))
             out += [self._decide(b"".join(map(self.pieces_seen.__getitem__, pieces))) for pieces in cut]
@@ -235,16 +247,16 @@ class Scorer:
                 del self.pieces_seen[p]
         return out
 
-    def _decide(self, packed: bytes) -> tuple[str, float]:
+    def _decide(self, packed: bytes) -> tuple[str, float, float]:
         total = np.frombuffer(packed, np.float64).reshape(-1, self.n + 1).sum(axis=0)
         if not total[self.n]:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         s = total[: self.n]
         best = int(s.argmax())  # the first of equals
-        return self.model.langs[best], round(float(1.0 / np.exp(np.minimum(s - s[best], 0)).sum()), 9)
+        return self.model.langs[best], round(float(1.0 / np.exp(np.minimum(s - s[best], 0)).sum()), 9), float(s[best] / total[self.n])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        return self.texts([text])[0]
+        return self.texts(pa.array([text], pa.string()))[0][:2]
 
 
 _loaded: dict[str, Scorer] = {}
@@ -300,7 +312,29 @@ def fit(df: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "tex
         pooled /= pooled.sum()
         # Smoothed as the learned counts of each language are few for rare pieces.
         probs = {g: ((c + SMOOTH * pooled) / (c.sum() + SMOOTH)).tolist() for g, c in got.items()}
-    return Model(langs, pieces, [tuple(probs[g][i] for g in langs) for i in range(len(pieces))])
+    model = Model(langs, pieces, [tuple(probs[g][i] for g in langs) for i in range(len(pieces))])
+    level = {r["lang"]: r for r in _levels(words, model).collect()}
+    for g in langs:
+        n, s, s2 = (level[g][c] for c in ("n", "s", "s2")) if g in level else (0, 0.0, 0.0)
+        mean = s / max(n, 1)
+        model.least.append(mean - FIT * math.sqrt(max(s2 / max(n, 1) - mean * mean, 0.0)) if n else -math.inf)
+    return model
+
+
+def _levels(words: DataFrame, model: Model) -> DataFrame:
+    """Per language: count, sum and sum of squares of the log-likelihoods of
+    the sample's words under it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, at = scorer_of(model), {g: i for i, g in enumerate(model.langs)}
+        for b in batches:
+            of, words, n = (c.to_pylist() for c in b.columns)
+            got = [scores[at[g]] for g, scores in zip(of, scorer.words(words))] if words else []
+            sums = [pa.array([k * x**e for k, x in zip(n, got)], pa.float64()) for e in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *sums], names=["lang", "n", "s", "s2"])
+
+    scored = words.select("lang", "word", "n").mapInArrow(run, "lang string, n long, s double, s2 double")
+    return scored.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "s", "s2")])
 
 
 def _expectation(words: DataFrame, pieces: list[str], probs: dict[str, list[float]] | None) -> DataFrame:
@@ -318,25 +352,30 @@ def _expectation(words: DataFrame, pieces: list[str], probs: dict[str, list[floa
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``df`` and, from the text alone, ``lang_pred`` and
-    ``score``.  A null text or one without a letter gives 'und' and 0, and so
-    does a model that has learned no language.  Every row stays; columns of
-    the two new names, in any case, are replaced."""
-    new = {lang_pred.lower(), score.lower()}
+def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", fits: str | None = None) -> DataFrame:
+    """All columns of ``df`` and, from the text alone, ``lang_pred``,
+    ``score`` and, if named, ``fits`` (whether the words are as likely as those
+    of the language's sample, by their mean).  A null text or one without a
+    letter gives 'und', 0 and false, and so does a model that has learned no
+    language.  Every row stays; columns of the new names, in any case, are
+    replaced."""
+    new = {c.lower() for c in (lang_pred, score, fits) if c}
     keep = [c for c in df.columns if c.lower() not in new]
     fields = [f for f in df.schema.fields if f.name in keep]
     inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], quoted(text).alias("src"))
-    flat = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(fields)) + "lang_pred string, score double"
+    flat = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(fields)) + "lang_pred string, score double, fits boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
+        least = dict(zip(model.langs, model.least))
         for b in batches:
-            got = scorer.texts(b.column(b.num_columns - 1).to_pylist())
-            made = [pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            got = scorer.texts(b.column(b.num_columns - 1))
+            made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            made.append(pa.array([g != "und" and mean >= least.get(g, -math.inf) for g, _, mean in got], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "lang_pred", "score", "fits"])
 
-    return inner.mapInArrow(run, flat).toDF(*keep, lang_pred, score)
+    out = inner.mapInArrow(run, flat)
+    return (out if fits else out.drop("fits")).toDF(*keep, lang_pred, score, *([fits] if fits else []))
 
 
 def identify(df: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -349,7 +388,10 @@ def identify(df: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
 
 def keep_known(df: DataFrame, model_file: str, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` with a predicted language whose score is at least
-    ``least``; 'und' goes."""
+    ``least`` and which the words fit; 'und' goes, and so do texts of no learned
+    language and strings of letters.  All columns stay as they are."""
     model = fit(df, model_file, doc_id, text, lang)
-    out = predict(df, model, text, "_lang_pred", "_lang_score")
-    return out.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = next(n for n, c in zip(names, df.columns) if c.lower() == text.lower())
+    out = predict(df.toDF(*names), model, at, "lang_pred", "score", "fits")
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & F.col("fits")).select(*names).toDF(*df.columns)
