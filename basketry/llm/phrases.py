@@ -13,17 +13,21 @@ Before ROLLUP, windows are shortened where that cannot change a count of
   against a Bloom filter of the frequent ones, of a fixed size; words that it
   lets through by mistake only cost time.
 * After windows are dealt by their first two words, a window whose prefix of
-  k words has fewer than ``least`` occurrences ends before its k-th word.
-  The prefix counts are whole there: all windows of a pair are in one place.
-  Pairs of two hot words (over one word in ``Sizes.hot`` of the corpus, at
-  most that many words in all) are dealt by the third word too; they are never
-  shortened to one word, and their longer prefixes are whole as well.
-
+  k words has fewer than ``least`` occurrences ends before its k-th word
+  (``shortened``).  The prefix counts are whole there, as all windows of a pair
+  are in one place.  Pairs of two hot words (over one word in ``Sizes.hot`` of
+  the corpus, at most that many words in all) are dealt by the third word too;
+  they are never shortened to one word, and their longer prefixes are whole as
+  well.  So what one place gets is a small fixed share of all windows.
+
+Windows are dealt packed: one row for each pair of first words and block of
+texts, with the third and fourth words and their counts as lines of text.
 Tasks count equal windows of a block of texts before any shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import discard, quoted, written
@@ -50,11 +54,13 @@ class Sizes:
     #: Bits of the filter of frequent words (8 MB).
     bits: int = 1 << 26
     #: A word is hot if it is over one in so many of all words.
-    hot: int = 1000
+    hot: int = 20_000
     #: Reducers that share the windows of a pair of hot words.
     salts: int = 64
     #: Bytes of text whose words or windows are counted together.
-    block: int = 8 << 20
+    block: int = 12 << 20
+    #: Packed rows that are unpacked together, and at least the rows of a pair.
+    chunk: int = 100_000
 
 
 #: Bytes: A-Z in lower case, tab as space, all marks that end a piece as ".".
@@ -141,78 +147,175 @@ def word_filter(frequent: DataFrame, sizes: Sizes) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def windows(docs: DataFrame, bits, sizes: Sizes = Sizes()) -> DataFrame:
-    """lang, w1..w4 and n: the padded longest windows of all texts, cut at words
-    that the broadcast filter ``bits`` does not know, as each block counts
-    them.  Windows that start with such a word keep no word and count all the
-    same."""
+def sums(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(n, starts) if len(starts) else np.zeros(0, np.int64)
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where rows differ from the ones before; the first one does."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+PACKED = "lang string, w1 string, w2 string, salt int, n long, tails string"
+#: Numbers of words within a block fit into so many bits.
+BITS = 24
+
+
+def windows(docs: DataFrame, bits, hot: set[tuple[str, str]], sizes: Sizes = Sizes()) -> DataFrame:
+    """The padded longest windows of all texts, cut at words that the broadcast
+    filter ``bits`` does not know, as each block counts them: a row for each
+    pair of first words, with ``n`` windows, and in ``tails`` a line for each
+    different rest: third word, fourth word (empty if padded), count.  Pairs of
+    ``hot`` words have a row for each salt of the third word.  Windows that
+    start with an unknown word keep no word and count all the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
+        names = [f.split()[0] for f in PACKED.split(", ")]
         for lang, texts in blocks(batches, sizes.block):
             ids, words = split_words(texts)
             at = places(lang, words, sizes.bits)
             has = ((known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
             # 0 ends a window; frequent words are numbered from 1, in order of their bytes
-            own = [w for w, keep in zip(words[1:], has[1:].tolist()) if keep]
-            rank = {w: i + 1 for i, w in enumerate(sorted(own))}
-            ids_of = np.array([rank.get(w, 0) for w in words], np.int32)
-            ids_of[0] = 0
-            word = ids > 0
-            first = ids_of[ids]
-            alone = int((word & (first == 0)).sum())
-            lead, cols = first, [first]
+            own = sorted(w for w, keep in zip(words[1:], has[1:].tolist()) if keep)
+            rank = {w: i + 1 for i, w in enumerate(own)}
+            of = np.array([0, *(rank.get(w, 0) for w in words[1:])], np.int64)
+            first = of[ids]
+            alone = int(((ids > 0) & (first == 0)).sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), *[pa.array([None], pa.string())] * 2, pa.array([0], pa.int32()), pa.array([alone], pa.int64()), pa.array([None], pa.string())],
+                names=names,
+            )
+            cols, lead = [first], first
             for _ in range(ORDER - 1):
-                lead = np.append(lead[1:], np.int32(0))
+                lead = np.append(lead[1:], 0)
                 cols.append(np.where(cols[-1] > 0, lead, 0))
-            cols = [c[first > 0] for c in cols]
-            width = len(own).bit_length()
-            if width * ORDER <= 63:
-                key = cols[0].astype(np.int64)
-                for c in cols[1:]:
-                    key = key << width | c
-                key, n = np.unique(key, return_counts=True)
-                cols = [key >> (width * (ORDER - 1 - i)) & ((1 << width) - 1) for i in range(ORDER)]
-            elif len(first):
-                order = np.lexsort(cols[::-1])
-                cols = [c[order] for c in cols]
-                new = np.ones(len(order), bool)
-                new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-                starts = np.flatnonzero(new)
-                n = np.diff(np.append(starts, len(order)))
-                cols = [c[starts] for c in cols]
-            else:
-                n = np.zeros(0, np.int64)
-            texts_of = pa.array([None, *sorted(own)], pa.binary()).cast(pa.string())
-            size = 1 << 18
-            for a in range(0, len(n), size):
-                cut = [texts_of.take(pa.array(c[a : a + size])) for c in cols]
-                made = [pa.array([lang] * len(cut[0]), pa.string()), *cut, pa.array(n[a : a + size].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(made, names=["lang", *WORDS, "n"])
-            none = [pa.array([None], pa.string())] * ORDER
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), *none, pa.array([alone], pa.int64())], names=["lang", *WORDS, "n"])
+            c1, c2, c3, c4 = (c[first > 0] for c in cols)
+            is_hot = np.array([False, *((lang, w.decode()) in hot for w in own)])
+            salts = np.array([zlib.crc32(w) % sizes.salts + 1 for w in [b"", *own]])
+            pair = c1 << BITS | c2
+            rest = np.where(is_hot[c1] & is_hot[c2], salts[c3], 0) << 2 * BITS | c3 << BITS | c4
+            order = np.lexsort((rest, pair))
+            pair, rest = pair[order], rest[order]
+            starts = changes(pair, rest)
+            n = np.diff(np.append(starts, len(pair)))
+            pair, rest = pair[starts], rest[starts]
+            c3, c4, salt = rest >> BITS & (1 << BITS) - 1, rest & (1 << BITS) - 1, rest >> 2 * BITS
+            texts_of = pa.array([b"", *own], pa.binary()).cast(pa.string())
+            lines = pc.binary_join_element_wise(texts_of.take(pa.array(c3)), texts_of.take(pa.array(c4)), pa.array(n).cast(pa.string()), " ")
+            heads = changes(pair, salt)
+            tails = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, len(lines)), pa.int32()), lines), "\n")
+            total, c1, c2 = sums(n, heads), pair[heads] >> BITS, pair[heads] & (1 << BITS) - 1
+            whole = pa.array(c2 > 0)
+            second = pc.if_else(whole, texts_of.take(pa.array(c2)), pa.scalar(None, pa.string()))
+            tails = pc.if_else(whole, tails, pa.scalar(None, pa.string()))
+            made = [pa.array([lang] * len(heads), pa.string()), texts_of.take(pa.array(c1)), second, pa.array(salt[heads].astype(np.int32)), pa.array(total), tails]
+            yield from pa.Table.from_arrays(made, names=names).to_batches(max_chunksize=1 << 15)
+
+    return docs.mapInArrow(run, PACKED)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    coded = column.dictionary_encode()
+    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def unpacked(rows: pa.Table, least: int) -> pa.Table:
+    """The windows of packed rows that are sorted by pair and salt, with all of
+    each pair and salt, ended where a prefix has fewer than ``least``
+    occurrences: lang, w1..w4, n."""
+    rows = rows.combine_chunks()
+    lang, w1, w2, salt, n, tails = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+    salt, n = salt.to_numpy(), n.to_numpy()
+    code_l, code_1, code_2 = map(_codes, (lang, w1, w2))
+    heads = changes(code_l, code_1, code_2, salt)
+    group = np.zeros(len(n), np.int64)
+    group[heads[1:]] = 1
+    group = group.cumsum()
+    go = ((sums(n, heads) >= least) | (salt[heads] > 0)) & (code_2[heads] >= 0)
+
+    # Pairs that end after the first word, together.
+    ones = changes(code_l, code_1)
+    single = sums(np.where(go[group], 0, n), ones)
+    parts = [(ones[single > 0], None, None, None, single[single > 0])]
+
+    # All others by their lines.
+    open_ = go[group]
+    lists = pc.split_pattern(tails.filter(pa.array(open_)), "\n")
+    of = group[open_][pc.list_parent_indices(lists).to_numpy()] if len(lists) else np.zeros(0, np.int64)
+    fields = pc.split_pattern(lists.flatten(), " ").flatten()
+    third, fourth, m = (fields.take(pa.array(np.arange(k, len(fields), 3))) for k in range(3))
+    third, fourth = third.dictionary_encode(), fourth.dictionary_encode()
+    key = of << 32 | third.indices.to_numpy().astype(np.int64)
+    last = fourth.indices.to_numpy().astype(np.int64)
+    m = m.cast(pa.int64()).to_numpy()
+    order = np.lexsort((last, key))
+    key, last, m = key[order], last[order], m[order]
+    starts = changes(key, last) if len(key) else np.zeros(0, np.int64)
+    m, key, last = sums(m, starts), key[starts], last[starts]
+    threes = changes(key) if len(key) else np.zeros(0, np.int64)
+    width = np.diff(np.append(threes, len(key)))
+    filled3 = np.array([x != "" for x in third.dictionary.to_pylist()], bool)
+    filled4 = np.array([x != "" for x in fourth.dictionary.to_pylist()], bool)
+    no3 = key & (1 << 32) - 1
+    enough3 = (sums(m, threes) >= least) & filled3[no3[threes]]
+    three = np.repeat(enough3, width)
+    four = three & (m >= least) & filled4[last]
+    parts.append((heads[key[four] >> 32], True, no3[four], last[four], m[four]))
+    rest = sums(np.where(four, 0, m), threes)
+    keep = enough3 & (rest > 0)
+    parts.append((heads[key[threes[keep]] >> 32], True, no3[threes[keep]], None, rest[keep]))
+    short = np.bincount(key >> 32, np.where(three, 0, m), len(heads)).astype(np.int64)
+    parts.append((heads[short > 0], True, None, None, short[short > 0]))
+
+    tables = []
+    for at, two, x3, x4, count in parts:
+        none = pa.nulls(len(at), pa.string())
+        take = lambda texts: texts.take(pa.array(at))
+        tables.append(
+            pa.Table.from_arrays(
+                [
+                    take(lang),
+                    take(w1),
+                    take(w2) if two else none,
+                    none if x3 is None else third.dictionary.take(pa.array(x3)),
+                    none if x4 is None else fourth.dictionary.take(pa.array(x4)),
+                    pa.array(count, pa.int64()),
+                ],
+                names=["lang", *WORDS, "n"],
+            )
+        )
+    return pa.concat_tables(tables)
+
+
+def shortened(packed: DataFrame, least: int, sizes: Sizes) -> DataFrame:
+    """The windows, ended where a prefix has fewer than ``least`` occurrences.
+    A task unpacks its sorted rows in chunks that end with a pair."""
+    chunk = sizes.chunk
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size < chunk:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = [_codes(rows.column(c).chunk(0)) for c in range(3)]
+            cut = int(changes(*keys, rows.column(3).to_numpy())[-1])
+            if cut:
+                yield from unpacked(rows.slice(0, cut), least).to_batches()
+            held = rows.slice(cut).to_batches()
+            size = 0 if cut else -len(rows)  # a pair that fills a chunk is read on
+        if held:
+            yield from unpacked(pa.Table.from_batches(held), least).to_batches()
+
+    key = ["lang", "w1", "w2", "salt"]
     schema = "lang string, " + "".join(f"{w} string, " for w in WORDS) + "n long"
-    return docs.mapInArrow(run, schema)
-
-
-def shortened(counted: DataFrame, hot: DataFrame, least: int, salts: int) -> DataFrame:
-    """The windows, ended where a prefix has fewer than ``least`` occurrences."""
-    hots = F.broadcast(hot.groupBy("lang").agg(F.collect_set("word").alias("hot")))
-    both = F.coalesce(F.array_contains("hot", F.col("w1")) & F.array_contains("hot", F.col("w2")), F.lit(False))
-    third = F.pmod(F.xxhash64("w3"), F.lit(salts)) + 1
-    salted = counted.join(hots, "lang", "left").withColumn("salt", F.when(both, third).otherwise(0)).drop("hot")
-    dealt = salted.repartition("lang", "w1", "w2", "salt")
-    whole = dealt.groupBy("lang", "salt", *WORDS).agg(F.sum("n").alias("n"))
-    cut: list[Column] = [F.col("w1")]
-    for k in range(2, ORDER + 1):
-        total = F.sum("n").over(Window.partitionBy("lang", "w1", "w2", "salt", *WORDS[2:k]))
-        enough = (total if k < ORDER else F.col("n")) >= least
-        if k == 2:
-            enough |= F.col("salt") > 0
-        whole = whole.withColumn(f"t{k}", F.when(enough, F.col(f"w{k}")))
-        cut.append(F.col(f"t{k}"))
-    return whole.select("lang", *[c.alias(w) for c, w in zip(cut, WORDS)], "n")
+    return packed.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
 def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> DataFrame:
@@ -224,9 +327,10 @@ def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "la
     vocabulary = written(count_words(docs, sizes), "phrase-words")
     every = vocabulary.agg(F.sum("n")).first()[0] or 0
     bits = spark.sparkContext.broadcast(word_filter(vocabulary.where(F.col("n") >= least), sizes))
-    hot = vocabulary.where(F.col("n") * sizes.hot > every).select("lang", "word")
+    # fewer than sizes.hot words can be hot
+    hot = {(r["lang"], r["word"]) for r in vocabulary.where(F.col("n") * sizes.hot > every).collect()}
     rolled = (
-        shortened(windows(docs, bits, sizes), hot, least, sizes.salts)
+        shortened(windows(docs, bits, hot, sizes), least, sizes)
         .groupBy("lang", *WORDS)
         .agg(F.sum("n").alias("n"))
         .rollup("lang", *WORDS)

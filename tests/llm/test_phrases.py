@@ -74,22 +74,39 @@ def test_nothing_frequent_and_empty_table(spark):
     assert phrases.collocations(df).collect() == [] and phrases.collocations(df.limit(0)).collect() == []
 
 
-def test_windows_of_many_words_take_the_wide_way():
-    """Over 2^15 different words four numbers do not fit into 64 bits."""
+class Run:
+    """Stands for a DataFrame: runs a task on given batches."""
 
-    class Bits:
-        value = np.full(phrases.Sizes().bits // 8, 255, np.uint8)
+    def __init__(self, *batches):
+        self.batches = batches
 
-    words = [f"w{i}" for i in range(40000)] * 2
+    def mapInArrow(self, run, schema):
+        return pa.Table.from_batches(run(iter(self.batches)))
 
-    class Docs:
-        def mapInArrow(self, run, schema):
-            batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(words)])], names=["lang", "text"])
-            return pa.Table.from_batches(run(iter([batch])))
 
-    got = Counter()
-    for r in phrases.windows(Docs(), Bits()).to_pylist():
-        got[tuple(r[w] for w in phrases.WORDS)] += r["n"]
+@pytest.mark.parametrize("hot", [set(), {("en", "a"), ("en", "b")}])
+def test_packed_windows_are_the_windows(hot):
+    class Bits:
+        value = np.full(phrases.Sizes().bits // 8, 255, np.uint8)
+
+    words = [f"w{i}" for i in range(4000)] * 2 + ["a", "b"] * 50
+    docs = Run(pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(words)])], names=["lang", "text"]))
+    got, salts = Counter(), set()
+    for r in phrases.windows(docs, Bits(), hot).to_pylist():
+        salts.add(r["salt"])
+        lines = r["tails"].split("\n") if r["tails"] else [f"  {r['n']}"]
+        for line in lines:
+            third, fourth, n = line.split(" ")
+            got[r["w1"], r["w2"], third or None, fourth or None] += int(n)
+        assert r["tails"] is None or r["n"] == sum(int(x.split(" ")[2]) for x in lines)
     want = Counter(tuple((words[i : i + 4] + [None] * 3)[:4]) for i in range(len(words)))
     want[(None,) * 4] = 0
-    assert got == want
+    assert got == want and (len(salts) > 1) == bool(hot)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_chunks_end_with_a_pair(spark, chunk):
+    rows = texts(60, seed=6)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    got = sorted(tuple(r) for r in phrases.collocations(df, 3, sizes=phrases.Sizes(chunk=chunk, block=2000)).collect())
+    assert got == brute(rows, 3)
