@@ -41,3 +41,19 @@ def join_back(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "
     )
     cond = reduce(lambda a, b: a & b, [rows[k] == side[shadow[k]] for k in keys])
     return rows.join(side, cond, how).drop(*shadow.values())
+
+
+def first_rows(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the smallest by the ``order`` columns, then by all
+    others (a table has no first row).  A partial aggregation, so a key with
+    many rows is no task of its own."""
+    lead = [*order, *[c for c in table.columns if c not in (*keys, *order)]]
+    first = table.groupBy(*keys).agg(F.min(F.struct(*lead)).alias("_first"))
+    return first.select(*[(F.col(c) if c in keys else F.col(f"_first.{c}")).alias(c) for c in table.columns])
+
+
+def first_match(lines: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """Look up each line in a table of at most one row per key: every line
+    comes out once, with NULLs where nothing matches (a NULL key matches
+    nothing)."""
+    return join_back(lines, firsts, keys, "left")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.joins import join_back
+from basketry.functions.joins import first_match, first_rows, join_back
 from basketry.functions.ranking import DEFAULT_BLOCK, blocked_row_number
 
 
@@ -100,3 +100,12 @@ def product_occurrence_number(prior_items: DataFrame, block: int = DEFAULT_BLOCK
         out_col="product_time",
         block=block,
     ).select("user_id", "product_id", "order_number", "product_time")
+
+
+def first_bought(train_items: DataFrame, prior_items: DataFrame) -> DataFrame:
+    """Each train line with the first prior order of its user that had the
+    product (J3 on two keys): NULL for a product bought for the first time."""
+    keys = ["user_id", "product_id"]
+    seen = prior_items.select(*keys, "order_number", F.col("order_id").alias("first_order_id"))
+    firsts = first_rows(seen, keys, ["order_number"]).withColumnRenamed("order_number", "first_order_number")
+    return first_match(train_items, firsts, keys).select("order_id", *keys, "first_order_number", "first_order_id")

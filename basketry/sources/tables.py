@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.joins import join_back
+from basketry.functions.joins import first_match, first_rows, join_back
 from basketry.session import app_id, checkpoint_dir, tune_session
 from basketry.sources import files
 from basketry.sources.fixture import driver_basket_frames
@@ -43,6 +43,14 @@ ORDER_COLS = [
     "days_since_prior_order",
 ]
 ITEM_COLS = ["product_id", "add_to_cart_order", "reordered"]
+#: Column of the written fact that names the file of a line: prior or train.
+FILE = "line_file"
+
+
+def first_orders(orders: DataFrame) -> DataFrame:
+    """One row per order id: of orders that share an id the first by user and
+    number."""
+    return first_rows(orders, ["order_id"], ["user_id", "order_number"])
 
 
 @dataclass
@@ -76,10 +84,13 @@ class BasketTables:
     @property
     def prior_items(self) -> DataFrame:
         """``orderp_products``: all order columns plus the item columns, and
-        ``user_max`` (the user's last prior order number) where the fact has it."""
+        ``user_max`` (the user's last prior order number) where the fact has
+        it.  Lines of unknown orders have no order to join and drop out; a
+        repeated order id gives a row for each of its orders."""
         if self.order_items is not None:
             more = [c for c in self.order_items.columns if c == "user_max"]
-            return self.order_items.where(F.col("eval_set") == "prior").select(
+            lines = FILE if FILE in self.order_items.columns else "eval_set"
+            return self.order_items.where(F.col(lines) == "prior").select(
                 ORDER_COLS + ITEM_COLS + more
             )
         return self.orders.join(self.order_products_prior, "order_id").select(
@@ -90,15 +101,14 @@ class BasketTables:
     def train_items(self) -> DataFrame:
         """Train order items with user_id looked up and ``ordered = 1``.
 
-        The lookup is a left join on the unique order key, so an order item
-        whose order is unknown keeps a NULL user_id, as ``match`` would.
+        The lookup takes the first match and NULL if there is none, as
+        ``match`` does: a left join on one row per order id (``first_orders``),
+        so every line of the train file comes out exactly once.
         """
         if "train_items" in self.extras:
             return self.extras["train_items"]
         return (
-            self.order_products_train.join(
-                self.orders.select("order_id", "user_id"), "order_id", "left"
-            )
+            first_match(self.order_products_train, first_orders(self.orders.select("order_id", "user_id", "order_number")), ["order_id"])
             .select(
                 "user_id",
                 "order_id",
@@ -184,8 +194,12 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
 
     Two layouts (``basketry.layout``):
 
+    The fact has a column ``line_file``: train lines are those of the train
+    file, each once with its first order (NULLs if it is unknown), prior lines
+    those of the prior file with an order, as in the lazy plan.
+
     * ``clustered`` (default): facts and orders range-partitioned on
-      (user_id, order_number) and sorted inside each file.  Range
+      (user_id, order_number, order_id) and sorted inside each file.  Range
       partitioning on the composite key splits a user holding a large
       share of rows over several files, reads stay split-parallel, row-group
       min/max statistics on user_id let point and range filters skip data,
@@ -211,7 +225,8 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
 
     def save_fact(df: DataFrame, name: str, split_by: list[str]) -> DataFrame:
         path = os.path.join(root, name)
-        keys = ["user_id", "order_number"]
+        # the order id deals the lines of unknown orders, which have no user
+        keys = ["user_id", "order_number", "order_id"]
         if layout == "bucketed":
             table = f"{prefix}_{name}"
             spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -238,27 +253,29 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
     )
     orders = save_fact(join_back(tables.orders, last, ["user_id"], "left"), "orders", [])
     if tables.items_of is not None:
-        items_all = tables.items_of(orders)
+        # Lines derived from their orders: each has one, and its file follows.
+        items_all = tables.items_of(orders).withColumn(FILE, F.col("eval_set"))
     else:
-        items_all = orders.join(
-            tables.order_products_prior.unionByName(tables.order_products_train), "order_id"
-        )
-    items = save_fact(items_all.select(ORDER_COLS + ITEM_COLS + ["user_max"]), "order_items", ["eval_set"])
+        # The file of a line decides what it is, whatever its order says.
+        prior = orders.join(tables.order_products_prior, "order_id").withColumn(FILE, F.lit("prior"))
+        train = first_match(tables.order_products_train, first_orders(orders), ["order_id"]).withColumn(FILE, F.lit("train"))
+        items_all = prior.unionByName(train)
+    items = save_fact(items_all.select(ORDER_COLS + ITEM_COLS + ["user_max", FILE]), "order_items", [FILE])
+    lines = {name: items.where(F.col(FILE) == name) for name in ("prior", "train")}
     out = BasketTables(
         orders=orders.select(ORDER_COLS),
-        order_products_prior=items.where(F.col("eval_set") == "prior").select(
-            "order_id", *ITEM_COLS
-        ),
-        order_products_train=items.where(F.col("eval_set") == "train").select(
-            "order_id", *ITEM_COLS
-        ),
+        # as read, with lines of unknown orders; derived lines all have one
+        order_products_prior=tables.order_products_prior
+        if tables.items_of is None
+        else lines["prior"].select("order_id", *ITEM_COLS),
+        order_products_train=lines["train"].select("order_id", *ITEM_COLS),
         products=save_plain(tables.products, "products"),
         aisles=save_plain(tables.aisles, "aisles"),
         departments=save_plain(tables.departments, "departments"),
         order_items=items,
     )
     out.extras["folder"] = root
-    out.extras["train_items"] = items.where(F.col("eval_set") == "train").select(
+    out.extras["train_items"] = lines["train"].select(
         "user_id",
         "order_id",
         "product_id",
