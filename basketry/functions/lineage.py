@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut ``df``'s lineage in the session's checkpoint folder (the
     cluster's shared folder): ``checkpoint()`` when the context knows the
-    folder, else a parquet table written into it; without any folder,
-    persist in memory and on disk.  Never a machine-local checkpoint."""
+    folder, else a parquet table written into it.  Never a machine-local
+    checkpoint: without a folder this raises."""
     from basketry.session import checkpoint_dir
 
     spark = df.sparkSession
@@ -24,8 +24,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context_dir:
         return df.checkpoint(eager=True)
     base = checkpoint_dir(spark)
-    if base:
-        path = os.path.join(base.replace("file:", ""), f"lineage-{uuid.uuid4().hex}")
-        df.write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = os.path.join(base.replace("file:", ""), f"lineage-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A small derived table, computed once: in the checkpoint folder, or
+    persisted where a session names none (its lineage stays, so a lost
+    executor recomputes it)."""
+    from basketry.session import checkpoint_dir
+
+    return cut_lineage(df) if checkpoint_dir(df.sparkSession) else df.persist(StorageLevel.MEMORY_AND_DISK)

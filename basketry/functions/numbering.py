@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.lineage import cut_lineage
+from basketry.functions.lineage import kept
 
 
 def dense_numbers(
@@ -24,7 +24,7 @@ def dense_numbers(
     by: list[str] | None = None,
     number: str = "number",
     total: str | None = None,
-    save: Callable[[DataFrame], DataFrame] = cut_lineage,
+    save: Callable[[DataFrame], DataFrame] = kept,
 ) -> DataFrame:
     """``df`` plus ``number`` (0-based long): the row's place among the rows of
     equal ``by`` columns (nulls equal each other) in ascending ``order``, nulls

@@ -13,7 +13,10 @@ bounded memory:
    only distinct values inside a bracket are ranked exactly, by a running
    count over that slice (bounded by the bracket, not by the group); the
    multiplicities below the bracket enter that window as one summed row;
-3. the order statistics at positions floor(h) and ceil(h), h = (n - 1) p,
+3. where a bracket may hold more than ``slice_rows`` values, it is sketched
+   again by itself and narrowed, until all are below (each pass divides them
+   by about ``GRID`` / 2), so no window grows with the group;
+4. the order statistics at positions floor(h) and ceil(h), h = (n - 1) p,
    are interpolated with the formula Spark's ``percentile`` uses.
 
 Ties never inflate a slice: a value occurring a billion times is one row.
@@ -24,8 +27,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.lineage import kept
+
 DEFAULT_ACCURACY = 10000
 DEFAULT_MARGIN = 10
+#: Values that a bracket may hold when it is ranked in one window.
+DEFAULT_SLICE_ROWS = 1_000_000
+#: Steps of the sketch that narrows a bracket.
+GRID = 200
+
+
+def narrower(data: DataFrame, targets: DataFrame, keys: list[str], accuracy: int, broadcast_targets: bool) -> DataFrame:
+    """``targets`` with each bracket narrowed by a sketch of the values in it;
+    the counts of those below it are exact."""
+    cand = data.join(F.broadcast(targets) if broadcast_targets else targets, keys)
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    same = [c for c in targets.columns if c not in (*keys, "_i", "_lo", "_hi", "_room")]
+    sketch = cand.groupBy(*keys, "_i").agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+        F.count_if(inside).alias("_m"),
+        F.percentile_approx(F.when(inside, F.col("_v")), grid, accuracy).alias("_b"),
+        *[F.first(c).alias(c) for c in same],
+    )
+    m = F.col("_m").cast("double")
+    slack = F.lit(2.0) * m / F.lit(float(accuracy)) + F.lit(2.0)
+    low = F.floor((F.floor("_pos") + 1 - F.col("_below") - slack) / m * GRID)
+    high = F.ceil((F.ceil("_pos") + 1 - F.col("_below") + slack) / m * GRID)
+    steps = sketch.withColumn("_l", F.greatest(low, F.lit(0)).cast("int")).withColumn("_h", F.least(high, F.lit(GRID)).cast("int"))
+    room = ((F.col("_h") - F.col("_l")) / F.lit(float(GRID)) * m + 2 * slack).alias("_room")
+    return steps.select(*keys, "_i", *same, F.col("_b")[F.col("_l")].alias("_lo"), F.col("_b")[F.col("_h")].alias("_hi"), room)
 
 
 def exact_quantiles(
@@ -38,6 +69,7 @@ def exact_quantiles(
     margin: int = DEFAULT_MARGIN,
     extra_aggs: list | None = None,
     broadcast_targets: bool = True,
+    slice_rows: int = DEFAULT_SLICE_ROWS,
 ) -> DataFrame:
     """One row per group: group columns, then one DOUBLE column per
     probability (``out_cols``, default ``q0, q1, ...``), then the
@@ -54,71 +86,12 @@ def exact_quantiles(
     groups = list(group_cols or [])
     keys = groups or ["_all"]
     out_cols = out_cols or [f"q{i}" for i in range(len(probs))]
-    data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if not groups:
-        data = data.withColumn("_all", F.lit(0))
-
-    # Sketch queries: each probability +/- a geometric ladder of offsets,
-    # plus the minimum and the maximum.
-    eps = margin / accuracy
-    ladder = []
-    c = eps
-    while c < 1.0:
-        ladder.append(c)
-        c *= 2
-    grid: list[float] = [0.0, 1.0]
-    for p in probs:
-        grid += [p - c for c in ladder if p - c > 0] + [p + c for c in ladder if p + c < 1]
-    grid = sorted(set(grid))
-    at = {q: i for i, q in enumerate(grid)}
-    extras = list(extra_aggs or [])
-    sketch = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(q) for q in grid]), accuracy).alias("_b"),
-        *extras,
-    )
+    data, targets, extra_names = brackets(df, value, probs, groups, accuracy, margin, extra_aggs, broadcast_targets, slice_rows)
     k = len(probs)
-    extra_names = [c for c in sketch.columns if c not in (*keys, "_n", "_b")]
-    n = F.col("_n").cast("double")
-    slack = F.lit(2.0) * n / F.lit(float(accuracy)) + F.lit(2.0)
-
-    def bounds(p: float) -> tuple:
-        """Narrowest sketch values whose rank guarantee still brackets the
-        order statistics at floor(h) and ceil(h) (0-based), h = (n-1) p."""
-        h = (n - 1) * F.lit(p)
-        need_lo, need_hi = F.floor(h) + 1, F.ceil(h) + 1  # 1-based ranks
-        lo = F.coalesce(
-            *[
-                F.when(F.lit(p - c) * n + slack <= need_lo, F.col("_b")[at[p - c]])
-                for c in ladder
-                if p - c > 0
-            ],
-            F.col("_b")[at[0.0]],
-        )
-        hi = F.coalesce(
-            *[
-                F.when(F.lit(p + c) * n - slack >= need_hi, F.col("_b")[at[p + c]])
-                for c in ladder
-                if p + c < 1
-            ],
-            F.col("_b")[at[1.0]],
-        )
-        return lo, hi
-
-    structs = []
-    for i, p in enumerate(probs):
-        lo, hi = bounds(p)
-        structs.append(
-            F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"), lo.alias("_lo"), hi.alias("_hi"))
-        )
-    targets = sketch.select(*keys, "_n", *extra_names, F.inline(F.array(*structs))).withColumn(
-        "_pos", (F.col("_n") - 1).cast("double") * F.col("_p")
-    )
-
     counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     # one row per (group, probability, distinct value): a fixed fan-out of len(probs)
     cand = counts.join(F.broadcast(targets) if broadcast_targets else targets, keys)
-    carried = [*keys, "_i", "_pos", *extra_names]
+    carried = [*keys, "_i", "_pos", *extra_names]  # of the targets
     # everything below the bracket collapses into one row that sorts first
     below = (
         cand.where(F.col("_v") < F.col("_lo"))
@@ -162,3 +135,90 @@ def exact_quantiles(
 
     wide = picked.select(*keys, *[interpolate(i).alias(out_cols[i]) for i in range(k)], *extra_names)
     return wide.drop("_all") if not groups else wide
+
+
+
+def brackets(
+    df: DataFrame,
+    value: str,
+    probs: list[float],
+    groups: list[str],
+    accuracy: int = DEFAULT_ACCURACY,
+    margin: int = DEFAULT_MARGIN,
+    extra_aggs: list | None = None,
+    broadcast_targets: bool = True,
+    slice_rows: int = DEFAULT_SLICE_ROWS,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The values (``_v``), one row per (group, probability) with the bracket
+    [_lo, _hi], the position ``_pos`` in the group and ``_room``, a bound on the
+    values strictly inside, and the names of the extra aggregates.  The rows
+    are computed once and kept: they are groups x probabilities."""
+    keys = groups or ["_all"]
+    data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if not groups:
+        data = data.withColumn("_all", F.lit(0))
+
+    # Sketch queries: each probability +/- a geometric ladder of offsets,
+    # plus the minimum and the maximum.
+    eps = margin / accuracy
+    ladder = []
+    c = eps
+    while c < 1.0:
+        ladder.append(c)
+        c *= 2
+    grid: list[float] = [0.0, 1.0]
+    for p in probs:
+        grid += [p - c for c in ladder if p - c > 0] + [p + c for c in ladder if p + c < 1]
+    grid = sorted(set(grid))
+    at = {q: i for i, q in enumerate(grid)}
+    extras = list(extra_aggs or [])
+    sketch = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", F.array(*[F.lit(q) for q in grid]), accuracy).alias("_b"),
+        *extras,
+    )
+    extra_names = [c for c in sketch.columns if c not in (*keys, "_n", "_b")]
+    n = F.col("_n").cast("double")
+    slack = F.lit(2.0) * n / F.lit(float(accuracy)) + F.lit(2.0)
+
+    def bounds(p: float) -> tuple:
+        """Narrowest sketch values whose rank guarantee still brackets the
+        order statistics at floor(h) and ceil(h) (0-based), h = (n-1) p."""
+        h = (n - 1) * F.lit(p)
+        need_lo, need_hi = F.floor(h) + 1, F.ceil(h) + 1  # 1-based ranks
+
+        def edge(q: float):
+            return F.struct(F.col("_b")[at[q]].alias("v"), F.lit(q).alias("q"))
+
+        lo = F.coalesce(
+            *[F.when(F.lit(p - c) * n + slack <= need_lo, edge(p - c)) for c in ladder if p - c > 0], edge(0.0)
+        )
+        hi = F.coalesce(
+            *[F.when(F.lit(p + c) * n - slack >= need_hi, edge(p + c)) for c in ladder if p + c < 1], edge(1.0)
+        )
+        return lo, hi
+
+    structs = []
+    for i, p in enumerate(probs):
+        lo, hi = bounds(p)
+        structs.append(
+            F.struct(
+                F.lit(i).alias("_i"),
+                F.lit(float(p)).alias("_p"),
+                lo["v"].alias("_lo"),
+                hi["v"].alias("_hi"),
+                ((hi["q"] - lo["q"]) * n + 2 * slack).alias("_room"),
+            )
+        )
+    targets = sketch.select(*keys, "_n", *extra_names, F.inline(F.array(*structs))).withColumn(
+        "_pos", (F.col("_n") - 1).cast("double") * F.col("_p")
+    )
+    targets = kept(targets)
+    room = targets.agg(F.max("_room")).first()[0] or 0.0
+    while room > slice_rows:
+        closer = kept(narrower(data, targets, keys, accuracy, broadcast_targets))
+        left = closer.agg(F.max("_room")).first()[0]
+        if left >= room:
+            break  # as narrow as this accuracy makes it
+        targets, room = closer, left
+    return data, targets, extra_names

@@ -14,9 +14,9 @@ Mapping (see FIXTURES.md, part B):
 Plan shape: line items are grouped to (order, product); cart positions are
 numbered in blocks of line numbers; the join to orders is on order id.  The
 reorder flag is a per-(user, product) minimum joined back.  No window spans all rows of a user: order numbers
-are built from per-(user, timestamp) pieces (see ``_orders``).  Windows over the
-product dimension are global, which is acceptable because that table is
-bounded by the catalogue (brands x types), not by the data volume.
+are built from per-(user, timestamp) pieces (see ``_orders``).  The ids of the
+product dimension are dense numbers by range partition and offsets
+(``dense_numbers``), so no window spans the catalogue.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.joins import join_back
+from basketry.functions.numbering import dense_numbers
 from basketry.functions.ranking import blocked_row_number
 from basketry.sources.readers import read_driver_table
 
@@ -37,26 +38,23 @@ HOURS_PER_DAY = 24  # order_hour_of_day = order_id % 24
 
 
 def _catalogue(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """products, aisles, departments and the part -> product map."""
+    """products, aisles, departments and the part -> product map; ids are
+    dense numbers by name, from 1."""
+
+    def one_based(df: DataFrame, order: list[str], column: str, kind: str) -> DataFrame:
+        numbered = dense_numbers(df, order, number=column)
+        return numbered.withColumn(column, (F.col(column) + 1).cast(kind))
+
     pairs = part.select("p_brand", "p_type").distinct()
-    named = pairs.select(
-        F.row_number().over(Window.orderBy("p_brand", "p_type")).cast("bigint").alias("product_id"),
+    named = one_based(pairs, ["p_brand", "p_type"], "product_id", "bigint").select(
+        "product_id",
         F.concat_ws(" ", "p_brand", "p_type").alias("product_name"),
         F.col("p_brand").alias("aisle"),
         F.col("p_type").alias("department"),
     )
-    aisles = (
-        part.select(F.col("p_brand").alias("aisle"))
-        .distinct()
-        .select(F.row_number().over(Window.orderBy("aisle")).alias("aisle_id"), "aisle")
-    )
-    departments = (
-        part.select(F.col("p_type").alias("department"))
-        .distinct()
-        .select(
-            F.row_number().over(Window.orderBy("department")).alias("department_id"),
-            "department",
-        )
+    aisles = one_based(part.select(F.col("p_brand").alias("aisle")).distinct(), ["aisle"], "aisle_id", "int")
+    departments = one_based(
+        part.select(F.col("p_type").alias("department")).distinct(), ["department"], "department_id", "int"
     )
     products = (
         named.join(aisles, "aisle")
@@ -71,7 +69,7 @@ def _catalogue(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
         ),
         ["p_brand", "p_type"],
     ).select("p_partkey", "product_id")
-    return products, aisles, departments, part_map
+    return products, aisles.select("aisle_id", "aisle"), departments.select("department_id", "department"), part_map
 
 
 def _orders(orders_raw: DataFrame, lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.functions.quantiles import exact_quantiles
+from basketry.functions.quantiles import brackets, exact_quantiles
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]
 
@@ -42,3 +42,16 @@ def test_ungrouped_and_r_type7(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "v double")
     r = exact_quantiles(df, "v", [0.25, 0.5, 0.75], out_cols=["a", "b", "c"]).collect()[0]
     assert (r.a, r.b, r.c) == (1.75, 2.5, 4.75)
+
+
+@pytest.mark.parametrize("slice_rows", [20000, 300, 60])
+def test_no_slice_is_larger_than_asked(spark, slice_rows):
+    rnd = random.Random(slice_rows)
+    rows = [(i % 2, rnd.random() if i % 5 else float(i % 3)) for i in range(30000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    data, targets, _ = brackets(df, "v", PROBS, ["g"], accuracy=100, slice_rows=slice_rows)
+    inside = data.join(targets, "g").where("_v >= _lo and _v <= _hi").groupBy("g", "_i").agg(F.count_distinct("_v").alias("n"))
+    assert inside.agg(F.max("n")).first()[0] <= slice_rows + 2
+    got = {r.g: [r[f"q{i}"] for i in range(len(PROBS))] for r in exact_quantiles(df, "v", PROBS, ["g"], accuracy=100, slice_rows=slice_rows).collect()}
+    for r in _exact(df, PROBS).collect():
+        assert got[r.g] == pytest.approx(list(r.q), rel=1e-12, abs=1e-12)
