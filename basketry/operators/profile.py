@@ -8,9 +8,10 @@ per-user means) are two chained aggregations, each partial on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.joins import join_back
 from basketry.functions.quantiles import exact_quantiles
 from basketry.functions.stats import right_closed_bin, six_number_summary, standard_error
 from basketry.operators.history import recent_items
@@ -250,36 +251,68 @@ def distinct_reordered_products(train_items: DataFrame, flag: int = 1) -> DataFr
 # ------------------------------------------------------- same-basket customers
 
 
-def always_same_basket_users(prior_items: DataFrame, exact: bool = False) -> DataFrame:
-    """Users whose prior baskets all look the same.
-
-    The reference's test compares basket size and the mean product id of
-    each basket (min == max over the user's baskets); equal means can
-    collide.  ``exact=True`` compares the sorted product lists instead.
-    Result is sorted by mean basket size, descending."""
-    per_order = prior_items.groupBy("user_id", "order_id").agg(
-        F.count(F.lit(1)).alias("tpo"),
-        F.avg("product_id").alias("pro"),
-        F.sort_array(F.collect_list("product_id")).alias("basket"),
-    ) if exact else prior_items.groupBy("user_id", "order_id").agg(
-        F.count(F.lit(1)).alias("tpo"), F.avg("product_id").alias("pro")
+def _basket_shapes(prior_items: DataFrame, *more: Column) -> DataFrame:
+    return prior_items.groupBy("user_id", "order_id").agg(
+        F.count(F.lit(1)).alias("tpo"), F.avg("product_id").alias("pro"), *more
     )
-    aggs = [
+
+
+def _shape_aggs() -> list[Column]:
+    return [
         F.avg("tpo").alias("mean_tpo"),
         F.min("tpo").alias("min_tpo"),
         F.max("tpo").alias("max_tpo"),
         F.min("pro").alias("min_pro"),
         F.max("pro").alias("max_pro"),
     ]
-    if exact:
-        aggs.append(F.count_distinct("basket").alias("n_baskets"))
-    users = per_order.groupBy("user_id").agg(*aggs)
+
+
+_SHAPE_COLS = ["user_id", "mean_tpo", "min_tpo", "max_tpo", "min_pro", "max_pro"]
+
+
+def always_same_basket_users(prior_items: DataFrame) -> DataFrame:
+    """Users whose prior baskets all look the same.
+
+    The reference's test compares basket size and the mean product id of
+    each basket (min == max over the user's baskets); equal means can
+    collide (``always_same_basket_users_exact``).  Result is sorted by mean
+    basket size, descending."""
+    users = _basket_shapes(prior_items).groupBy("user_id").agg(*_shape_aggs())
     cond = (F.col("max_tpo") == F.col("min_tpo")) & (F.col("min_pro") == F.col("max_pro"))
-    if exact:
-        cond = F.col("n_baskets") == 1
+    return users.where(cond).select(*_SHAPE_COLS).orderBy(F.col("mean_tpo").desc(), "user_id")
+
+
+def always_same_basket_users_exact(prior_items: DataFrame) -> DataFrame:
+    """Users whose prior baskets all hold the same products, each as often.
+
+    1. Every basket gets an order-free fingerprint of its multiset: size, sum
+       and exclusive or of its products' hashes.  Users whose fingerprints
+       differ are out; no basket is collected.
+    2. The few candidates are verified on their items: each product must be
+       in every order of the user with one multiplicity.
+
+    Columns and order as ``always_same_basket_users``."""
+    h = F.xxhash64("product_id")
+    marks = [F.sum(F.pmod(h, F.lit(1 << 31))).alias("_s"), F.bit_xor(h).alias("_x")]
+    same = [F.min(c) == F.max(c) for c in ("tpo", "_s", "_x")]
+    alike = F.lit(True)
+    for c in same:
+        alike = alike & c
+    users = _basket_shapes(prior_items, *marks).groupBy("user_id").agg(
+        *_shape_aggs(), F.count(F.lit(1)).alias("n_orders"), alike.alias("alike")
+    )
+    candidates = users.where("alike").select(*_SHAPE_COLS, "n_orders")
+    items = join_back(prior_items.select("user_id", "order_id", "product_id"), candidates.select("user_id"), ["user_id"], "left_semi")
+    times = items.groupBy("user_id", "product_id", "order_id").agg(F.count(F.lit(1)).alias("times"))
+    per_product = times.groupBy("user_id", "product_id").agg(
+        F.count(F.lit(1)).alias("in_orders"), F.min("times").alias("least"), F.max("times").alias("most")
+    )
+    verdict = join_back(per_product, candidates.select("user_id", "n_orders"), ["user_id"]).groupBy("user_id").agg(
+        F.bool_and((F.col("in_orders") == F.col("n_orders")) & (F.col("least") == F.col("most"))).alias("ok")
+    )
     return (
-        users.where(cond)
-        .select("user_id", "mean_tpo", "min_tpo", "max_tpo", "min_pro", "max_pro")
+        candidates.join(verdict.where("ok"), "user_id", "left_semi")
+        .select(*_SHAPE_COLS)
         .orderBy(F.col("mean_tpo").desc(), "user_id")
     )
 

@@ -134,6 +134,12 @@ def _train_items(t):
     return t.train_items.select("user_id", "order_id", "product_id", "reordered", "ordered")
 
 
+@query("train_first_bought")
+def _train_first_bought(t):
+    """The first prior order with the product of each train line."""
+    return H.first_bought(t.train_items, t.prior_items)
+
+
 @query("train_order_items")
 def _train_order_items(t):
     return D.train_order_items(t)
@@ -387,6 +393,12 @@ def _always_same(t):
     return E.always_same_basket_users(t.prior_items)
 
 
+@query("always_same_basket_users_exact")
+def _always_same_exact(t):
+    """E21 on the baskets themselves."""
+    return E.always_same_basket_users_exact(t.prior_items)
+
+
 @query("same_basket_train_reorder_rate")
 def _same_basket_rate(t):
     return E.same_basket_train_reorder_rate(t.prior_items, D.train_order_items(t))

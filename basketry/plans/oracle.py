@@ -396,6 +396,14 @@ _reg(
 _reg("product_dim", "SELECT * FROM b_product_dim", [])
 _reg("prior_items", "SELECT * FROM b_prior", ["days_since_prior_order"])
 _reg("train_items", "SELECT user_id, order_id, product_id, reordered, ordered FROM b_train", [])
+_reg(
+    "train_first_bought",
+    """SELECT t.order_id, t.user_id, t.product_id, p.order_number AS first_order_number, p.order_id AS first_order_id
+       FROM b_train t LEFT JOIN (
+         SELECT * FROM b_prior QUALIFY row_number() OVER (PARTITION BY user_id, product_id ORDER BY order_number, order_id) = 1
+       ) p ON t.user_id = p.user_id AND t.product_id = p.product_id""",
+    [],
+)
 _reg(
     "train_order_items",
     """SELECT o.*, t.product_id, t.reordered FROM b_orders o
@@ -702,6 +710,14 @@ b_same AS (
     HAVING max(tpo) = min(tpo) AND min(pro) = max(pro)
 )"""
 _reg("always_same_basket_users", _q(SAME, "SELECT * FROM b_same"), ["mean_tpo", "min_pro", "max_pro"])
+_reg(
+    "always_same_basket_users_exact",
+    """SELECT user_id, avg(tpo) AS mean_tpo, min(tpo) AS min_tpo, max(tpo) AS max_tpo, min(pro) AS min_pro, max(pro) AS max_pro
+       FROM (SELECT user_id, order_id, count(*) AS tpo, avg(product_id) AS pro, list(product_id ORDER BY product_id) AS basket
+             FROM b_prior GROUP BY user_id, order_id)
+       GROUP BY user_id HAVING count(DISTINCT basket) = 1""",
+    ["mean_tpo", "min_pro", "max_pro"],
+)
 _reg(
     "same_basket_train_reorder_rate",
     _q(

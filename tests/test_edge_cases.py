@@ -143,7 +143,7 @@ def test_same_basket_heuristic_vs_exact(spark):
                (3, 3, 1, 0), (3, 7, 2, 0), (4, 3, 1, 1), (4, 7, 2, 1)],
     )
     heuristic = {r.user_id for r in E.always_same_basket_users(t.prior_items).collect()}
-    exact = {r.user_id for r in E.always_same_basket_users(t.prior_items, exact=True).collect()}
+    exact = {r.user_id for r in E.always_same_basket_users_exact(t.prior_items).collect()}
     assert heuristic == {1, 2} and exact == {2}
 
 
