@@ -38,6 +38,7 @@ def test_every_query_has_oracle_or_is_rows_only():
         "model_logloss",
         "model_cv",
         "submission_model",
+        "submission_tuning",
     }
     assert set(SQLS) <= set(entry_mod.queries())
 
