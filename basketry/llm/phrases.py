@@ -15,10 +15,14 @@ Before ROLLUP, windows are shortened where that cannot change a count of
 * After windows are dealt by their first two words, a window whose prefix of
   k words has fewer than ``least`` occurrences ends before its k-th word
   (``shortened``).  The prefix counts are whole there, as all windows of a pair
-  are in one place.  Pairs of two hot words (over one word in ``Sizes.hot`` of
-  the corpus, at most that many words in all) are dealt by the third word too;
-  they are never shortened to one word, and their longer prefixes are whole as
-  well.  So what one place gets is a small fixed share of all windows.
+  are in one place.  Hot pairs are dealt by the third word too; they are never
+  shortened to one word, and their longer prefixes are whole as well.  So what
+  one place gets is a small fixed share of all windows.
+
+A pair is hot if it is over one in ``Sizes.hot`` of all pairs, counted in the
+blocks of text where it is over one in so many.  Pairs of twice that share are
+among them, as they are so frequent in some block and lose less than half by
+the others; and there are at most ``Sizes.hot``.
 
 Windows are dealt packed: one row for each pair of first words and block of
 texts, with the third and fourth words and their counts as lines of text.
@@ -53,9 +57,9 @@ class Sizes:
 
     #: Bits of the filter of frequent words (8 MB).
     bits: int = 1 << 26
-    #: A word is hot if it is over one in so many of all words.
-    hot: int = 20_000
-    #: Reducers that share the windows of a pair of hot words.
+    #: A pair of words is hot if it is over one in so many.
+    hot: int = 5_000
+    #: Reducers that share the windows of a hot pair.
     salts: int = 64
     #: Bytes of text whose words or windows are counted together.
     block: int = 12 << 20
@@ -105,13 +109,19 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
 
 
 def count_words(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    """lang, word, n over all texts."""
+    """lang, word, n over all texts; and of the pairs of words, joined by a
+    space, those that are hot in a block, with their number in such blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in blocks(batches, sizes.block):
             ids, words = split_words(texts)
             n = np.bincount(ids, minlength=len(words))[1:]
-            cols = [pa.array([lang] * len(n), pa.string()), pa.array(words[1:], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
+            both = (ids[:-1] > 0) & (ids[1:] > 0)
+            pairs, many = np.unique(ids[:-1][both].astype(np.int64) << 32 | ids[1:][both], return_counts=True)
+            hot = many * sizes.hot > both.sum()
+            found = words[1:] + [words[p >> 32] + b" " + words[p & (1 << 32) - 1] for p in pairs[hot].tolist()]
+            n = np.append(n, many[hot])
+            cols = [pa.array([lang] * len(n), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "word", "n"])
 
     local = docs.mapInArrow(run, "lang string, word string, n long")
@@ -163,13 +173,13 @@ PACKED = "lang string, w1 string, w2 string, salt int, n long, tails string"
 BITS = 24
 
 
-def windows(docs: DataFrame, bits, hot: set[tuple[str, str]], sizes: Sizes = Sizes()) -> DataFrame:
+def windows(docs: DataFrame, bits, hot: set[tuple[str, str, str]], sizes: Sizes = Sizes()) -> DataFrame:
     """The padded longest windows of all texts, cut at words that the broadcast
     filter ``bits`` does not know, as each block counts them: a row for each
     pair of first words, with ``n`` windows, and in ``tails`` a line for each
-    different rest: third word, fourth word (empty if padded), count.  Pairs of
-    ``hot`` words have a row for each salt of the third word.  Windows that
-    start with an unknown word keep no word and count all the same."""
+    different rest: third word, fourth word (empty if padded), count.  ``hot``
+    pairs have a row for each salt of the third word.  Windows that start with
+    an unknown word keep no word and count all the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
@@ -181,7 +191,7 @@ def windows(docs: DataFrame, bits, hot: set[tuple[str, str]], sizes: Sizes = Siz
             # 0 ends a window; frequent words are numbered from 1, in order of their bytes
             own = sorted(w for w, keep in zip(words[1:], has[1:].tolist()) if keep)
             rank = {w: i + 1 for i, w in enumerate(own)}
-            of = np.array([0, *(rank.get(w, 0) for w in words[1:])], np.int64)
+            of = np.array([0, *(rank.get(w, 0) for w in words[1:])], np.int32)
             first = of[ids]
             alone = int(((ids > 0) & (first == 0)).sum())
             yield pa.RecordBatch.from_arrays(
@@ -190,13 +200,15 @@ def windows(docs: DataFrame, bits, hot: set[tuple[str, str]], sizes: Sizes = Siz
             )
             cols, lead = [first], first
             for _ in range(ORDER - 1):
-                lead = np.append(lead[1:], 0)
+                lead = np.append(lead[1:], np.int32(0))
                 cols.append(np.where(cols[-1] > 0, lead, 0))
-            c1, c2, c3, c4 = (c[first > 0] for c in cols)
-            is_hot = np.array([False, *((lang, w.decode()) in hot for w in own)])
+            c1, c2, c3, c4 = (c[first > 0].astype(np.int64) for c in cols)
+            del ids, first, lead, cols, at
+            pair, rest = c1 << BITS | c2, c3 << BITS | c4
+            hots = [rank[a.encode()] << BITS | rank[z.encode()] for g, a, z in hot if g == lang and a.encode() in rank and z.encode() in rank]
             salts = np.array([zlib.crc32(w) % sizes.salts + 1 for w in [b"", *own]])
-            pair = c1 << BITS | c2
-            rest = np.where(is_hot[c1] & is_hot[c2], salts[c3], 0) << 2 * BITS | c3 << BITS | c4
+            rest |= np.where(np.isin(pair, hots), salts[c3], 0) << 2 * BITS
+            del c1, c2, c3, c4
             order = np.lexsort((rest, pair))
             pair, rest = pair[order], rest[order]
             starts = changes(pair, rest)
@@ -325,10 +337,11 @@ def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "la
     spark = df.sparkSession
     docs = df.select(F.coalesce(quoted(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), quoted(text).alias("text"))
     vocabulary = written(count_words(docs, sizes), "phrase-words")
-    every = vocabulary.agg(F.sum("n")).first()[0] or 0
-    bits = spark.sparkContext.broadcast(word_filter(vocabulary.where(F.col("n") >= least), sizes))
-    # fewer than sizes.hot words can be hot
-    hot = {(r["lang"], r["word"]) for r in vocabulary.where(F.col("n") * sizes.hot > every).collect()}
+    is_pair = F.col("word").contains(" ")
+    every = vocabulary.where(~is_pair).agg(F.sum("n")).first()[0] or 0
+    bits = spark.sparkContext.broadcast(word_filter(vocabulary.where(~is_pair & (F.col("n") >= least)), sizes))
+    # at most sizes.hot pairs, as there are no more pairs than words
+    hot = {(r["lang"], *r["word"].split(" ")) for r in vocabulary.where(is_pair & (F.col("n") * sizes.hot > every)).collect()}
     rolled = (
         shortened(windows(docs, bits, hot, sizes), least, sizes)
         .groupBy("lang", *WORDS)
