@@ -3,15 +3,17 @@
 A shard holds the ids of consecutive documents.  Its file keeps the ids as
 one bit plane per bit, from the highest: plane by plane, the ids are ordered
 stably by the bits before, zeros first.  With the number of ones before each
-block of ``BLOCK`` bits, ``rank`` takes one lookup and one popcount, and
-``select`` a binary search, so the file answers, without being unpacked:
+block of ``BLOCK`` bits, which the file holds too, ``rank`` takes one lookup
+and one popcount, and ``select`` a binary search.  Opening a file inflates its
+planes; from these it answers without unpacking the ids:
 
 * ``access(i)``: the i-th id,
 * ``count(id, stop)``: how often an id occurs before a position,
 * ``find(id, k)``: where its k-th occurrence is.
 
-File: ``HEADER`` (magic, documents, ids, planes), then parts, each with its length and zlib-compressed: the doc_ids, their ends, the
-zeros of each plane, and each plane's bits (its ranks follow from them).
+File: ``HEADER`` (magic, documents, ids, planes), then parts, each with its
+length and zlib-compressed: the doc_ids, their ends, the zeros of each plane,
+each plane's bits, and each plane's ones before every block.
 
 Files go through ``pyarrow.fs`` to the folder's own store.  A task writes
 under a name of its own and then renames, so a task that is run again, or
@@ -20,6 +22,7 @@ twice at once, leaves the same whole file.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import uuid
@@ -30,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,22 +41,32 @@ from pyspark.sql import functions as F
 from basketry.llm.bpe import byte_letters
 from basketry.llm.common import Recent, quoted, shared_path, written
 
-MAGIC = b"WMTX0001"
+MAGIC = b"WMTX0002"
 HEADER = struct.Struct("<8sQQI")
 BLOCK = 512
 #: Characters of text that a shard holds, about; bounds a task's memory.
 SHARD_CHARS = 16_000_000
+#: Files whose ids are summed in one window; another one has a row a run.
+RUN_FILES = 4096
 #: Pieces of text whose ids a Python worker keeps, and how long they may be.
 CACHE_PIECES, SHORT = 1_000_000, 64
 PART = "\x01"
+#: White space that parts pieces, as one sign.
+SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Characters of text that are encoded together.
+BLOCK_CHARS = 8 << 20
+#: Signs of ASCII that end a word of letters (an apostrophe can be part of one),
+#: and the words of pieces of ASCII, as the vocabulary splits them.
+SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WaveletMatrix:
     """Rank and select over bit planes."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray]):
+    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray] | None = None):
         self.n, self.zeros, self.planes = n, zeros, planes  # planes: packed bits, lowest first
-        self._ranks: dict[int, np.ndarray] = {}
+        self.ranks = [self._ones_before(p) for p in planes] if ranks is None else ranks
 
     @classmethod
     def of(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
@@ -62,7 +76,7 @@ class WaveletMatrix:
             bits = now & kind(1 << level) != 0
             planes.append(np.packbits(bits, bitorder="little"))
             zeros.append(int(len(now) - np.count_nonzero(bits)))
-            now = np.concatenate([now[~bits], now[bits]])
+            now = np.concatenate([now.compress(~bits), now.compress(bits)])
         return cls(len(now), zeros, planes)
 
     def _bits(self, level: int) -> np.ndarray:
@@ -75,24 +89,23 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             bits = self._bits(level)
             before = np.empty(self.n, kind)
-            before[~bits] = now[: self.zeros[level]]
-            before[bits] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~bits)] = now[: self.zeros[level]]
+            before[np.flatnonzero(bits)] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             now = before
         return now.astype(np.uint32)
 
-    def _blocks(self, level: int) -> np.ndarray:
-        if level not in self._ranks:
-            ones = np.bitwise_count(self.planes[level]).astype(np.int64)
-            size = BLOCK // 8
-            sums = np.add.reduceat(ones, np.arange(0, len(ones), size)) if len(ones) else np.zeros(0, np.int64)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(sums)])
-        return self._ranks[level]
+    @staticmethod
+    def _ones_before(plane: np.ndarray) -> np.ndarray:
+        """Ones before each block of a plane, and in all."""
+        ones = np.bitwise_count(plane).astype(np.int64)
+        sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8)) if len(ones) else np.zeros(0, np.int64)
+        return np.concatenate([[0], np.cumsum(sums)])
 
     def rank(self, level: int, bit: int, stop: int) -> int:
         """Bits of this value before ``stop``."""
         block = stop // BLOCK
         plane, at = self.planes[level], block * BLOCK // 8
-        ones = int(self._blocks(level)[block]) + int(np.bitwise_count(plane[at : stop // 8]).sum())
+        ones = int(self.ranks[level][block]) + int(np.bitwise_count(plane[at : stop // 8]).sum())
         if stop % 8:
             ones += (int(plane[stop // 8]) & (1 << stop % 8) - 1).bit_count()
         return ones if bit else stop - ones
@@ -151,6 +164,7 @@ def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, width: int) ->
     """One shard's file."""
     matrix = WaveletMatrix.of(ids, width)
     parts = [doc_ids.astype("<i8").tobytes(), ends.astype("<u8").tobytes(), np.array(matrix.zeros, "<u8").tobytes(), *(p.tobytes() for p in matrix.planes)]
+    parts += [r.astype("<i8").tobytes() for r in matrix.ranks]
     packed = [zlib.compress(p, 1) for p in parts]
     return HEADER.pack(MAGIC, len(doc_ids), len(ids), width) + b"".join(struct.pack("<Q", len(p)) + p for p in packed)
 
@@ -165,10 +179,11 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
         (size,) = struct.unpack_from("<Q", raw, at)
         parts.append(zlib.decompress(raw[at + 8 : at + 8 + size]))
         at += 8 + size
-    if len(parts) != 3 + width or at != len(raw):
+    if len(parts) != 3 + 2 * width or at != len(raw):
         raise ValueError("a shard of token ids is cut short")
     doc_ids, ends, zeros = (np.frombuffer(p, t) for p, t in zip(parts, ("<i8", "<u8", "<u8")))
-    return doc_ids, ends.astype(np.int64), WaveletMatrix(n, zeros.tolist(), [np.frombuffer(p, np.uint8) for p in parts[3:]])
+    planes, ranks = ([np.frombuffer(p, t) for p in cut] for cut, t in ((parts[3 : 3 + width], np.uint8), (parts[3 + width :], "<i8")))
+    return doc_ids, ends.astype(np.int64), WaveletMatrix(n, zeros.tolist(), planes, ranks)
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -217,33 +232,39 @@ class Encoder:
         if len(mark) != 1:
             raise ValueError("this vocabulary has no sign that parts words")
         self.mark, self.model = mark[0], self.lib.model
-        self.signs = {c.encode(): np.array(self.lib.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
+        self.runs = Recent(CACHE_PIECES // 4)
         self.byte_letters = {b: c for c, b in byte_letters().items()}
 
-    def _word(self, piece: bytes) -> str | None:
-        """The piece as the vocabulary's model sees it, if it is one word that
-        the normalizer leaves alone: letters, composed, in lower case."""
+    @staticmethod
+    def _word(piece: bytes) -> bool:
+        """Whether the piece is one word that the normalizer leaves alone:
+        letters, composed, in lower case."""
         word = piece.decode()
-        if not word.isalpha():
-            return None
-        if word.isascii():
-            return word if word.islower() else None
-        if word != word.lower() or not unicodedata.is_normalized("NFC", word):
-            return None
-        return piece.decode("latin-1").translate(self.byte_letters)
-
-    def _known(self, piece: bytes) -> bytes | None:
-        """The ids of one word, or of one and a full stop or comma, which is
-        a word of its own after a letter."""
-        sign = self.signs.get(piece[-1:])
-        if sign is not None:
-            piece = piece[:-1]
-            if (ids := self.seen.get(piece)) is not None and piece.decode().isalpha():
-                return ids + sign
-        if not piece or (word := self._word(piece)) is None:
-            return None
-        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return ids + sign if sign else ids
+        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+    def _run(self, run: bytes) -> bytes:
+        """The ids of one word of the vocabulary's splitting rule, by its model."""
+        ids = self.runs.get(run) or self.runs.old.get(run)
+        if ids is None:
+            word = run.decode() if run.isascii() and run.isalpha() else run.decode("latin-1").translate(self.byte_letters)
+            ids = self.runs.keep(run, array("I", [t.id for t in self.model.tokenize(word)]).tobytes())
+        return ids
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """Learn the pieces whose words are plain to see: letters, then signs
+        or none; or ASCII, where letters, each digit, and what is neither are
+        words.  Returns the others."""
+        others, run = [], self._run
+        for p in pieces:
+            word = p.rstrip(SIGNS)
+            tail = p[len(word) :]
+            if (word.isalpha() and word.islower()) if word.isascii() else self._word(word):
+                self.seen[p] = run(word) + run(tail) if tail else run(word)
+            elif p.isascii() and b"'" not in p and p == p.lower() and b"<|" not in p:
+                self.seen[p] = b"".join(map(run, RUNS.findall(p)))
+            else:
+                others.append(p)
+        return others
 
     def _together(self, pieces: list[bytes]) -> None:
         """Encode pieces without PART or added tokens by the whole library."""
@@ -255,33 +276,42 @@ class Encoder:
         raw, cuts = ids.tobytes(), (4 * stops).tolist()
         self.seen.update(zip(pieces, [raw[x:y] for x, y in zip([0, *(x + 4 for x in cuts[:-1])], cuts)]))
 
-    def packed(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as 32-bit integers."""
-        cut = [plain(t or "").split() for t in texts]
-        get = self.seen.get
-        found = [list(map(get, pieces)) for pieces in cut]
-        new: set[bytes] = set()
-        lacking = [k for k, ids in enumerate(found) if None in ids]
-        for k in lacking:
-            new.update([p for p, ids in zip(cut[k], found[k]) if ids is None])
-        new = self.seen.lacking(new)
+    def _learn(self, pieces: set[bytes]) -> list[bytes]:
+        """Ids of new pieces into the table; returns those too long to stay."""
+        new = self.seen.lacking(pieces)
         others, odd = [], []
-        for p in sorted(new, key=len):
-            if (ids := self._known(p)) is not None:
-                self.seen[p] = ids
-            else:
-                (odd if PART.encode() in p or b"<|" in p else others).append(p)
+        for p in self._known(list(new)):
+            (odd if PART.encode() in p or b"<|" in p else others).append(p)
+        others.sort()
         for a in range(0, len(others), 4096):
             self._together(others[a : a + 4096])
         for p in odd:
             self.seen[p] = np.array(self.lib.encode(p.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-        for k in lacking:
-            found[k] = [self.seen[p] if ids is None else ids for p, ids in zip(cut[k], found[k])]
-        out = [b"".join(ids) for ids in found]
-        for p in new:
-            if len(p) > SHORT:
-                del self.seen[p]
-        return out
+        return [p for p in new if len(p) > SHORT]
+
+    def packed(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after the other, each text's closed by
+        ``end_id``, and where each one ends."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # A line feed, which is in no piece, marks the end of a text.
+        flat = b"".join([plain(t or "").translate(SPACE) + b" \n " for t in texts])
+        coded = pc.split_pattern(pa.array([flat], pa.large_binary()), b" ").flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        own = {b"": b"", b"\n": np.uint32(end_id).tobytes()}
+        long = self._learn(set(pieces).difference(own))
+        get = self.seen.__getitem__
+        raw = [own[p] if p in own else get(p) for p in pieces]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids = np.frombuffer(b"".join(raw), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        count = sizes[at]
+        stops = np.cumsum(count)
+        out = ids[np.repeat(starts[at] - stops + count, count) + np.arange(stops[-1])]
+        for p in long:
+            del self.seen[p]
+        return out, stops[at == pieces.index(b"\n")]
 
 
 @lru_cache(maxsize=1)
@@ -295,17 +325,20 @@ def write_shards(df: DataFrame, vocab: str, end_id: int, folder: str, doc_id: st
     ``folder``.  Returns (shard, name, docs, tokens), one row a file.
 
     A null text is empty: its document has the end id only.  Rows of one id
-    follow each other, those without an id come first under the id -2^63 (an
-    id of that value is not told from it).  No rows give no files."""
+    follow each other in the order of a hash of their texts, by which files
+    part them too, so one id with many rows is many files; those without an id
+    come first under the id -2^63 (an id of that value is not told from it).
+    No rows give no files."""
     spark = df.sparkSession
     docs = df.select(F.coalesce(quoted(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), quoted(text).alias("text"))
     chars = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // shard_chars))
-    dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(vocab), None
-        doc_ids, sizes, parts, last = [], [], [], np.uint32(end_id).tobytes()
+        doc_ids, ends, parts, size = [], [], [], 0
         for b in batches:
             if not len(b):
                 continue
@@ -313,21 +346,22 @@ def write_shards(df: DataFrame, vocab: str, end_id: int, folder: str, doc_id: st
             doc_ids.append(b.column(1).to_numpy())
             texts, at = b.column(2), 0
             while at < len(texts):
-                block, size = [], 0
-                while at < len(texts) and (not block or size < 1 << 20):
+                block, chars = [], 0
+                while at < len(texts) and (not block or chars < BLOCK_CHARS):
                     block.append(texts[at].as_py())
-                    size += len(block[-1] or "")
+                    chars += len(block[-1] or "")
                     at += 1
-                for raw in encode.packed(block):
-                    parts += [raw, last]
-                    sizes.append(len(raw) // 4 + 1)
+                ids, stops = encode.packed(block, end_id)
+                parts.append(ids)
+                ends.append(stops + size)
+                size += len(ids)
         if shard is None:
             return
-        ids, ends = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes)
+        ids, stops = np.concatenate(parts), np.concatenate(ends)
         name = f"shard-{shard:06d}.wm"
-        save(folder, name, pack(np.concatenate(doc_ids), ends, ids, encode.width))
+        save(folder, name, pack(np.concatenate(doc_ids), stops, ids, encode.width))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([len(ids)], pa.int64())],
+            [pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(stops)], pa.int64()), pa.array([len(ids)], pa.int64())],
             names=["shard", "name", "docs", "tokens"],
         )
 
@@ -338,8 +372,13 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
     """Per document, read back from the files: doc_id, start (ids of all
     documents before it), n_tokens, ids_crc32 (of its ids as little-endian
     32-bit integers).  One task reads whole files, one after the other."""
-    # One row a file: what stands before each is a running sum over few rows.
-    starts = files.withColumn("base", F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens"))
+    # What stands before each file: running sums in runs of files, and over the runs.
+    of = F.expr(f"shard div {RUN_FILES}")
+    runs = files.groupBy(of.alias("run")).agg(F.sum("tokens").alias("all"))
+    before = runs.select(F.col("run").alias("of"), (F.sum("all").over(Window.orderBy("run")) - F.col("all")).alias("before"))
+    inner = F.sum("tokens").over(Window.partitionBy("run").orderBy("shard")) - F.col("tokens")
+    starts = files.withColumn("run", of).withColumn("inner", inner).join(before, F.col("run") == F.col("of"))
+    starts = starts.withColumn("base", F.col("before") + F.col("inner"))
     width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from basketry.llm import wavelet as W
@@ -43,8 +44,13 @@ def test_ids_are_the_library_s():
     letters = [*" \n\t\x1c\x1f\x85\xa0 ​　aAbB'ßÉéŠİſΣς1²½٣,.!<|>_́̈가각ㄱ", "ing", " the", "<|endoftext|>", "<|startoftext|>"]
     texts = ["", None, "  ", "x" * 5000, "The The the THE", "<|ENDOFTEXT|> A", "J\u030c T\u0308. W\u030aX", "a., b.. c,. d.e ,f é, é. it's. I'LL, x.\n", "Ab.", "a.\x1f,"] + ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(4000)]
     texts += ["éöüß ñandú şehir дом ΣΑΣ σας ſtein ﬁne Ǆ ǆ ﬀ", "가각 각 k\u0307", "ªº ʰa ⅷ Ⅷ"]
-    for got, text in zip(mine.packed(texts), texts):
-        assert np.frombuffer(got, np.uint32).tolist() == lib_ids(text), repr(text)
+    texts += ["a!! b?! (c) d_e [f]* 12ab34 x#$%y", "é!? ß... ñ)* É! ö'", "a\x01b \x02 \x00!", "can't! it's, 'tis"]
+    for part in (texts, texts[:1], texts[::-1]):
+        ids, ends = mine.packed(part, 7)
+        assert len(ends) == len(part)
+        for got, text in zip(np.split(ids, ends)[:-1], part):
+            assert got.tolist() == [*lib_ids(text), 7], repr(text)
+    assert [len(x) for x in mine.packed([], 7)] == [0, 0]
 
 
 def test_files_in_order(spark):
@@ -55,13 +61,33 @@ def test_files_in_order(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, START int")
     got = [tuple(r) for r in W.store_and_read(df, VOCAB).orderBy("start").collect()]
     start, want = 0, []
-    for doc, text, _ in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])):
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    for doc, text, _ in sorted(rows, key=lambda r: (r[0], hashes[r[1]])):
         ids = np.array([*lib_ids(text), 1], "<u4")
         want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
 
 
+def test_one_id_with_a_third_of_the_rows_is_many_files(spark, tmp_path):
+    rows = [(5 if i % 3 else i, f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = W.write_shards(df, VOCAB, 1, str(tmp_path))
+    docs = files.collect()
+    assert sum(r.docs for r in docs) == 900 and max(r.docs for r in docs) < 400
+    read = W.read_shards(files, str(tmp_path)).orderBy("start").collect()
+    ids = [r.doc_id for r in read]
+    assert ids == sorted(d for d, _ in rows) and sum(1 for r in docs if 5 in W.unpack(W.load(str(tmp_path), r.name))[0]) > 2
+
+
+def test_starts_over_many_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(W, "RUN_FILES", 2)
+    rows = [(i, "a b c " * (i % 4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    read = W.read_shards(W.write_shards(df, VOCAB, 1, str(tmp_path)), str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.start for r in read] == [sum(x.n_tokens for x in read[:i]) for i in range(60)]
+
+
 def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a"), (2, "b")], "doc_id long, text string")
     got = [(r.doc_id, r.start) for r in W.store_and_read(df, VOCAB).orderBy("start").collect()]
