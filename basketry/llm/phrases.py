@@ -12,26 +12,26 @@ Before ROLLUP, windows are shortened where that cannot change a count of
   candidate and in no part of one: the window ends there.  Workers test words
   against a Bloom filter of the frequent ones, of a fixed size; words that it
   lets through by mistake only cost time.
-* After windows are dealt by their first two words, a window whose prefix of
-  k words has fewer than ``least`` occurrences ends before its k-th word
-  (``shortened``).  The prefix counts are whole there, as all windows of a pair
-  are in one place.  Hot pairs are dealt by the third word too; they are never
-  shortened to one word, and their longer prefixes are whole as well.  So what
-  one place gets is a small fixed share of all windows.
+* Windows are dealt to buckets by a hash of their first two words.  There a
+  window whose prefix of k words has fewer than ``least`` occurrences ends
+  before its k-th word (``shortened``).  The prefix counts are whole, as all
+  windows of a pair are in one bucket.  Hot pairs are dealt by the third word
+  too; they are never shortened to one word, and their longer prefixes are
+  whole as well.  So what one bucket gets is a small fixed share of all windows.
 
 A pair is hot if it is over one in ``Sizes.hot`` of all pairs, counted in the
 blocks of text where it is over one in so many.  Pairs of twice that share are
 among them, as they are so frequent in some block and lose less than half by
 the others; and there are at most ``Sizes.hot``.
 
-Windows are dealt packed: one row for each pair of first words and block of
-texts, with the third and fourth words and their counts as lines of text.
+Windows are dealt packed: one row for each bucket and block of texts, with the
+four words and the count of each different window, sorted and compressed.  The
+number of buckets follows from the count of words.
 Tasks count equal windows of a block of texts before any shuffle.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +60,10 @@ class Sizes:
     bits: int = 1 << 26
     #: A pair of words is hot if it is over one in so many.
     hot: int = 5_000
-    #: Reducers that share the windows of a hot pair.
-    salts: int = 64
     #: Bytes of text whose words or windows are counted together.
     block: int = 12 << 20
-    #: Packed rows that are unpacked together, and at least the rows of a pair.
-    chunk: int = 100_000
+    #: Words of the corpus for each bucket.
+    bucket: int = 1_000_000
 
 
 #: Bytes: A-Z in lower case, tab as space, all marks that end a piece as ".".
@@ -168,22 +167,30 @@ def changes(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-PACKED = "lang string, w1 string, w2 string, salt int, n long, tails string"
+PACKED = "lang string, bucket int, fields binary"
 #: Numbers of words within a block fit into so many bits.
 BITS = 24
+#: Fields of a packed window: the words, empty where padded, and the count.
+FIELDS = ORDER + 1
+HALF = (1 << 32) - 1
 
 
-def windows(docs: DataFrame, bits, hot: set[tuple[str, str, str]], sizes: Sizes = Sizes()) -> DataFrame:
+def bucket_of(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, hashes: np.ndarray, is_hot: np.ndarray, buckets: int) -> np.ndarray:
+    """By the hashes of the first two words, and of the third for hot pairs."""
+    mixed = hashes[c1] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[c2] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= np.where(is_hot, hashes[c3] * np.uint64(0x165667B19E3779F9), np.uint64(0))
+    return ((mixed >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
+
+
+def windows(docs: DataFrame, bits, hot: set[tuple[str, str, str]], buckets: int, sizes: Sizes = Sizes()) -> DataFrame:
     """The padded longest windows of all texts, cut at words that the broadcast
     filter ``bits`` does not know, as each block counts them: a row for each
-    pair of first words, with ``n`` windows, and in ``tails`` a line for each
-    different rest: third word, fourth word (empty if padded), count.  ``hot``
-    pairs have a row for each salt of the third word.  Windows that start with
-    an unknown word keep no word and count all the same."""
+    bucket with, compressed, the ``FIELDS`` of each different window, parted by
+    spaces.  Windows that start with an unknown word keep no word and count all
+    the same, in a row of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
-        names = [f.split()[0] for f in PACKED.split(", ")]
+        known, seal = bits.value, zstandard.ZstdCompressor(level=3).compress
         for lang, texts in blocks(batches, sizes.block):
             ids, words = split_words(texts)
             at = places(lang, words, sizes.bits)
@@ -194,10 +201,6 @@ def windows(docs: DataFrame, bits, hot: set[tuple[str, str, str]], sizes: Sizes
             of = np.array([0, *(rank.get(w, 0) for w in words[1:])], np.int32)
             first = of[ids]
             alone = int(((ids > 0) & (first == 0)).sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]), *[pa.array([None], pa.string())] * 2, pa.array([0], pa.int32()), pa.array([alone], pa.int64()), pa.array([None], pa.string())],
-                names=names,
-            )
             cols, lead = [first], first
             for _ in range(ORDER - 1):
                 lead = np.append(lead[1:], np.int32(0))
@@ -206,128 +209,86 @@ def windows(docs: DataFrame, bits, hot: set[tuple[str, str, str]], sizes: Sizes
             del ids, first, lead, cols, at
             pair, rest = c1 << BITS | c2, c3 << BITS | c4
             hots = [rank[a.encode()] << BITS | rank[z.encode()] for g, a, z in hot if g == lang and a.encode() in rank and z.encode() in rank]
-            salts = np.array([zlib.crc32(w) % sizes.salts + 1 for w in [b"", *own]])
-            rest |= np.where(np.isin(pair, hots), salts[c3], 0) << 2 * BITS
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in [b"", *own]), np.uint64, len(own) + 1)
+            bucket = bucket_of(c1, c2, c3, hashes, np.isin(pair, hots), buckets)
             del c1, c2, c3, c4
-            order = np.lexsort((rest, pair))
-            pair, rest = pair[order], rest[order]
-            starts = changes(pair, rest)
+            order = np.lexsort((rest, pair, bucket))
+            pair, rest, bucket = pair[order], rest[order], bucket[order]
+            starts = changes(bucket, pair, rest)
             n = np.diff(np.append(starts, len(pair)))
-            pair, rest = pair[starts], rest[starts]
-            c3, c4, salt = rest >> BITS & (1 << BITS) - 1, rest & (1 << BITS) - 1, rest >> 2 * BITS
-            texts_of = pa.array([b"", *own], pa.binary()).cast(pa.string())
-            lines = pc.binary_join_element_wise(texts_of.take(pa.array(c3)), texts_of.take(pa.array(c4)), pa.array(n).cast(pa.string()), " ")
-            heads = changes(pair, salt)
-            tails = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, len(lines)), pa.int32()), lines), "\n")
-            total, c1, c2 = sums(n, heads), pair[heads] >> BITS, pair[heads] & (1 << BITS) - 1
-            whole = pa.array(c2 > 0)
-            second = pc.if_else(whole, texts_of.take(pa.array(c2)), pa.scalar(None, pa.string()))
-            tails = pc.if_else(whole, tails, pa.scalar(None, pa.string()))
-            made = [pa.array([lang] * len(heads), pa.string()), texts_of.take(pa.array(c1)), second, pa.array(salt[heads].astype(np.int32)), pa.array(total), tails]
-            yield from pa.Table.from_arrays(made, names=names).to_batches(max_chunksize=1 << 15)
+            pair, rest, bucket = pair[starts], rest[starts], bucket[starts]
+            texts_of = pa.array([b"", *own], pa.binary())
+            four = [texts_of.take(pa.array(c)) for key in (pair, rest) for c in (key >> BITS, key & (1 << BITS) - 1)]
+            lines = pc.binary_join_element_wise(*four, pa.array(n).cast(pa.string()).cast(pa.binary()), b" ")
+            heads = changes(bucket)
+            rows = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(heads, len(lines))), lines.cast(pa.large_binary())), pa.scalar(b" ", pa.large_binary()))
+            packed = [seal(r.as_buffer()) for r in rows]
+            empty = seal(b" " * ORDER + str(alone).encode())
+            made = [pa.array([lang] * (len(heads) + 1)), pa.array([alone % buckets, *bucket[heads].tolist()], pa.int32()), pa.array([empty, *packed], pa.binary())]
+            yield from pa.Table.from_arrays(made, names=["lang", "bucket", "fields"]).to_batches(max_chunksize=1 << 10)
 
     return docs.mapInArrow(run, PACKED)
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    coded = column.dictionary_encode()
-    return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def unpacked(rows: pa.Table, least: int) -> pa.Table:
-    """The windows of packed rows that are sorted by pair and salt, with all of
-    each pair and salt, ended where a prefix has fewer than ``least``
-    occurrences: lang, w1..w4, n."""
-    rows = rows.combine_chunks()
-    lang, w1, w2, salt, n, tails = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
-    salt, n = salt.to_numpy(), n.to_numpy()
-    code_l, code_1, code_2 = map(_codes, (lang, w1, w2))
-    heads = changes(code_l, code_1, code_2, salt)
-    group = np.zeros(len(n), np.int64)
-    group[heads[1:]] = 1
-    group = group.cumsum()
-    go = ((sums(n, heads) >= least) | (salt[heads] > 0)) & (code_2[heads] >= 0)
-
-    # Pairs that end after the first word, together.
-    ones = changes(code_l, code_1)
-    single = sums(np.where(go[group], 0, n), ones)
-    parts = [(ones[single > 0], None, None, None, single[single > 0])]
-
-    # All others by their lines.
-    open_ = go[group]
-    lists = pc.split_pattern(tails.filter(pa.array(open_)), "\n")
-    of = group[open_][pc.list_parent_indices(lists).to_numpy()] if len(lists) else np.zeros(0, np.int64)
-    fields = pc.split_pattern(lists.flatten(), " ").flatten()
-    third, fourth, m = (fields.take(pa.array(np.arange(k, len(fields), 3))) for k in range(3))
-    third, fourth = third.dictionary_encode(), fourth.dictionary_encode()
-    key = of << 32 | third.indices.to_numpy().astype(np.int64)
-    last = fourth.indices.to_numpy().astype(np.int64)
-    m = m.cast(pa.int64()).to_numpy()
-    order = np.lexsort((last, key))
-    key, last, m = key[order], last[order], m[order]
-    starts = changes(key, last) if len(key) else np.zeros(0, np.int64)
-    m, key, last = sums(m, starts), key[starts], last[starts]
-    threes = changes(key) if len(key) else np.zeros(0, np.int64)
-    width = np.diff(np.append(threes, len(key)))
-    filled3 = np.array([x != "" for x in third.dictionary.to_pylist()], bool)
-    filled4 = np.array([x != "" for x in fourth.dictionary.to_pylist()], bool)
-    no3 = key & (1 << 32) - 1
-    enough3 = (sums(m, threes) >= least) & filled3[no3[threes]]
-    three = np.repeat(enough3, width)
-    four = three & (m >= least) & filled4[last]
-    parts.append((heads[key[four] >> 32], True, no3[four], last[four], m[four]))
-    rest = sums(np.where(four, 0, m), threes)
-    keep = enough3 & (rest > 0)
-    parts.append((heads[key[threes[keep]] >> 32], True, no3[threes[keep]], None, rest[keep]))
-    short = np.bincount(key >> 32, np.where(three, 0, m), len(heads)).astype(np.int64)
-    parts.append((heads[short > 0], True, None, None, short[short > 0]))
-
-    tables = []
-    for at, two, x3, x4, count in parts:
-        none = pa.nulls(len(at), pa.string())
-        take = lambda texts: texts.take(pa.array(at))
-        tables.append(
-            pa.Table.from_arrays(
-                [
-                    take(lang),
-                    take(w1),
-                    take(w2) if two else none,
-                    none if x3 is None else third.dictionary.take(pa.array(x3)),
-                    none if x4 is None else fourth.dictionary.take(pa.array(x4)),
-                    pa.array(count, pa.int64()),
-                ],
-                names=["lang", *WORDS, "n"],
-            )
-        )
-    return pa.concat_tables(tables)
-
-
-def shortened(packed: DataFrame, least: int, sizes: Sizes) -> DataFrame:
+def unpacked(lang: str, packed: list[bytes], hot: set[tuple[str, str, str]], least: int) -> pa.Table:
+    """The windows of all rows of a language and bucket together, ended where a
+    prefix has fewer than ``least`` occurrences: lang, w1..w4, n."""
+    load = zstandard.ZstdDecompressor().decompress
+    flat = b" ".join([load(p) for p in packed])
+    coded = pc.split_pattern(pa.array([flat], pa.large_binary()), b" ").flatten().dictionary_encode()
+    del flat
+    known = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False).reshape(-1, FIELDS)
+    counts = np.zeros(len(known), np.int64)
+    for c in np.unique(codes[:, ORDER]).tolist():
+        counts[c] = int(known[c])
+    n = counts[codes[:, ORDER]]
+    pad = known.index(b"") if b"" in known else -1
+    pair = codes[:, 0].astype(np.int64) << 32 | codes[:, 1]
+    rest = codes[:, 2].astype(np.int64) << 32 | codes[:, 3]
+    del codes, coded
+    order = np.lexsort((rest, pair))
+    pair, rest, n = pair[order], rest[order], n[order]
+    starts = changes(pair, rest)
+    n, pair, rest = sums(n, starts), pair[starts], rest[starts]
+    # Totals of the prefixes, on each window.
+    twos = changes(pair)
+    threes = changes(pair, rest >> 32)
+    of_two, of_three = (np.repeat(sums(n, h), np.diff(np.append(h, len(n)))) for h in (twos, threes))
+    at = {w: i for i, w in enumerate(known)}
+    hots = [at[a.encode()] << 32 | at[z.encode()] for g, a, z in hot if g == lang and a.encode() in at and z.encode() in at]
+    two = ((of_two >= least) | np.isin(pair, hots)) & (pair & HALF != pad)
+    three = two & (of_three >= least) & (rest >> 32 != pad)
+    four = three & (n >= least) & (rest & HALF != pad)
+    # Windows that are equal now, together.
+    ended = [np.where(pair >> 32 != pad, pair >> 32, -1), np.where(two, pair & HALF, -1), np.where(three, rest >> 32, -1), np.where(four, rest & HALF, -1)]
+    order = np.lexsort(ended[::-1])
+    ended, n = [c[order] for c in ended], n[order]
+    starts = changes(*ended)
+    texts = pa.array(known, pa.binary())
+    cols = [texts.take(pa.array(c[starts], mask=c[starts] < 0)).cast(pa.string()) for c in ended]
+    return pa.Table.from_arrays([pa.array([lang] * len(starts), pa.string()), *cols, pa.array(sums(n, starts), pa.int64())], names=["lang", *WORDS, "n"])
+
+
+def shortened(packed: DataFrame, hot: set[tuple[str, str, str]], least: int) -> DataFrame:
     """The windows, ended where a prefix has fewer than ``least`` occurrences.
-    A task unpacks its sorted rows in chunks that end with a pair."""
-    chunk = sizes.chunk
+    A task holds one bucket of one language at a time."""
+    schema = "lang string, " + "".join(f"{w} string, " for w in WORDS) + "n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        key, held = None, []
         for b in batches:
-            held.append(b)
-            size += len(b)
-            if size < chunk:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            keys = [_codes(rows.column(c).chunk(0)) for c in range(3)]
-            cut = int(changes(*keys, rows.column(3).to_numpy())[-1])
-            if cut:
-                yield from unpacked(rows.slice(0, cut), least).to_batches()
-            held = rows.slice(cut).to_batches()
-            size = 0 if cut else -len(rows)  # a pair that fills a chunk is read on
+            for lang, bucket, fields in zip(*(c.to_pylist() for c in b.columns)):
+                if held and key != (lang, bucket):
+                    yield from unpacked(key[0], held, hot, least).to_batches()
+                    held = []
+                key = (lang, bucket)
+                held.append(fields)
         if held:
-            yield from unpacked(pa.Table.from_batches(held), least).to_batches()
+            yield from unpacked(key[0], held, hot, least).to_batches()
 
-    key = ["lang", "w1", "w2", "salt"]
-    schema = "lang string, " + "".join(f"{w} string, " for w in WORDS) + "n long"
-    return packed.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "lang")
+    return dealt.mapInArrow(run, schema)
 
 
 def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> DataFrame:
@@ -342,8 +303,9 @@ def phrase_counts(df: DataFrame, least: int, text: str = "text", lang: str = "la
     bits = spark.sparkContext.broadcast(word_filter(vocabulary.where(~is_pair & (F.col("n") >= least)), sizes))
     # at most sizes.hot pairs, as there are no more pairs than words
     hot = {(r["lang"], *r["word"].split(" ")) for r in vocabulary.where(is_pair & (F.col("n") * sizes.hot > every)).collect()}
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // sizes.bucket))
     rolled = (
-        shortened(windows(docs, bits, hot, sizes), least, sizes)
+        shortened(windows(docs, bits, hot, buckets, sizes), hot, least)
         .groupBy("lang", *WORDS)
         .agg(F.sum("n").alias("n"))
         .rollup("lang", *WORDS)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from basketry.llm import phrases
 
@@ -91,22 +92,31 @@ def test_packed_windows_are_the_windows(hot):
 
     words = [f"w{i}" for i in range(4000)] * 2 + ["a", "b"] * 50 + ["a", "b", "w1", "a", "b", "w2"]
     docs = Run(pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(words)])], names=["lang", "text"]))
-    got, salts = Counter(), set()
-    for r in phrases.windows(docs, Bits(), hot).to_pylist():
-        salts.add(r["salt"])
-        lines = r["tails"].split("\n") if r["tails"] else [f"  {r['n']}"]
-        for line in lines:
-            third, fourth, n = line.split(" ")
-            got[r["w1"], r["w2"], third or None, fourth or None] += int(n)
-        assert r["tails"] is None or r["n"] == sum(int(x.split(" ")[2]) for x in lines)
+    rows = phrases.windows(docs, Bits(), hot, 64).to_pylist()
+    got, where = Counter(), {}
+    for r in rows:
+        fields = zstandard.decompress(r["fields"]).decode().split(" ")
+        for i in range(0, len(fields), 5):
+            key = tuple(w or None for w in fields[i : i + 4])
+            got[key] += int(fields[i + 4])
+            where.setdefault(key[:2], set()).add(r["bucket"])
     want = Counter(tuple((words[i : i + 4] + [None] * 3)[:4]) for i in range(len(words)))
     want[(None,) * 4] = 0
-    assert got == want and (len(salts) > 1) == bool(hot)
-
-
-@pytest.mark.parametrize("chunk", [1, 3, 1000])
-def test_chunks_end_with_a_pair(spark, chunk):
+    assert got == want and all(0 <= r["bucket"] < 64 for r in rows)
+    # a pair is in one bucket, a hot one in several
+    assert {p for p, b in where.items() if len(b) > 1} == {h[1:] for h in hot if h[1:] in where and len({k[2] for k in want if k[:2] == h[1:]}) > 1}
+    # what comes out of a bucket is shortened, but no count is lost
+    for lang, bucket in {(r["lang"], r["bucket"]) for r in rows}:
+        own = [r["fields"] for r in rows if (r["lang"], r["bucket"]) == (lang, bucket)]
+        out = phrases.unpacked(lang, own * 2, hot, 3).to_pylist()
+        assert len({tuple(r[w] for w in phrases.WORDS) for r in out}) == len(out)
+        total = sum(int(x) for f in own for x in zstandard.decompress(f).decode().split(" ")[4::5])
+        assert sum(r["n"] for r in out) == 2 * total
+
+
+@pytest.mark.parametrize("bucket", [1, 30, 10**6])
+def test_the_number_of_buckets_changes_nothing(spark, bucket):
     rows = texts(60, seed=6)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
-    got = sorted(tuple(r) for r in phrases.collocations(df, 3, sizes=phrases.Sizes(chunk=chunk, block=2000)).collect())
+    got = sorted(tuple(r) for r in phrases.collocations(df, 3, sizes=phrases.Sizes(bucket=bucket, block=2000)).collect())
     assert got == brute(rows, 3)
