@@ -13,8 +13,9 @@ times bought, first order, recency flags and the truth label in one pass
 aggregation per user: the leaderboard of all nine baselines (27 rows) is two
 aggregations over two merged tables, not nine pipelines.
 
-Ranks (top-N) are dense ranks of one user's distinct values, joined back
-(``dense_rank_per_user``).
+Top-N asks whether a dense rank among one user's distinct values is at most N:
+the user's N largest values are joined back (``with_top_values``), so the rows
+are dealt by user once, for the join and for the metrics.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from basketry.functions.joins import join_back
 from basketry.functions.metrics import METRICS, basket_metrics
 from basketry.operators.evaluate import join_prediction_truth, labelled_metrics
-from basketry.operators.history import dense_rank_per_user, recent_items, with_orders_back
+from basketry.operators.history import rank_at_most, recent_items, with_orders_back, with_top_values
 from basketry.operators.splits import users_in_part
 from basketry.sources.tables import BasketTables
 
@@ -111,21 +112,21 @@ def history_with_truth(prior: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def family1_table(t: BasketTables) -> DataFrame:
-    """Train users: history flags, rank by times bought (dense, ties kept,
+def family1_table(t: BasketTables, max_n: int = TOP_N_MAX) -> DataFrame:
+    """Train users: history flags, the user's largest times bought (ties kept,
     once-bought products unranked), truth = reordered."""
     merged = history_with_truth(_prior_of(t, train_order_users(t)), reordered_truth(t))
-    ranked = dense_rank_per_user(merged, "times", "rank_times")
-    return ranked.withColumn("rank_times", F.when(F.col("times") >= 2, F.col("rank_times")))
+    again = merged.withColumn("again", F.when(F.col("times") >= 2, F.col("times")))
+    return with_top_values(again, "again", max_n)
 
 
-def family2_table(t: BasketTables) -> DataFrame:
-    """Validation users: history flags, rank by order rate since the first
-    order (= up_order_rate_since_first_order), truth = ordered."""
+def family2_table(t: BasketTables, max_n: int = TOP_N_MAX) -> DataFrame:
+    """Validation users: history flags, the user's largest order rates since the
+    first order (= up_order_rate_since_first_order), truth = ordered."""
     merged = history_with_truth(_prior_of(t, validation_users(t)), ordered_truth(t))
     rate = F.col("times") / (F.col("user_max") - F.col("first_order") + 1)
     # products never bought before have no rate, hence no rank
-    return dense_rank_per_user(merged.withColumn("rate", rate), "rate", "rank_rate")
+    return with_top_values(merged.withColumn("rate", rate), "rate", max_n)
 
 
 Case = tuple[str, "int | None", Column]  # (benchmark, n, predicted)
@@ -153,7 +154,7 @@ def family1_cases(max_n: int = TOP_N_MAX) -> list[Case]:
         _case("repeat_last_re_order", F.col("last1_reo") == 1),
         _case("repeat_last_2_re_order", F.col("last2_reo") == 1),
         _case("repeat_last_3_re_order", F.col("last3_reo") == 1),
-    ] + [_case("top_n", F.col("rank_times") <= n, n) for n in range(1, max_n + 1)]
+    ] + [_case("top_n", rank_at_most("again", n), n) for n in range(1, max_n + 1)]
 
 
 def family2_cases(max_n: int = TOP_N_MAX) -> list[Case]:
@@ -161,7 +162,7 @@ def family2_cases(max_n: int = TOP_N_MAX) -> list[Case]:
         _case("all_ordered", F.col("candidate") == 1),
         _case("last_order", F.col("last1") == 1),
         _case("last_two_orders", F.col("last2") == 1),
-    ] + [_case("top_n_by_rate", F.col("rank_rate") <= n, n) for n in range(1, max_n + 1)]
+    ] + [_case("top_n_by_rate", rank_at_most("rate", n), n) for n in range(1, max_n + 1)]
 
 
 # ----------------------------------------------------------- single baselines
@@ -208,7 +209,7 @@ def prediction_truth_full_join(t: BasketTables, k: int = 3) -> DataFrame:
 def topn_baseline(t: BasketTables, max_n: int = TOP_N_MAX) -> DataFrame:
     """For each N, predict the products of dense rank <= N by times
     bought (ties kept, once-bought excluded).  Output: n, user_id, metrics."""
-    return score_cases(family1_table(t), _only(family1_cases(max_n), "top_n")).select(
+    return score_cases(family1_table(t, max_n), _only(family1_cases(max_n), "top_n")).select(
         "n", "user_id", *METRICS
     )
 
@@ -227,7 +228,7 @@ def all_ordered_baseline(t: BasketTables) -> DataFrame:
 def topn_by_rate_baseline(t: BasketTables, max_n: int = TOP_N_MAX) -> DataFrame:
     """Dense rank of the order rate since the first order; for each N
     predict rank <= N.  Output: n, user_id, metrics."""
-    return score_cases(family2_table(t), _only(family2_cases(max_n), "top_n_by_rate")).select(
+    return score_cases(family2_table(t, max_n), _only(family2_cases(max_n), "top_n_by_rate")).select(
         "n", "user_id", *METRICS
     )
 

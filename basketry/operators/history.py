@@ -10,7 +10,7 @@ broadcast after measuring it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.joins import first_match, first_rows, join_back
@@ -87,6 +87,26 @@ def dense_rank_per_user(rows: DataFrame, by: str, out: str) -> DataFrame:
     return join_back(rows, values.withColumn(out, F.dense_rank().over(w)), ["user_id", by], "left")
 
 
+def with_top_values(rows: DataFrame, by: str, n: int, prefix: str = "top_") -> DataFrame:
+    """``rows`` and, of their user, the ``n`` largest distinct values of ``by``
+    as columns ``top_1`` ... (NULL where there are fewer): what "dense rank of
+    at most k" needs, as one small row a user.  The window keeps ``n`` rows a
+    user and task."""
+    w = Window.partitionBy("user_id").orderBy(F.col("_value").desc())
+    values = rows.where(F.col(by).isNotNull()).select("user_id", F.col(by).alias("_value")).distinct()
+    best = values.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+    tops = best.groupBy("user_id").agg(
+        *[F.max(F.when(F.col("_rank") == k, F.col("_value"))).alias(f"{prefix}{k}") for k in range(1, n + 1)]
+    )
+    return join_back(rows, tops, ["user_id"], "left")
+
+
+def rank_at_most(by: str, k: int, prefix: str = "top_") -> Column:
+    """Whether the dense rank of ``by`` is at most ``k``: it reaches the k-th
+    largest value, or the smallest one of a user with fewer."""
+    return F.col(by) >= F.coalesce(*[F.col(f"{prefix}{i}") for i in range(k, 0, -1)])
+
+
 def product_occurrence_number(prior_items: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """k-th time the user buys the product, by order number.
 

@@ -126,7 +126,7 @@ def test_written_fact_needs_no_join_for_the_last_orders(skew_session):
             assert "Join" not in _final_plan(df), job
             assert sorted(map(tuple, df.collect())) == sorted(map(tuple, JOBS[job](t).collect()))
         train = _final_plan(written.train_items)
-        assert "PartitionFilters: [isnotnull(eval_set" in train and "= train)" in train
+        assert "PartitionFilters: [isnotnull(line_file" in train and "= train)" in train
     finally:
         files.delete(skew_session, written.extras["folder"])
     assert not files.exists(skew_session, written.extras["folder"])
