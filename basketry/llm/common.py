@@ -34,17 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     files.delete_at_end(spark, path)
     df.write.parquet(path)  # executors that are lost are made up for by the write's commit
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made, once nothing reads
     it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    files.delete(df.sparkSession, df._written_to)
 
 
 class Recent(dict):

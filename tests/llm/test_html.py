@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html as H
+import random
 import re
 
 import pytest
@@ -49,9 +50,8 @@ def test_no_blocks():
     assert content_paths([]) == set()
 
 
-@pytest.mark.parametrize("file", ["sf0.01/pages.parquet", "check_h/pages.parquet/part-0000.parquet"])
-def test_given_pages(spark, file):
-    rows = spark.read.parquet(f"/root/testdata/{file}")
+def test_given_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r.page_id: r.html for r in rows.collect()}
     got = extract(rows).collect()
     assert len(got) == len(html)
@@ -61,6 +61,30 @@ def test_given_pages(spark, file):
         assert r.text == " ".join(H.unescape(plain).split()) and r.n_chars == len(r.text)
 
 
+def test_pages_of_one_host_that_repeat_a_passage(spark):
+    """Many pages with the same menu, the same long passage and little else."""
+    head = "<html><body><nav><ul>" + "".join(f"<li><a href='/{i}'>Menu {i}</a></li>" for i in range(30)) + "</ul></nav>"
+    foot = "<div class='comments'><p>Nice one, thanks a lot for this!</p></div><footer>Contact, imprint</footer></body></html>"
+    rows = [(i, f"https://one.example/{i}", f"{head}<article><h1>Title {i}</h1><p>{LONG}</p><p>{LONG} {i}</p></article>{foot}") for i in range(40)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {i} {LONG} {LONG} {i}" for i, _, _ in rows}
+
+
+def test_marked_sections_are_comments():
+    assert main_text("<![foo[ x ]]>") == "" and main_text("<![%x[") == ""
+    for odd in ("<![foo[ x ]]>", "<![%x[>", "<![CDATA[ y ]]>", "<![if !IE]>", "<!ELEMENT a>", "<?php x ?>"):
+        assert LONG in main_text(page(f"<p>{LONG}</p>{odd}<p>{LONG}</p>")), odd
+
+
+def test_any_string_is_a_page():
+    rng = random.Random(11)
+    bits = ["<", "!", "[", "]", ">", "--", "%", "x", "<p>", "</p>", "<div class=a>", "<![", "CDATA[", "]]>", "&amp", "&#", "<!", "<?", "/", "'", '"', "="]
+    bits += ["<script>", "</script", "<title>", "é", "<!DOCTYPE", "<!ELEMENT ", "<a href=", "\x00", "&#99999999999;", "<svg", "temp[", "</", "<li>", "<td>", "\ud7ff"]
+    for _ in range(20000):
+        text = main_text("".join(rng.choices(bits, k=rng.randint(1, 30))))
+        assert text == " ".join(text.split())
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None, "x"), (None, None, page(f"<p>{LONG}</p>"), "x"), (2, "v", "", "x"), (2, "v", page(f"<p>{LONG}</p>"), "x"), (2, "v", page(f"<p>{LONG}</p>"), "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.llm import langid
 
@@ -90,3 +91,29 @@ def test_nothing_to_learn_and_empty_table(spark):
     df = spark.createDataFrame([(1, "the house", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(df, FILE).collect()] == [("und", 0.0)]
     assert langid.identify(df.limit(0), FILE).collect() == []
+
+
+def test_tables_are_bounded_by_bytes():
+    probs = [(0.01, 0.02)] * len(PIECES)
+    model = langid.Model(["x", "y"], PIECES, probs)
+    scorer = langid.Scorer(model)
+    assert scorer.words_seen.size * (8 * 3 + 300) <= langid.CACHE_BYTES
+    scorer.words_seen.size = scorer.pieces_seen.size = 50
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcz", k=rng.randint(1, 6))) for _ in range(60)) + "!" for _ in range(40)]
+    whole = langid.Scorer(model)
+    for t in texts:
+        assert scorer.predict(t) == whole.predict(t)
+        assert len(scorer.words_seen) + len(scorer.words_seen.old) <= 400
+
+
+def test_what_fits_no_language_goes(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(10)
+    odd = [(10**6 + i, " ".join("".join(rng.choices("qxzjvkwpyf", k=rng.randint(6, 12))) for _ in range(80)), None) for i in range(20)]
+    odd += [(10**6 + 100, "фвыа олдж йцук ячсм " * 30, None), (10**6 + 101, "12 !!", "en")]
+    both = df.unionByName(spark.createDataFrame(odd, df.schema)).withColumn("_lang_pred", F.lit("kept"))
+    kept = langid.keep_known(both, FILE)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert kept.columns == both.columns and not any(i >= 10**6 for i in ids)
+    assert len(ids) >= 0.98 * df.count()

@@ -111,3 +111,27 @@ def test_documents_with_odd_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.digest(df).collect() == [] and simhash.keep_one(df).collect() == []
+
+
+def test_keep_one_tells_documents_of_one_id(spark):
+    a, b = "alpha beta gamma delta one two three", "completely other words here and there now"
+    rows = [(3, b, 1, "x", 0), (5, a, 2, "x", 0), (5, b, 3, "x", 0), (7, a, 4, "y", 0), (None, a, 5, "z", 0), (9, "z z z", 6, "z", 0), (9, "z z z", 6, "z", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, fp string, id int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((tuple(r) for r in kept.collect()), key=str)
+    # text a is nowhere else than under 5 and 7, b stays as 3
+    assert got == sorted([rows[0], rows[1], rows[4], rows[5]], key=str)
+    assert simhash.keep_one(df.limit(0)).collect() == []
+    by_int = df.select("text", F.col("doc_id").cast("int").alias("Doc Id"))
+    assert simhash.keep_one(by_int, doc_id="Doc Id").count() == 4
+
+
+def test_keep_one_of_near_copies_under_one_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = [*words[:-1], "changed"]
+    x, y = simhash.fingerprint(" ".join(words)), simhash.fingerprint(" ".join(near))
+    bits = (x ^ y).bit_count()
+    df = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(near)), (2, " ".join(near))], "doc_id long, text string")
+    kept = [r.text for r in simhash.keep_one(df, max_bits=2).collect()]
+    assert len(kept) == (1 if bits <= 2 else 2) and len(set(kept)) == len(kept)
