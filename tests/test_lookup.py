@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions.joins import first_match, first_rows
-from basketry.functions.numbering import dense_numbers
+from basketry.functions.numbering import dense_numbers, running_sums
 from basketry.operators import dims as D
 from basketry.sources.tables import materialize
 from frames import make_tables, rows
@@ -69,3 +69,15 @@ def test_dense_numbers(spark):
     whole = dense_numbers(df.distinct(), ["g", "v"]).collect()
     assert sorted(r.number for r in whole) == list(range(601))
     assert dense_numbers(df.limit(0), ["v"]).collect() == []
+
+
+def test_running_sums(spark):
+    values = [(g, v, float(v % 7)) for g in ("a", "b", None) for v in range(200)]
+    df = spark.createDataFrame(values, "g string, v int, w double").repartition(6)
+    got = running_sums(df, ["v"], ["g"], {"before": "w", "vs": "v"}).collect()
+    assert len(got) == 600
+    for r in got:
+        assert r.before == sum(v % 7 for v in range(r.v)) and r.vs == sum(range(r.v))
+    whole = running_sums(df.where("g = 'a'"), ["v"], [], {"before": "w"}).orderBy("v").collect()
+    assert [r.before for r in whole] == [sum(v % 7 for v in range(i)) for i in range(200)]
+    assert running_sums(df.limit(0), ["v"], ["g"], {"before": "w"}).collect() == []
