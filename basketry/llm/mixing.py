@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.numbering import running_sums
 from basketry.llm.common import WS, quoted, written
 
 #: Hash ranges of a leaf; the cut is searched in one of them.
@@ -52,28 +53,38 @@ def _with_weights(nodes: DataFrame, levels: list[str], weights: dict[Path, float
     named = F.lit(None).cast("double")
     for path, w in own:
         named = F.when(reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(levels, path)]), F.lit(w)).otherwise(named)
-    parent = Window.partitionBy(*levels[:-1]) if len(levels) > 1 else Window.partitionBy(F.lit(0))
-    rest = F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("named").over(parent), F.lit(0.0)))
-    unnamed = F.sum(F.col("named").isNull().cast("int")).over(parent)
-    return nodes.withColumn("named", named).withColumn("weight", F.coalesce("named", F.try_divide(rest, unnamed))).drop("named")
+    up = levels[:-1]
+    told = nodes.withColumn("named", named)
+    sums = told.groupBy(*up).agg(F.coalesce(F.sum("named"), F.lit(0.0)).alias("said"), F.sum(F.col("named").isNull().cast("int")).alias("unnamed"))
+    sums = _renamed(sums, up)
+    rest = F.try_divide(F.greatest(F.lit(0.0), 1 - F.col("said")), F.col("unnamed"))
+    return told.join(sums, _same(told, sums, up)).select(*[told[c] for c in nodes.columns], F.coalesce("named", rest).alias("weight"))
 
 
 def divide(children: DataFrame, parents: list[str]) -> DataFrame:
     """Divide ``budget`` (of the parent, on each child) into ``share``: a
     share is the smaller of ``capacity`` and weight x level, with the level
-    that uses the budget up or all capacity of children with a weight."""
-    keys = parents or [F.lit(0)]
+    that uses the budget up or all capacity of children with a weight.
+
+    Children that are full at lower levels come first; whether one is full
+    follows from the sums over those before it.  The sums run over range
+    partitions, so a parent of any number of children is no task of its own."""
     able = F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0)).cast("double")
     one = children.withColumn("able", able).withColumn("full_at", F.when(F.col("weight") > 0, F.try_divide(F.col("able"), F.col("weight"))).otherwise(F.lit(-1.0)))
-    order = Window.partitionBy(*keys).orderBy("full_at", *[c for c in children.columns if c not in (*parents, "budget")])
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onwards = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    two = one.withColumn("is_full", F.coalesce(F.sum("able").over(before), F.lit(0.0)) + F.col("full_at") * F.sum("weight").over(onwards) <= F.col("budget"))
-    whole = Window.partitionBy(*keys)
-    left = F.col("budget") - F.sum(F.when(F.col("is_full"), F.col("able")).otherwise(0.0)).over(whole)
-    hungry = F.sum(F.when(F.col("is_full"), 0.0).otherwise(F.col("weight"))).over(whole)
-    share = F.when(F.col("is_full"), F.col("able")).otherwise(F.least("able", F.try_divide(F.col("weight") * left, hungry)))
-    return two.withColumn("share", F.when(F.col("weight") > 0, share).otherwise(0.0)).drop("able", "full_at", "is_full")
+    order = ["full_at", *[c for c in children.columns if c not in (*parents, "budget")]]
+    two = running_sums(one, order, parents, {"able_before": "able", "weight_before": "weight"}, save=lambda t: written(t, "mix-divide"))
+    weights = _renamed(one.groupBy(*parents).agg(F.sum("weight").alias("all_weight")), parents)
+    two = two.join(weights, _same(two, weights, parents)).select(*[two[c] for c in two.columns], "all_weight")
+    fills = F.col("able_before") + F.col("full_at") * (F.col("all_weight") - F.col("weight_before"))
+    # Sums of doubles in another order end a little off.
+    two = two.withColumn("is_full", fills <= F.col("budget") * (1 + 1e-12))
+    sums = two.groupBy(*parents).agg(
+        F.sum(F.when(F.col("is_full"), F.col("able")).otherwise(0.0)).alias("given"), F.sum(F.when(F.col("is_full"), 0.0).otherwise(F.col("weight"))).alias("hungry")
+    )
+    sums = _renamed(sums, parents)
+    three = two.join(sums, _same(two, sums, parents)).select(*[two[c] for c in two.columns], "given", "hungry")
+    share = F.when(F.col("is_full"), F.col("able")).otherwise(F.least("able", F.try_divide(F.col("weight") * (F.col("budget") - F.col("given")), F.col("hungry"))))
+    return three.withColumn("share", F.when(F.col("weight") > 0, share).otherwise(0.0)).select(*children.columns, "share")
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[Path, float], budget: float, max_epochs: int) -> DataFrame:
@@ -124,8 +135,8 @@ def plan(rows: DataFrame, levels: list[str], weights: dict[Path, float], share:
     edge = _renamed(edge.select(*levels, "e.bucket", "e.before"), levels)
     inside = keyed.join(edge, _same(keyed, edge, levels) & (_bucket(F.col("order")) == F.col("bucket"))).select(*[keyed[c] for c in levels], "order", "n_tokens", "rest", "before")
     by_order = inside.groupBy(*levels, "order").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
-    upto = Window.partitionBy(*levels).orderBy("order")
-    cuts = by_order.withColumn("end", F.col("before") + F.sum("n").over(upto)).where("end > rest").groupBy(*levels).agg(F.min("order").alias("cut"))
+    upto = running_sums(by_order, ["order"], levels, {"upto": "n"}, save=lambda t: written(t, "mix-cuts"))
+    cuts = upto.where(F.col("before") + F.col("upto") + F.col("n") > F.col("rest")).groupBy(*levels).agg(F.min("order").alias("cut"))
     cuts = _renamed(cuts, levels)
     return written(given.join(cuts, _same(given, cuts, levels), "left").select(*[given[c] for c in given.columns], "cut"), "mix-plan")
 
