@@ -160,13 +160,14 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def _labelled(df: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int) -> DataFrame:
-    """Per row: doc_id, fp, root (the smallest fingerprint of its component)."""
+def _classes(df: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Per row doc_id and fp; and per fingerprint its smallest doc_id and the
+    root (the smallest fingerprint) of its component."""
     done = written(fingerprints(df, doc_id, text, shingle), "simhash-fp")
-    classes = written(done.select("fp").distinct(), "simhash-classes")
-    roots = components(links(classes, max_bits))
-    of_class = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"))
-    return done.join(of_class, F.col("fp") == F.col("of")).select("doc_id", "fp", "root")
+    classes = written(done.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    roots = components(links(classes.select("fp"), max_bits))
+    labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return done, labelled
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -176,9 +177,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     among them, are linked.  Repeated rows are kept and share a component;
     rows of a null doc_id stay and never name a component with other rows.
     Other columns are not read."""
-    labelled = _labelled(df, doc_id, text, shingle, max_bits)
-    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return join_back(labelled, smallest, ["root"]).select("doc_id", "fp", "component_id")
+    done, labelled = _classes(df, doc_id, text, shingle, max_bits)
+    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_class = join_back(labelled, smallest, ["root"]).select("fp", "component_id")
+    return done.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(df: DataFrame, **names) -> DataFrame:
@@ -193,7 +195,8 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     fingerprint.  Rows of one id with different texts are different documents;
     of equal ones one stays.  Rows of a null id are kept, as nothing names
     them."""
-    labelled = written(_labelled(df, doc_id, text, shingle, max_bits).where("doc_id is not null"), "simhash-labelled")
+    done, classes = _classes(df, doc_id, text, shingle, max_bits)
+    labelled = written(done.where("doc_id is not null").join(classes.select("fp", "root"), "fp"), "simhash-labelled")
     winners = written(labelled.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("w")).select("w.doc_id", "w.fp"), "simhash-winners")
     # An id that has one row is told by the id; the few others by id and fingerprint.
     often = written(labelled.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-often")
