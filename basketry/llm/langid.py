@@ -44,7 +44,7 @@ FIT = 3.0
 UNKNOWN = 1e-7
 #: Words up to this length are kept in a worker's tables, and the bytes that
 #: these tables may take for the values that they hold.
-SHORT, CACHE_BYTES = 40, 48 << 20
+SHORT, CACHE_BYTES = 40, 128 << 20
 #: Words whose sums advance together, and letters of text looked up together.
 BLOCK, BLOCK_CHARS = 4096, 1 << 20
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
