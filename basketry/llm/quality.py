@@ -6,9 +6,10 @@ hashed n-grams (one and two neighbouring pieces; a piece is a run of letters,
 of digits, or of other signs).  ``raw`` counts all n-grams of all documents.
 ``target`` counts those of trusted documents: labelled of good quality and
 not toxic.  Toxic documents of good quality are neither good nor bad: the
-score is one of quality, and they are judged by it like any other.  What the score learns from labels (the target counts and the
-threshold) comes from at most ``SAMPLE`` labelled documents, those of the
-smallest hashed ids.  That bound makes the sample small enough to broadcast.
+score is one of quality, and they are judged by it like any other.  The target
+counts and the threshold are learned from every labelled document.  The rules
+and scores of all documents are written once (a narrow row each); the
+threshold is learned from that table and then decides its rows.
 
 Ratios are whole millionths, so a document's sum does not depend on any
 order, and the threshold decides each document alike wherever it is.
@@ -23,12 +24,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WS, quoted
+from basketry.functions.lineage import kept as persisted
+from basketry.llm.common import WS, quoted, shared_path, written
 
 #: Hashed n-grams; bounds what reaches the driver and the ratios' literal.
 BUCKETS = 10_000
-#: Bound of the labelled documents that the target and threshold are learned from.
-SAMPLE = 20_000
 #: Words of a window that is looked up in its own text.
 WINDOW = 8
 SCALE = 1_000_000
@@ -126,33 +126,44 @@ def ratio_sum(hashes: str, ratios: list[int]) -> Column:
     return let(F.col(hashes), total)
 
 
-def labelled_sample(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(_id, good) of at most ``SAMPLE`` labelled documents.  Good: quality 1
+def labelled(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(_id, good) of every labelled document.  Good: quality 1
     and not toxic by all its rows; bad: quality 0.  Toxic ones of quality 1 are of
     no class; rows without an id or a quality do not count."""
     rows = labels.select(quoted(doc_id).alias("_id"), F.col("quality"), F.col("toxic")).where("_id is not null and quality is not null")
     one = rows.groupBy("_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
-    judged = one.where("q = 0 or x = 0").select("_id", (F.col("q") == 1).alias("good"))
-    return judged.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    return one.where("q = 0 or x = 0").select("_id", (F.col("q") == 1).alias("good"))
 
 
-def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[int], float]:
-    """The log ratio of each bucket, in millionths, and the threshold: the
-    best one for those sampled documents that pass the plain rules."""
-    sample = F.broadcast(labelled_sample(labels, doc_id))  # SAMPLE rows at most
-    docs = df.select(quoted(doc_id).alias("_d"), pieces_of(quoted(text)).alias("h"))
-    marked = docs.join(sample, F.col("_d") == F.col("_id"), "left").select("h", F.coalesce("good", F.lit(False)).alias("good"))
-    counted = marked.select("good", F.explode(grams("h")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
+def log_ratios(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+    """The log ratio of each bucket, in millionths.  Labels grow with the
+    documents, so they are not broadcast: texts are dealt by id to a hash join,
+    without a sort, and cut into pieces behind it."""
+    docs = df.select(quoted(doc_id).alias("_d"), quoted(text).alias("t"))
+    marked = docs.join(labelled(labels, doc_id).hint("shuffle_hash"), F.col("_d") == F.col("_id"), "left")
+    hashed = marked.select(pieces_of(F.col("t")).alias("h"), F.coalesce("good", F.lit(False)).alias("good"))
+    counted = hashed.select("good", F.explode(grams("h")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count_if("good").alias("target"))
     raw, target = [1] * BUCKETS, [1] * BUCKETS  # one more for each, so that none is zero
     for r in counted.collect():
         raw[r["b"]] += r["raw"]
         target[r["b"]] += r["target"]
     all_raw, all_target = sum(raw), sum(target)
-    ratios = [round(SCALE * math.log((t / all_target) / (r / all_raw))) for t, r in zip(target, raw)]
-    seen = df.select(quoted(doc_id).alias("_d"), quoted(text).alias("t")).join(sample, F.col("_d") == F.col("_id"))
-    judged = with_rules(seen.select("good", words_of(F.col("t")).alias("words"), pieces_of(F.col("t")).alias("h"))).where(~base_failed() & (F.size("h") > 0))
-    scored = judged.select("good", F.floor(score("h", ratios) * 1000).alias("bin")).groupBy("bin").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
-    return ratios, threshold([(r["bin"] / 1000, r["g"], r["b"]) for r in scored.collect()])
+    return [round(SCALE * math.log((t / all_target) / (r / all_raw))) for t, r in zip(target, raw)]
+
+
+def least_score(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> float:
+    """The threshold: the best one for those labelled documents of a
+    ``measured`` table that pass the plain rules."""
+    rows = measured.where(~F.col("base_failed") & F.col("score").isNotNull()).select("doc_id", F.floor(F.col("score") * 1000).alias("bin"))
+    seen = rows.join(labelled(labels, doc_id), F.col("doc_id") == F.col("_id"))
+    bins = seen.groupBy("bin").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    return threshold([(r["bin"] / 1000, r["g"], r["b"]) for r in bins.collect()])
+
+
+def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[int], float]:
+    """The log ratio of each bucket, in millionths, and the threshold."""
+    ratios = log_ratios(df, labels, doc_id, text)
+    return ratios, least_score(measured(df, ratios, doc_id, text), labels, doc_id)
 
 
 def threshold(bins: list[tuple[float, int, int]]) -> float:
@@ -179,16 +190,9 @@ def score(hashes: str, ratios: list[int]) -> Column:
     return F.when(F.size(hashes) > 0, ratio_sum(hashes, ratios) / (n * SCALE))
 
 
-def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``df``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, score, threshold.
-
-    ``base_failed``: under 20 words, or over 30 % of the words repeated.
-    ``kept``: not failed, and a score of the threshold or more; -infinity
-    (labels of one class only, or none) keeps all that did not fail.  A null
-    text has no words and fails.  Repeated rows are judged each; other
-    columns are not read."""
-    ratios, least = learn(df, labels, doc_id, text)
+def measured(df: DataFrame, ratios: list[int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``df``: doc_id, the counts, base_failed and the score,
+    computed once and written (kept, where no folder is shared)."""
     t = F.coalesce(quoted(text), F.lit(""))
     rows = df.select(
         quoted(doc_id).alias("doc_id"),
@@ -199,8 +203,22 @@ def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     done = with_rules(rows).withColumn("n_words", F.size("words").cast("long"))
     done = done.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    done = done.withColumn("base_failed", base_failed())
-    done = done.withColumn("score", score("hashes", ratios)).withColumn("threshold", F.lit(float(least)))
+    done = done.withColumn("base_failed", base_failed()).withColumn("score", score("hashes", ratios))
+    done = done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")
+    return written(done, "quality") if shared_path(df.sparkSession, "quality") else persisted(done)
+
+
+def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``df``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, kept, score, threshold.
+
+    ``base_failed``: under 20 words, or over 30 % of the words repeated.
+    ``kept``: not failed, and a score of the threshold or more; -infinity
+    (labels of one class only, or none) keeps all that did not fail.  A null
+    text has no words and fails.  Repeated rows are judged each; other
+    columns are not read."""
+    done = measured(df, log_ratios(df, labels, doc_id, text), doc_id, text)
+    done = done.withColumn("threshold", F.lit(float(least_score(done, labels, doc_id))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
     return done.withColumn("kept", kept).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold"

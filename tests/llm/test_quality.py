@@ -104,3 +104,13 @@ def test_labelled_documents(spark):
     rows = Q.judge(docs, labels).where("not base_failed").join(labels, "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_every_labelled_document_counts(spark):
+    """More labelled documents than the 20,000 that were once sampled: with all
+    of them good, target and raw counts agree; the bad ones all count."""
+    n = 20_100
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    good = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("quality"), F.lit(0).cast("long").alias("toxic"))
+    assert set(Q.log_ratios(df, good)) == {0}
+    assert Q.labelled(good).count() == n
