@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from basketry.functions.lineage import cut_lineage
 from basketry.operators import features as FE
 
 
@@ -26,3 +27,9 @@ def test_written_fact_is_reduced_to_pairs_once_for_features_and_flags(small_tabl
     plan = FE.candidate_features(small_tables, FE.written_product_features(small_tables))._jdf.queryExecution().optimizedPlan().toString()
     # the candidates' own aggregation, and the one that users are made from
     assert len(re.findall(r"Aggregate \[user_id#\d+L?, product_id#\d+L?\]", plan)) == 2
+
+def test_cut_lineage_writes_encoded_files(spark):
+    rows = spark.range(100_000).selectExpr("id % 3 as a", "0.5 as b")
+    cut = cut_lineage(rows)
+    assert cut.inputFiles() and cut.count() == 100_000
+    assert cut.schema.simpleString() == rows.schema.simpleString()
