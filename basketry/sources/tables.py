@@ -20,6 +20,7 @@ See ``materialize`` for the two file layouts.
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -105,8 +106,6 @@ class BasketTables:
         ``match`` does: a left join on one row per order id (``first_orders``),
         so every line of the train file comes out exactly once.
         """
-        if "train_items" in self.extras:
-            return self.extras["train_items"]
         return (
             first_match(self.order_products_train, first_orders(self.orders.select("order_id", "user_id", "order_number")), ["order_id"])
             .select(
@@ -120,6 +119,31 @@ class BasketTables:
         )
 
 
+class WrittenTables(BasketTables):
+    """Basket tables that are written at their first use: a query that reads
+    orders does not wait for the order lines.  ``makers``: how each table is
+    made, by name."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]], extras: dict):
+        self._makers, self._made, self._lock = makers, {}, threading.RLock()
+        self.extras, self.items_of = extras, None
+
+    def _table(self, name: str) -> DataFrame:
+        with self._lock:
+            if name not in self._made:
+                self._made[name] = self._makers[name]()
+            return self._made[name]
+
+    orders = property(lambda self: self._table("orders"))
+    order_products_prior = property(lambda self: self._table("order_products_prior"))
+    order_products_train = property(lambda self: self._table("order_products_train"))
+    products = property(lambda self: self._table("products"))
+    aisles = property(lambda self: self._table("aisles"))
+    departments = property(lambda self: self._table("departments"))
+    order_items = property(lambda self: self._table("order_items"))
+    train_items = property(lambda self: self._table("train_items"))
+
+
 # ---------------------------------------------------------------- provider
 
 _MEMO: dict[tuple, BasketTables] = {}
@@ -190,7 +214,8 @@ def forget(spark: SparkSession | None = None) -> None:
 
 
 def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTables:
-    """Write the basket tables once under the checkpoint folder and read back.
+    """Write the basket tables once under the checkpoint folder and read back,
+    each when it is first asked for (``WrittenTables``).
 
     Two layouts (``basketry.layout``):
 
@@ -251,36 +276,53 @@ def materialize(spark: SparkSession, tables: BasketTables, tag: str) -> BasketTa
         .groupBy("user_id")
         .agg(F.max("order_number").alias("user_max"))
     )
-    orders = save_fact(join_back(tables.orders, last, ["user_id"], "left"), "orders", [])
-    if tables.items_of is not None:
-        # Lines derived from their orders: each has one, and its file follows.
-        items_all = tables.items_of(orders).withColumn(FILE, F.col("eval_set"))
-    else:
-        # The file of a line decides what it is, whatever its order says.
-        prior = orders.join(tables.order_products_prior, "order_id").withColumn(FILE, F.lit("prior"))
-        train = first_match(tables.order_products_train, first_orders(orders), ["order_id"]).withColumn(FILE, F.lit("train"))
-        items_all = prior.unionByName(train)
-    items = save_fact(items_all.select(ORDER_COLS + ITEM_COLS + ["user_max", FILE]), "order_items", [FILE])
-    lines = {name: items.where(F.col(FILE) == name) for name in ("prior", "train")}
-    out = BasketTables(
-        orders=orders.select(ORDER_COLS),
+
+    def orders() -> DataFrame:
+        return save_fact(join_back(tables.orders, last, ["user_id"], "left"), "orders", [])
+
+    def order_items() -> DataFrame:
+        written = out._table("orders_with_last")
+        if tables.items_of is not None:
+            # Lines derived from their orders: each has one, and its file follows.
+            items_all = tables.items_of(written).withColumn(FILE, F.col("eval_set"))
+        else:
+            # The file of a line decides what it is, whatever its order says.
+            prior = written.join(tables.order_products_prior, "order_id").withColumn(FILE, F.lit("prior"))
+            train = first_match(tables.order_products_train, first_orders(written), ["order_id"]).withColumn(FILE, F.lit("train"))
+            items_all = prior.unionByName(train)
+        return save_fact(items_all.select(ORDER_COLS + ITEM_COLS + ["user_max", FILE]), "order_items", [FILE])
+
+    def lines(name: str) -> DataFrame:
+        return out.order_items.where(F.col(FILE) == name)
+
+    def order_products_prior() -> DataFrame:
         # as read, with lines of unknown orders; derived lines all have one
-        order_products_prior=tables.order_products_prior
-        if tables.items_of is None
-        else lines["prior"].select("order_id", *ITEM_COLS),
-        order_products_train=lines["train"].select("order_id", *ITEM_COLS),
-        products=save_plain(tables.products, "products"),
-        aisles=save_plain(tables.aisles, "aisles"),
-        departments=save_plain(tables.departments, "departments"),
-        order_items=items,
-    )
-    out.extras["folder"] = root
-    out.extras["train_items"] = lines["train"].select(
-        "user_id",
-        "order_id",
-        "product_id",
-        "add_to_cart_order",
-        "reordered",
-        F.lit(1).alias("ordered"),
+        if tables.items_of is None:
+            return tables.order_products_prior
+        return lines("prior").select("order_id", *ITEM_COLS)
+
+    def train_items() -> DataFrame:
+        return lines("train").select(
+            "user_id",
+            "order_id",
+            "product_id",
+            "add_to_cart_order",
+            "reordered",
+            F.lit(1).alias("ordered"),
+        )
+
+    out = WrittenTables(
+        {
+            "orders_with_last": orders,
+            "orders": lambda: out._table("orders_with_last").select(ORDER_COLS),
+            "order_items": order_items,
+            "order_products_prior": order_products_prior,
+            "order_products_train": lambda: lines("train").select("order_id", *ITEM_COLS),
+            "train_items": train_items,
+            "products": lambda: save_plain(tables.products, "products"),
+            "aisles": lambda: save_plain(tables.aisles, "aisles"),
+            "departments": lambda: save_plain(tables.departments, "departments"),
+        },
+        {"folder": root},
     )
     return out
