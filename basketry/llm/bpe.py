@@ -21,7 +21,6 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import Recent, quoted
+from basketry.llm.common import Recent, held, quoted
 
 #: Bytes up to which a word is merged by scanning its rank array.
 SHORT = 96
@@ -173,10 +172,9 @@ class _Pieces(Recent):
         return self.keep(piece, ids)
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBpe:
     """Loaded once in each Python worker."""
-    return ByteBpe(path)
+    return held(("bpe", path), lambda: ByteBpe(path))
 
 
 def _mapped(df: DataFrame, source: str, targets: dict[str, T.DataType], work) -> DataFrame:
@@ -187,11 +185,14 @@ def _mapped(df: DataFrame, source: str, targets: dict[str, T.DataType], work) ->
     keep = [f for f in df.schema.fields if f.name.lower() not in new]
     kinds = [*(f.dataType for f in keep), *targets.values()]
     names = [f"c{i}" for i in range(len(kinds))]
-    inner = df.select(*[quoted(f.name).alias(n) for f, n in zip(keep, names)], quoted(source).alias("src"))
+    # a source that stays is sent once
+    stays = [f.name for f in keep]
+    at, own = (stays.index(source), []) if source in stays else (len(keep), [quoted(source).alias("src")])
+    inner = df.select(*[quoted(f.name).alias(n) for f, n in zip(keep, names)], *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *work(b.column(b.num_columns - 1))], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *work(b.column(at))], names=names)
 
     flat = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
     return inner.mapInArrow(run, flat).toDF(*[f.name for f in keep], *targets)

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Recent, quoted, written
+from basketry.llm.common import Recent, held, quoted, written
 
 #: Bound of the training sample: labelled documents of each language.
 SAMPLE_DOCS = 1000
@@ -259,15 +259,9 @@ class Scorer:
         return self.texts(pa.array([text], pa.string()))[0][:2]
 
 
-_loaded: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """One scorer a Python worker and model."""
-    if model.key not in _loaded:
-        _loaded.clear()
-        _loaded[model.key] = Scorer(model)
-    return _loaded[model.key]
+    return held(("langid", model.key), lambda: Scorer(model))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -362,17 +356,19 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
     new = {c.lower() for c in (lang_pred, score, fits) if c}
     keep = [c for c in df.columns if c.lower() not in new]
     fields = [f for f in df.schema.fields if f.name in keep]
-    inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], quoted(text).alias("src"))
+    # a text that stays is sent once
+    at, own = (keep.index(text), []) if text in keep else (len(keep), [quoted(text).alias("src")])
+    inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], *own)
     flat = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(fields)) + "lang_pred string, score double, fits boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
         least = dict(zip(model.langs, model.least))
         for b in batches:
-            got = scorer.texts(b.column(b.num_columns - 1))
+            got = scorer.texts(b.column(at))
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             made.append(pa.array([g != "und" and mean >= least.get(g, -math.inf) for g, _, mean in got], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "lang_pred", "score", "fits"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=[*b.schema.names[: len(keep)], "lang_pred", "score", "fits"])
 
     out = inner.mapInArrow(run, flat)
     return (out if fits else out.drop("fits")).toDF(*keep, lang_pred, score, *([fits] if fits else []))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basketry.llm import langid, mixing, queries, simhash, surrogates
+from basketry.llm import bpe, common, langid, mixing, queries, simhash, surrogates
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +94,19 @@ def test_documents_without_a_source_reach_the_end(spark, tmp_path):
     docs.withColumn("source", third).write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.op5_mixing(spark, str(tmp_path)).where("source is null").count()
     assert corpus_pipeline.run(spark, str(tmp_path)).where("source is null").count()
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    first = common.held(("a", 1), lambda: [1])
+    assert common.held(("a", 1), lambda: [2]) is first
+    assert common.held(("b", 1), lambda: [3]) == [3] and list(common._held) == [("b", 1)]
+
+
+def test_a_text_that_stays_is_sent_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.Model(["en"], ["a"], [(0.5,)])
+    for made in (langid.predict(docs, model), bpe.encode(docs, queries.BYTE_BPE)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS src" not in plan and made.columns[: len(docs.columns)] == docs.columns, plan
+    own = bpe.encode(docs.select("doc_id", "text"), queries.BYTE_BPE, ids="text")
+    assert own.columns == ["doc_id", "text"] and own.count() == docs.count()
