@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.joins import join_back
-from basketry.llm.common import discard, quoted, written
+from basketry.llm.common import discard, no_tables, quoted, written
 
 SEED = 42
 SEGMENTS = 16
@@ -68,6 +68,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     """``doc_id`` and ``fp`` (its 64 bits as a signed long) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_tables()
         for b in batches:
             made = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
@@ -212,6 +213,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     kinds = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, df.schema.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_tables()
         for b in batches:
             made = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(at)), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made.view(np.int64))], names=[*b.schema.names, "fp"])

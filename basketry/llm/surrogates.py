@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import discard, quoted, written
+from basketry.llm.common import discard, no_tables, quoted, written
 
 #: Attempts that keep the exact shape; later ones add characters.
 IN_SHAPE = 6
@@ -314,6 +314,7 @@ def entities_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(doc_id, text_hash, kind, value): the distinct entities of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_tables()
         for b in batches:
             rows = [(i, *kv) for i, t in enumerate(b.column(2)) for kv in sorted({m[2:] for m in mentions(t.as_py())})]
             at = pa.array([r[0] for r in rows], pa.int32())
@@ -347,6 +348,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     secret = key.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_tables()
         for b in batches:
             made = [surrogate(secret, k, v, n) for k, v, n in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["kind", "value", "attempt", "surrogate"])
@@ -392,6 +394,7 @@ def replace(df: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text",
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for f, n in zip(keep, names)) + ", n int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_tables()
         for b in batches:
             out, done = [], []
             for t, edits in zip(b.column(at), b.column(b.num_columns - 1)):

@@ -100,6 +100,8 @@ def test_a_worker_holds_the_tables_of_one_operator():
     first = common.held(("a", 1), lambda: [1])
     assert common.held(("a", 1), lambda: [2]) is first
     assert common.held(("b", 1), lambda: [3]) == [3] and list(common._held) == [("b", 1)]
+    common.no_tables()
+    assert ("b", 1) not in common._held and not any(common._held.values())
 
 
 def test_a_text_that_stays_is_sent_once(spark):
