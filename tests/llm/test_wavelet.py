@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from basketry.llm import wavelet as W
+from basketry.llm.common import Recent
 
 VOCAB = P.path("word_bpe_49k.json")
 LIB = Tokenizer.from_file(VOCAB)
@@ -101,3 +103,26 @@ def test_a_broken_file_is_told():
         W.unpack(b"X" + raw[1:])
     with pytest.raises((ValueError, zlib.error)):
         W.unpack(raw[:-12])
+
+
+def test_pieces_are_cut_from_one_buffer():
+    values = ["", "a", "\n", "größe", "x" * 300, "end"]
+    array = pa.array([v.encode() for v in values], pa.large_binary())
+    for a in range(len(values) + 1):
+        for z in range(a, len(values) + 1):
+            assert W.cut(array.slice(a, z - a)) == array.slice(a, z - a).to_pylist()
+
+
+def test_a_full_table_gives_the_same_ids():
+    mine, full = W.Encoder(VOCAB), W.Encoder(VOCAB)
+    full.seen, full.runs = Recent(6), Recent(4)
+    texts = ["one two, three one two three!", None, "four two one ... größe, größe 12.5 it's", "y" * 70 + " one, y " + "y" * 70]
+    for block in (texts, texts[::-1], texts):
+        for a, b in zip(mine.packed(block, 1), full.packed(block, 1)):
+            assert a.tolist() == b.tolist()
+
+
+def test_a_word_that_is_a_piece_by_itself_is_kept_once():
+    mine = W.Encoder(VOCAB)
+    mine.packed(["two words"], 1)
+    assert not mine.runs and set(mine.seen) == {b"two", b"words"}
