@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.joins import join_back
-from basketry.llm.common import discard, no_tables, quoted, written
+from basketry.llm.common import dealt, discard, no_tables, quoted, written
 
 SEED = 42
 SEGMENTS = 16
@@ -111,10 +111,10 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     cells = fps.select("fp", F.explode(grid_cells(segment_counts(F.col("fp")))).alias("cell"))
     sizes = cells.groupBy("cell").count().where("count > 1")
     # Cells of one fingerprint, by far most of them, end here.
-    full = written(join_back(cells, sizes, ["cell"]), "simhash-cells")
+    full = written(join_back(dealt(cells), sizes, ["cell"]), "simhash-cells")
     some = full.where(F.col("count") <= CELL)
     a, b = some.select("cell", F.col("fp").alias("a")), some.select("cell", F.col("fp").alias("b"))
-    met = a.join(b, "cell").where((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b")
+    met = dealt(a).join(b, "cell").where((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b")
     return met.unionByName(_hub_links(full.where(F.col("count") > CELL).select("fp").distinct(), max_bits)).distinct()
 
 
@@ -125,11 +125,11 @@ def _hub_links(fps: DataFrame, max_bits: int) -> DataFrame:
         flips = [x.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)] if max_bits else []
         other = fps.select(x.alias("a"), F.explode(F.array(*flips)).alias("b")).where("a < b") if flips else None
         none = fps.select(x.alias("a"), x.alias("b")).where("false")
-        return none if other is None else other.join(fps.select(x.alias("b")), "b", "left_semi").select("a", "b")
+        return none if other is None else dealt(other).join(fps.select(x.alias("b")), "b", "left_semi").select("a", "b")
     keys = F.array(x, *[x.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
     under = fps.select("fp", F.explode(keys).alias("key"))
     hubs = under.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    return join_back(under, hubs, ["key"]).where("a < fp").select("a", F.col("fp").alias("b"))
+    return join_back(dealt(under), hubs, ["key"]).where("a < fp").select("a", F.col("fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,13 +146,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = join_back(both.where("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").distinct()
+        large = join_back(dealt(both.where("b > a")), low, ["a"]).select(F.col("m").alias("a"), "b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = join_back(large, least, ["b"])
+        small = join_back(dealt(large), least, ["b"])
         star = small.select(F.col("m").alias("a"), "b").unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
         after = written(star.distinct(), "simhash-star")
         # Both are distinct pairs: equal if as many, and none is new.
-        done = now.count() == after.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        done = now.count() == after.count() and dealt(after).join(now, ["a", "b"], "left_anti").isEmpty()
         discard(now)
         now = after
         if done:
@@ -167,7 +167,7 @@ def _classes(df: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int)
     done = written(fingerprints(df, doc_id, text, shingle), "simhash-fp")
     classes = written(done.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits))
-    labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    labelled = dealt(classes).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     return done, labelled
 
 
@@ -180,8 +180,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     Other columns are not read."""
     done, labelled = _classes(df, doc_id, text, shingle, max_bits)
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = join_back(labelled, smallest, ["root"]).select("fp", "component_id")
-    return done.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = join_back(dealt(labelled), smallest, ["root"]).select("fp", "component_id")
+    return dealt(done).join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(df: DataFrame, **names) -> DataFrame:

@@ -135,3 +135,26 @@ def test_keep_one_of_near_copies_under_one_id(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(near)), (2, " ".join(near))], "doc_id long, text string")
     kept = [r.text for r in simhash.keep_one(df, max_bits=2).collect()]
     assert len(kept) == (1 if bits <= 2 else 2) and len(set(kept)) == len(kept)
+
+
+@pytest.mark.parametrize("max_bits", [1, 2])
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, monkeypatch, max_bits):
+    # Spark takes the 33 cells of a fingerprint for one row, so a size below its threshold says nothing
+    plans, plain = [], simhash.written
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "written", recorded)
+    monkeypatch.setattr(simhash, "CELL", 2)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.sample(words, 100)) for _ in range(30)]
+    texts += [texts[0].replace(w, "changed") for w in texts[0].split()[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    found = simhash.digest(df, max_bits=max_bits)
+    assert found.count() == 50
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
