@@ -197,7 +197,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     of equal ones one stays.  Rows of a null id are kept, as nothing names
     them."""
     done, classes = _classes(df, doc_id, text, shingle, max_bits)
-    labelled = written(done.where("doc_id is not null").join(classes.select("fp", "root"), "fp"), "simhash-labelled")
+    labelled = written(dealt(done.where("doc_id is not null")).join(classes.select("fp", "root"), "fp"), "simhash-labelled")
     winners = written(labelled.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("w")).select("w.doc_id", "w.fp"), "simhash-winners")
     # An id that has one row is told by the id; the few others by id and fingerprint.
     often = written(labelled.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-often")

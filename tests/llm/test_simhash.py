@@ -158,3 +158,16 @@ def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, monkeypatc
     assert found.count() == 50
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_labels_of_the_pipeline_s_documents_are_not_broadcast(spark, monkeypatch):
+    plans, plain = {}, simhash.written
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "written", recorded)
+    df = spark.createDataFrame([(i, f"a b c {i % 7}") for i in range(20)], "doc_id long, text string")
+    assert simhash.keep_one(df).count() == 7
+    assert "SortMergeJoin" in plans["simhash-labelled"] and "Broadcast" not in plans["simhash-labelled"]
